@@ -17,7 +17,7 @@ from sillage.llm.common import cut, drop_cut, words
 
 #: Weights of the sources in their order, repeating; share of all sizes to take; the most of a source that can be.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-ITERATIONS, TOLERANCE, SALTS = 40, 1e-6, 64
+ITERATIONS, TOLERANCE, SALTS, STARTS = 40, 1e-6, 64, 64
 #: Beyond this tilt the rates no longer change.
 FLAT = 1e6
 
@@ -119,9 +119,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     placed = cut(
         cells.join(solved, "key")
         .withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0))
-        .withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)) + 0.5)
-        .select(F.col("key").alias("__key"), "size", F.col("salt").alias("__salt"), "source_size", "target", "rate", "start")
+        .withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
+        .select("key", "size", "salt", "n", "source_size", "target", "rate", "start")
     )
+    # Where the count starts is free: of some starts, each source takes the one whose words come nearest its target.
+    shift = F.explode(F.array(*[F.lit((k + 0.5) / STARTS) for k in range(STARTS)])).alias("shift")
+    at = F.col("start") + F.col("shift")
+    best = (
+        placed.where("size > 0").select("*", shift)
+        .groupBy("key", "shift")
+        .agg(F.sum(F.col("size") * (F.floor(at + F.col("n") * F.col("rate")) - F.floor(at))).alias("took"), F.first("target").alias("target"))
+        .groupBy("key").agg(F.min(F.struct(F.abs(F.col("took") - F.col("target")), "shift"))["shift"].alias("shift"))
+    )
+    placed = placed.join(best, "key", "left").select(
+        F.col("key").alias("__key"), "size", F.col("salt").alias("__salt"), "source_size", "target", "rate",
+        (F.col("start") + F.coalesce("shift", F.lit(0.5))).alias("start"),
+    )
     within = Window.partitionBy("__key", "size", "__salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
     ranked = sized.withColumn("__rank", F.row_number().over(within))
     passed = F.floor(F.col("start") + F.col("__rank") * F.col("rate")) - F.floor(F.col("start") + (F.col("__rank") - 1) * F.col("rate"))
