@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sillage.llm import chat, media, mixing, packing, sql, urls
+from sillage.llm import chat, media, mixing, packing, shingles, sql, urls
 from sillage.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     """All conversations and conversation -7, whose two texts hold control strings."""
     extra = spark.sql(
@@ -32,5 +36,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op6_chat_formatting, op7_best_fit_packing, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op9_media_columns, op10_source_mixing)}
 ORACLES = sql.ORACLES
