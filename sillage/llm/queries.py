@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sillage.llm import chat, media, mixing, packing, shingles, sql, urls
+from sillage.llm import chat, media, mixing, packing, shingles, sql, urls, vectors
 from sillage.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_media_columns(spark, sf_dir):
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
 ORACLES = sql.ORACLES
