@@ -19,16 +19,21 @@ Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def linked(
-    members: DataFrame, leads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]
+    members: DataFrame,
+    leads: DataFrame,
+    near: Near,
+    verify: Callable[[DataFrame], DataFrame],
+    with_comp: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (id, comp) of the items that have links.
 
-    members: (id, key, ...) with the columns that `near` compares; leads: one row per key with (key, lead, ...) and
-    the same columns of the lead; near(a, b): a condition that all linked pairs
-    meet, over columns of either side; verify: (a, b) to the pairs among them that are links.
+    members: (id, key, ...) with the columns that `near` compares; leads: one row at most per key with (key, lead, ...)
+    and the same columns of the lead; near(a, b): a condition that all linked pairs meet, over columns of either side;
+    verify: (a, b) to the pairs among them that are links; with_comp: a cheaper way to `members` with comp (from
+    (id, comp), else the id itself), where there is one.
     """
     extra = [c for c in members.columns if c not in ("id", "key")]
-    m = members.alias("m").join(leads.select("key", "lead", *[F.col(c).alias(f"lead_{c}") for c in extra]).alias("l"), "key")
+    m = members.join(leads.select("key", "lead", *[F.col(c).alias(f"lead_{c}") for c in extra]), "key")
     star = m.where((F.col("id") != F.col("lead")) & near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
     pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = cut(verify(pairs))
@@ -36,8 +41,9 @@ def linked(
 
     known = leads.select("key", "lead").join(comps.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
     known = known.select("key", F.coalesce("lead_comp", "lead").alias("lead_comp"))
-    own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(known, "key", "left")
-    own = cut(own.withColumn("out", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True))).drop("lead_comp"))
+    own = with_comp(comps) if with_comp else members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    own = own.join(known, "key", "left").withColumn("out", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
+    own = own.drop("lead_comp")
     left = own.where("out").select(*[F.col(c).alias(f"x_{c}") for c in own.columns if c != "key"], "key")
     right = own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns if c != "key"], "key")
     rest = left.join(right, "key").where(
