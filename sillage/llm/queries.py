@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sillage.llm import chat, lines, media, mixing, packing, shingles, sql, urls, vectors
+from sillage.llm import chat, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
 from sillage.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
 ORACLES = sql.ORACLES
