@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sillage.llm import chat, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
+from sillage.llm import chat, html, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
 from sillage.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     """All conversations and conversation -7, whose two texts hold control strings."""
     extra = spark.sql(
@@ -48,5 +52,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
 ORACLES = sql.ORACLES
