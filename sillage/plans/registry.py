@@ -1,4 +1,5 @@
 """All queries of the library by name, with the SQL that checks them."""
 
-QUERIES = {}
-ORACLES = {}
+from sillage.plans.catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
