@@ -230,13 +230,21 @@ class Scorer:
 _SCORERS: dict = {}
 
 
-def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str | None = None) -> DataFrame:
-    """(doc_id, text) to doc_id, held_out, lang_pred, score (the language's share of the likelihoods, 0 to 1).
+def identify(
+    docs: DataFrame, langs: list[str], logp: np.ndarray, path: str | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, text) to doc_id, held_out, lang_pred, score (the language's share of the likelihoods, 0 to 1); with
+    keep, to those columns, lang_pred and score.
 
     Null text, a text without letters, or a model without languages: lang_pred `und`, score 0. Ties go to the first
     language by name. Repeated rows are judged alike; whole texts count, however long; an empty table gives no rows.
     """
     key = (tuple(langs), logp.tobytes()[:256], logp.shape)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out().alias("held_out"))
+    rows = docs.select(keep) if keep else rows
+    passed = keep or ["doc_id", "held_out"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(passed).schema.fields)
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path or vocabulary_path()
@@ -246,7 +254,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str | No
         for b in batches:
             for k in range(0, b.num_rows, BLOCK):
                 part = b.slice(k, BLOCK)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if langs:
                     found, n = scorer.texts(texts)
@@ -255,12 +263,11 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str | No
                     pred = [langs[i] if m else UNKNOWN for i, m in zip(found.argmax(1), n, strict=True)]
                     score = np.where(n > 0, share, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
+                    [*(part.column(c) for c in passed), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                    names=[*passed, "lang_pred", "score"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out().alias("held_out"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def detect(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sillage.llm import chat, html, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
 from sillage.llm.common import table
 
@@ -52,5 +53,9 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing, pipeline)}
 ORACLES = sql.ORACLES

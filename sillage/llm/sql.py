@@ -1,3 +1,32 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from sillage.llm.chat import BEGIN, CONTROL, MARKS, OTHER
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_length(x: str) -> str:
+    """Characters of x once escaped: one more for each backslash and each control string."""
+    more = [f"(length({x}) - length(replace({x}, '\\', '')))"]
+    more += [f"(length({x}) - length(replace({x}, {_quoted(c)}, ''))) // {len(c)}" for c in CONTROL]
+    return f"(length({x}) + {' + '.join(more)})"
+
+
+_frame = "CASE role " + " ".join(f"WHEN '{k}' THEN {len(a) + len(b)}" for k, (a, b) in MARKS.items())
+_FRAME = f"{_frame} ELSE {sum(map(len, OTHER))} + {_escaped_length('role')} END"
+
+CHAT = f"""WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, COUNT(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(SUM(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST({len(BEGIN)} + SUM({_FRAME} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op6_chat_formatting": CHAT}
