@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.numeric import rnd, share
 
-_CATEGORY = F.get("category_path", F.lit(0))
+
+def _category() -> Column:
+    return F.get("category_path", F.lit(0))
+
 
 
 def luxury_counts(products: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def refill_share(products: DataFrame) -> DataFrame:
 
 def price_tiles(products: DataFrame) -> DataFrame:
     tiles = [rnd(F.percentile("price_value", F.lit(p / 100)), 2).alias(f"p{p}") for p in (25, 50, 75, 90)]
-    by = products.where("price_value > 0").groupBy("site", _CATEGORY.alias("cat"))
+    by = products.where("price_value > 0").groupBy("site", _category().alias("cat"))
     return by.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), *tiles).orderBy("site", F.desc("p75"))
 
 
@@ -88,5 +91,5 @@ def missing_fields(products: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def corpus_summary(products: DataFrame) -> DataFrame:
-    by = products.groupBy(_CATEGORY.alias("category")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("avg_price"))
+    by = products.groupBy(_category().alias("category")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("avg_price"))
     return by.select("category", "n", "avg_price")

@@ -9,12 +9,15 @@ from sillage.functions.numeric import rnd
 
 #: The threshold where a category has no statistics; products that a category needs for statistics; rows of a report.
 FALLBACK, LEAST, REPORTED = 100.0, 5, 20
-_CATEGORY = F.get("category_path", F.lit(0))
+
+def _category() -> Column:
+    return F.get("category_path", F.lit(0))
+
 
 
 def category_stats(products: DataFrame, as_of: str) -> DataFrame:
     tiles = [rnd(F.percentile("price_value", F.lit(p / 100)), 2).alias(f"p{p}") for p in (25, 50, 75, 90, 95)]
-    by = products.where("price_value > 0").groupBy("site", _CATEGORY.alias("category"))
+    by = products.where("price_value > 0").groupBy("site", _category().alias("category"))
     stats = by.agg(
         F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), *tiles,
         F.min("price_value").alias("min_price"), F.max("price_value").alias("max_price"),
@@ -24,7 +27,7 @@ def category_stats(products: DataFrame, as_of: str) -> DataFrame:
 
 
 def thresholds(products: DataFrame) -> DataFrame:
-    by = products.where("price_value > 0").groupBy("site", _CATEGORY.alias("category"))
+    by = products.where("price_value > 0").groupBy("site", _category().alias("category"))
     return by.agg(F.count(F.lit(1)).alias("n"), F.percentile("price_value", F.lit(0.75)).alias("p75")).where(F.col("n") >= LEAST).drop("n")
 
 
@@ -32,7 +35,7 @@ def classify(products: DataFrame, tiers: DataFrame) -> DataFrame:
     """products with brand_tier and is_luxury: of a tier, and priced at its category's 75th percentile or above. No
     price, or no category: not luxury; a category without statistics has the threshold FALLBACK. Adaptive execution
     broadcasts the two dimensions while they are small."""
-    priced = products.withColumn("category", _CATEGORY)
+    priced = products.withColumn("category", _category())
     joined = priced.join(tiers.withColumnRenamed("tier", "brand_tier"), "brand", "left").join(thresholds(products), ["site", "category"], "left")
     high = F.col("price_value") >= F.coalesce("p75", F.lit(FALLBACK))
     luxury = (F.col("price_value") > 0) & (F.col("category") != "") & F.col("brand_tier").isNotNull() & high
