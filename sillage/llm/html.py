@@ -79,7 +79,23 @@ class _Builder(HTMLParser):
                 self.now = at.parent
             at = at.parent
 
+    def _inside(self, tag: str) -> None:
+        """Go into html or body, made where the page leaves them out."""
+        top = next((c for c in self.root.children if c.tag == "html"), None) or Node("html", {}, self.root)
+        self.now = top
+        if tag == "body":
+            self.now = next((c for c in top.children if c.tag == "body"), None) or Node("body", {}, top)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("html", "body"):
+            at = self.now
+            self._inside(tag)
+            self.now.attrs = {k: v or "" for k, v in attrs} | self.now.attrs
+            if at.tag not in ("#root", "html", "head"):  # a second one only adds attributes
+                self.now = at
+            return
+        if self.now.tag in ("#root", "html") and tag not in ("head", "title", "meta", "link", "script", "style", "base"):
+            self._inside("body")
         if tag in _CLOSES_P:
             self._close({"p"}, {"button", "td", "th", "caption", "table"} if tag != "table" else {"button", "td", "th", "caption"})
         if tag in _SIBLINGS:
@@ -95,6 +111,8 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         at = self.now
+        if tag in ("html", "body"):  # what comes after them still belongs to the page
+            return
         while at.parent and at.tag != tag:
             if tag not in BLOCK and at.tag in BLOCK:  # an inline end tag closes nothing outside its block
                 return
@@ -103,6 +121,8 @@ class _Builder(HTMLParser):
             self.now = at.parent
 
     def handle_data(self, data: str) -> None:
+        if self.now.tag in ("#root", "html") and data.strip():
+            self._inside("body")
         self.now.parts.append(data)
 
 

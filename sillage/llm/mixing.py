@@ -90,8 +90,10 @@ def tilts(pairs: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     return state.drop("lo", "hi", "off")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs (doc_id, source, text, ...) with size (words of the text), source_size, target and copies (0 to 2) added;
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text"
+) -> DataFrame:
+    """docs (doc_id, source, text, ...), the text in the column or field `text`, with size (words of the text), source_size, target and copies (0 to 2) added;
     existing columns of these names are replaced.
 
     Null text: size 0, never taken. Null source: a source of its own, last in the order. All sizes 0: all targets 0.
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # "key" and what follows it never leave this function; a prefix keeps them clear of the caller's columns
     sized = base.withColumns({
         "__key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")),
-        "size": F.size(words(F.col("text"))).cast("bigint"),
+        "size": F.size(words(F.col(text))).cast("bigint"),
         "__salt": salt,
     })
     cells = cut(sized.groupBy(F.col("__key").alias("key"), "size", F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")))
@@ -147,11 +149,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: the query's view of mix(), which carries no text."""
-    counted = docs.select("doc_id", "source", "text")
-    return mix(counted).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat_copies(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as mix() takes it."""
-    mixed = mix(docs)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    """docs with each row as often as mix() takes it; all its columns stay, whatever their names."""
+    whole = docs.select("doc_id", "source", F.struct(docs.columns).alias("__row"))
+    mixed = mix(whole, text="__row.text").where("copies > 0")
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select("__row.*")
