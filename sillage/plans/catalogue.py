@@ -649,3 +649,67 @@ def generated_catalog(spark, sf):
 @query("SELECT n AS product_id, k, 1 + (n + k) % 5 AS rating FROM range(2000) t(n), range(1, 5) u(k) WHERE k <= n % 5")
 def generated_reviews(spark, sf):
     return crawl.generated_reviews(spark, 2000)
+
+
+@query(with_(PAGES) + r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+    regexp_extract(url, '^(https?://[^/?#]+)', 1) || nullif(regexp_extract(html, '<nav>.*?href="([^"]*)"', 1), '') AS first_link,
+    array_to_string(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a[^>]*>([^<]*)</a>', 1), '|') AS menu FROM crawl_pages""")
+def page_selectors(spark, sf):
+    from sillage.functions import html
+
+    out = html.extract(v.crawl_pages(spark, sf), {"title": [".none", "article h1"]}, {"menu": ["aside li a", "nav li a"]}, {"first_link": (["nav a"], "href")})
+    return out.select("page_id", "title", "first_link", F.array_join("menu", "|").alias("menu"))
+
+
+@query(with_(PAGES) + "SELECT sha256(url) AS url_hash, 'page_' || sha256(url)[1:8] || '.html' AS name, url, md5(html) AS content FROM crawl_pages")
+def page_snapshots(spark, sf):
+    from sillage.sources.io import snapshots
+
+    return snapshots(v.crawl_pages(spark, sf)).withColumn("html", F.md5("html")).withColumnRenamed("html", "content")
+
+
+_PROBES = ("/", "/en/1", "/fr/")
+
+
+@query(with_(_FILES_CTE, _RLINES) + f""", x AS (SELECT domain, p, allow, disallow FROM rules, (SELECT unnest({list(_PROBES)}) AS p))
+    SELECT domain, bool_or((NOT coalesce(list_bool_or(list_transform(disallow, lambda r: {_MATCH})), false)) AND (coalesce(len(allow), 0) = 0 OR coalesce(list_bool_or(list_transform(allow, lambda r: {_MATCH})), false))) AS allowed
+    FROM x GROUP BY 1""")
+def domain_allowed(spark, sf):
+    probes = F.array(*map(F.lit, _PROBES))
+    return _rules(spark).select("domain", F.exists(probes, lambda p: robots.allowed(p, F.col("allow"), F.col("disallow"))).alias("allowed"))
+
+
+_LUXE = ("red", "gold", "new")
+
+
+@query(with_(PRODUCTS) + "SELECT product_id, name FROM products WHERE " + " OR ".join(f"contains(lower(split_part(name, ' ', 1)), '{w}')" for w in _LUXE))
+def luxury_url_filter(spark, sf):
+    url = F.concat(F.lit("https://shop.example/product/"), F.replace("name", F.lit(" "), F.lit("-")))
+    some = F.exists(F.array(*map(F.lit, _LUXE)), lambda w: F.contains(F.lower(scalars.slug_brand(url)), w))
+    return v.products(spark, sf).where(some).select("product_id", "name")
+
+
+@query(with_(MANIFEST) + """SELECT run_id, 'run_' || strftime(TIMESTAMP '2026-01-01 08:05:03' + to_hours(CAST(total_requests AS INT)), '%Y%m%d_%H%M%S') || '_' || md5(run_id)[1:8] AS run_key FROM manifest""")
+def run_ids(spark, sf):
+    at = F.timestamp_add("HOUR", F.col("total_requests").cast("int"), F.lit("2026-01-01 08:05:03").cast("timestamp_ntz"))
+    key = F.concat(F.lit("run_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5("run_id"), 1, 8))
+    return v.manifest_runs(spark, sf).select("run_id", key.alias("run_key"))
+
+
+@query(with_(MANIFEST) + """SELECT count(*) AS runs, string_agg(DISTINCT site, ',' ORDER BY site) AS sites, CAST(sum(total_requests) AS BIGINT) AS total_requests, CAST(sum(blocked_requests) AS BIGINT) AS blocked_requests,
+    count(*) FILTER (robots_etag IS NULL) AS without_etag FROM manifest""")
+def compliance_manifest(spark, sf):
+    return v.manifest_runs(spark, sf).agg(
+        F.count(F.lit(1)).alias("runs"), F.array_join(F.array_sort(F.collect_set("site")), ",").alias("sites"), F.sum("total_requests").alias("total_requests"),
+        F.sum("blocked_requests").alias("blocked_requests"), F.count_if(F.col("robots_etag").isNull()).alias("without_etag"),
+    )
+
+
+_SYN = (("metal", "round", "ring"), ("metal", "round", "gear"), ("metal", "long", "rod"), ("metal", "long", "bolt"), ("misc", "odd", "gizmo"))
+
+
+@query(with_(PRODUCTS) + ", syn AS (SELECT * FROM (VALUES " + ", ".join(map(str, _SYN)) + """) t(grp, category, synonym))
+    SELECT product_id, grp, syn.category FROM products, syn WHERE contains(name, synonym)""")
+def category_synonyms(spark, sf):
+    syn = spark.createDataFrame(_SYN, "grp string, category string, synonym string")
+    return v.products(spark, sf).join(syn, F.contains("name", "synonym")).select("product_id", "grp", "category")  # against a fixed dimension of a few rows
