@@ -134,12 +134,13 @@ def mix(
         .groupBy("key").agg(F.min(F.struct(F.abs(F.col("took") - F.col("target")), "shift"))["shift"].alias("shift"))
     )
     placed = placed.join(best, "key", "left").select(
-        F.col("key").alias("__key"), "size", F.col("salt").alias("__salt"), "source_size", "target", "rate",
-        (F.col("start") + F.coalesce("shift", F.lit(0.5))).alias("start"),
+        F.col("key").alias("__key"), "size", F.col("salt").alias("__salt"), "source_size", "target", F.col("rate").alias("__rate"),
+        (F.col("start") + F.coalesce("shift", F.lit(0.5))).alias("__start"),
     )
     within = Window.partitionBy("__key", "size", "__salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
     ranked = sized.withColumn("__rank", F.row_number().over(within))
-    passed = F.floor(F.col("start") + F.col("__rank") * F.col("rate")) - F.floor(F.col("start") + (F.col("__rank") - 1) * F.col("rate"))
+    at = lambda k: F.floor(F.col("__start") + k * F.col("__rate"))
+    passed = at(F.col("__rank")) - at(F.col("__rank") - 1)
     return (
         ranked.join(placed, ["__key", "size", "__salt"])
         .withColumn("copies", F.least(passed, F.lit(int(most))).cast("int"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sillage.llm import mixing
 
@@ -62,8 +63,9 @@ def test_edges(spark):
 
 
 def test_copies_are_rows(spark):
-    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 9 + 1), i) for i in range(200)], f"{SCHEMA}, size int")
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 9 + 1), i) for i in range(200)], f"{SCHEMA}, size int").withColumn("rate", F.lit("r")).withColumn("key", F.lit(1))
     out = mixing.repeat_copies(df)
     assert out.columns == df.columns
     assert out.count() == mixing.mix(df).selectExpr("sum(copies)").first()[0]
-    assert out.where("size <> doc_id").count() == 0
+    assert out.where("size <> doc_id or rate <> 'r'").count() == 0
+    assert mixing.mix(df).columns == ["doc_id", "source", "text", "rate", "key", "size", "source_size", "target", "copies"]
