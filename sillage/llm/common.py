@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,8 +43,16 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has no more than `rows` rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _state(df: DataFrame) -> tuple:

@@ -13,24 +13,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut
+from sillage.llm.common import components, cut, release
 
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
+#: Members of a hot bucket's largest component that the others are held against before they are among each other.
+PICKS = 8
+
+
+def _picked(members: DataFrame, comps: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], hot: int) -> DataFrame | None:
+    """Links of members of hot buckets to some of their bucket's largest component; None if no bucket is hot."""
+    extra = [c for c in members.columns if c not in ("id", "key")]
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
+    many = cut(members.join(large, "key", "left_semi"))
+    if many.isEmpty():
+        return None
+    own = many.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).where("top.n > 1").select("key", F.col("top.comp").alias("big"))
+    own = cut(own.join(top, "key"))
+    order = F.xxhash64("id")
+    pick = own.where("comp = big").groupBy("key", F.pmod(order, F.lit(PICKS))).agg(F.min(F.struct(order, "id", *extra)).alias("p"))
+    pick = pick.select("key", F.col("p.id").alias("lead"), *[F.col(f"p.{c}").alias(f"lead_{c}") for c in extra])
+    met = own.where("comp <> big").join(pick, "key").where(near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
+    return verify(met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+
+
 def linked(
     members: DataFrame,
     leads: DataFrame,
     near: Near,
     verify: Callable[[DataFrame], DataFrame],
-    with_comp: Callable[[DataFrame], DataFrame] | None = None,
+    with_comp: Callable[[DataFrame], DataFrame],
+    near_rest: Near | None = None,
+    hot: int = 0,
 ) -> DataFrame:
     """Components (id, comp) of the items that have links.
 
     members: (id, key, ...) with the columns that `near` compares; leads: one row at most per key with (key, lead, ...)
     and the same columns of the lead; near(a, b): a condition that all linked pairs meet, over columns of either side;
-    verify: (a, b) to the pairs among them that are links; with_comp: a cheaper way to `members` with comp (from
-    (id, comp), else the id itself), where there is one.
+    verify: (a, b) to the pairs among them that are links; with_comp: from (id, comp) to the members with comp (the id
+    itself where that has none) and the columns of near_rest, a closer condition for pairs without a leader; buckets of
+    two that have a leader may be left out of it; hot: in buckets of more members than this, those outside the largest
+    component are first held against PICKS members of it too (0: in none).
     """
     extra = [c for c in members.columns if c not in ("id", "key")]
     m = members.join(leads.select("key", "lead", *[F.col(c).alias(f"lead_{c}") for c in extra]), "key")
@@ -38,18 +64,25 @@ def linked(
     pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = cut(verify(pairs))
     comps = cut(components(first))
+    del star, pairs, m
+    release(members.sparkSession)
+
+    if hot:
+        more = _picked(members, comps, near, verify, hot)
+        if more is not None:
+            first = cut(first.unionByName(more))
+            comps = cut(components(first))
 
     known = leads.select("key", "lead").join(comps.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
-    known = known.select("key", F.coalesce("lead_comp", "lead").alias("lead_comp"))
-    own = with_comp(comps) if with_comp else members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    own = own.join(known, "key", "left").withColumn("out", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
-    own = own.drop("lead_comp")
+    known = known.select("key", "lead", F.coalesce("lead_comp", "lead").alias("lead_comp"))
+    own = with_comp(comps).join(known, "key", "left").withColumn("out", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
+    own = own.where("lead IS NULL OR id <> lead").drop("lead_comp", "lead")  # the leaders met all others above
     left = own.where("out").select(*[F.col(c).alias(f"x_{c}") for c in own.columns if c != "key"], "key")
     right = own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns if c != "key"], "key")
     rest = left.join(right, "key").where(
         (F.col("x_comp") != F.col("y_comp"))
         & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
-        & near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+        & (near_rest or near)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
     )
     rest = rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     second = cut(verify(rest))

@@ -2,34 +2,44 @@
 
 The set of a document is its distinct 5-word shingles. Linked sets differ in few elements: with a Jaccard similarity
 of 0.8 at least, in a quarter of the smaller set's size at most. Sets are put into overlapping size bands; the domain of shingles is
-dealt into groups of sub-partitions, and within a group every subset of all but `spare` sub-partitions gives a
-signature, a hash of the set's elements there. Two sets that differ in k elements differ in more than `spare`
-sub-partitions of k // (spare + 1) groups at most, so a set that emits one group more is sure to share a signature
+dealt into groups of sub-partitions, and within a group every subset of all but SPARE sub-partitions gives a
+signature, a hash of the set's elements there. Two sets that differ in k elements differ in more than SPARE
+sub-partitions of k // (SPARE + 1) groups at most, so a set that emits one group more is sure to share a signature
 with every partner. Only groups without empty subsets count towards that number, so empty projections, which would
 bring unrelated sets together, are never emitted; sets that run out of groups emit a further domain, in which the
 elements that a bounded sample found in many documents take part again.
+
+Pairs that share a signature are sifted by parity vectors (how many elements fall on each of some positions, modulo
+two): these differ in no more positions than the sets in elements, so no link is lost. What is left is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut
+from sillage.llm.common import cut, few, release
 from sillage.llm.dedup_links import linked
 
 N_WORDS, SHARE = 5, 80
-#: Size bands [a, BAND * a), each begun at 0.8 of the end of the one before; up to SMALL elements, two of three
-#: sub-partitions make a signature, above it single ones.
-BAND, SMALL = 2.5, 48
+#: Size bands [a, BAND * a], each begun where sets that may link with the ones past the end before begin.
+BAND = 2.5
+#: Sub-partitions of a group in bands up to SMALL elements, and in others; how many of them a signature leaves out.
+SMALL, FEW_SUBS, SUBS, SPARE = 64, 3, 2, 1
 #: Documents of the sample in which an element must occur COMMON times to be left out of the first domain.
-SAMPLE, COMMON = 4_000, 8
+SAMPLE, COMMON = 8_000, 4
 #: Domains tried before empty projections count too; salts that a hot set's comparisons are dealt out by.
 LEVELS, SALTS = 8, 16
+#: Bits of the parity vector by which pairs are sifted before their texts are fetched.
+PARITY = 2048
+#: Of these, folded to so many longs, the bits that pairs without a leader are held against in their bucket.
+FOLDED = 8
 _C3 = 0x9E3779B97F4A7C15
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, _C3))
 
@@ -97,7 +107,7 @@ def word_hashes(data: bytes) -> np.ndarray:
             total = np.uint64(0)
             for k in range(start, start + n, BLOCK):
                 part = low[k : min(k + BLOCK, start + n)]
-                total = mix(np.array([total]))[0] + (part * _POW[: len(part)]).sum(dtype=np.uint64)
+                total = (mix(np.array([total])) + (part * _POW[: len(part)]).sum(dtype=np.uint64))[0]
             out[at] = total
         at = stop
     return mix(out + (end - begin).astype(np.uint64) * _M3)
@@ -115,6 +125,9 @@ def shingle_set(data: bytes, n: int = N_WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+_SALT = np.arange(1, FEW_SUBS + 1, dtype=np.uint64) * _M1
+
+
 def bands(size: int) -> list[tuple[int, int]]:
     """The bands [a, b] of a size: any two sizes that may link share one. Below 4 only equal sets link: none."""
     out, a = [], 4
@@ -133,11 +146,10 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     if len(common) and len(s):
         rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
     for low, high in bands(len(s)):
-        spare = int(high <= SMALL)
-        subs = 3 if spare else 1
-        most = high // 4 // (spare + 1) + 1
-        groups = most + 1 + most // 8
-        need = len(s) // 4 // (spare + 1) + 1
+        subs = FEW_SUBS if high <= SMALL else SUBS
+        most = high // 4 // (SPARE + 1) + 1
+        groups = most + most // 4 + 2
+        need = len(s) // 4 // (SPARE + 1) + 1
         for level in range(LEVELS):
             x = s if level else rare
             seed = _times((low << 20) + level)
@@ -146,18 +158,14 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
             sums = np.zeros(groups * subs, np.uint64)
             np.add.at(sums, part, mix(h))
             filled = (np.bincount(part, minlength=groups * subs) > 0).reshape(groups, subs)
-            good = np.cumsum(filled.sum(1) > spare)
+            good = np.cumsum(filled.sum(1) > SPARE)
             enough, last = good[-1] >= need, level == LEVELS - 1
             stop = int(np.searchsorted(good, need)) + 1 if enough else groups
             g = seed + np.arange(stop, dtype=np.uint64) * _M2
-            sums, filled = sums.reshape(groups, subs)[:stop], filled[:stop] | (last and not enough)
-            if spare:
-                sums = mix(sums + np.arange(1, 4, dtype=np.uint64) * _M1)
-                for left in range(3):
-                    i, j = (left + 1) % 3, (left + 2) % 3
-                    out.append(mix(sums[:, i] + sums[:, j] + g + np.uint64(left))[filled[:, i] | filled[:, j]])
-            else:
-                out.append(mix(sums[:, 0] + g)[filled[:, 0]])
+            sums, filled = mix(sums.reshape(groups, subs)[:stop] + _SALT[:subs]), filled[:stop] | (last and not enough)
+            for number, chosen in enumerate(combinations(range(subs), subs - SPARE)):
+                made = mix(sums[:, chosen].sum(1, dtype=np.uint64) + g + np.uint64(number))
+                out.append(made[filled[:, chosen].any(1)])
             if enough:
                 break
     return np.unique(np.concatenate(out))
@@ -177,35 +185,58 @@ def _sample(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, n, d1 and d2 (a digest of the set) and sigs."""
+def _rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(key, id, info): a row for each signature of each document, and one with its info: the set's size n, digest d1
+    and d2 (d1 is the key) and parity vector."""
+    kinds = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("parity", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, sigs = [], [], [], []
-            for text in b.column(1):
-                s = shingle_set((text.as_py() or "").encode())
-                n.append(len(s))
-                d1.append(s.sum(dtype=np.uint64))
-                d2.append(mix(s + _M1).sum(dtype=np.uint64))
-                sigs.append(signatures(s, common))
-            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *sigs]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(d1, np.uint64).view(np.int64)),
-                    pa.array(np.array(d2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ],
-                names=["doc_id", "n", "d1", "d2", "sigs"],
-            )
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>")
-
-
-def _verifier(texts: DataFrame):
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                n, d1, d2, odd, sigs = [], [], [], [], []
+                for text in part.column(1):
+                    s = shingle_set((text.as_py() or "").encode())
+                    n.append(len(s))
+                    d1.append(s.sum(dtype=np.uint64))
+                    d2.append(mix(s + _M1).sum(dtype=np.uint64))
+                    odd.append(np.bincount((mix(s + _M2) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1)
+                    sigs.append(signatures(s, common))
+                longs = np.packbits(np.array(odd, np.uint8), axis=1, bitorder="little").view(np.int64)
+                d1, d2 = (np.array(x, np.uint64).view(np.int64) for x in (d1, d2))
+                ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64))
+                info = pa.StructArray.from_arrays(
+                    [pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(longs.ravel()))],
+                    names=[x for x, _ in kinds],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(d1), part.column(0), info], names=["key", "id", "info"])
+                known = [x for x in range(len(n)) if part.column(0)[x].is_valid]
+                ids = np.repeat(np.array([part.column(0)[x].as_py() for x in known], np.int64), [len(sigs[x]) for x in known])
+                flat = np.concatenate([np.empty(0, np.uint64), *(sigs[x] for x in known)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), pa.array(ids), pa.nulls(len(flat), pa.struct(kinds))], names=["key", "id", "info"]
+                )
+
+    return docs.mapInArrow(run, "key bigint, id bigint, info struct<n: bigint, d1: bigint, d2: bigint, parity: array<bigint>>")
+
+
+#: Ids of the documents whose texts are compared, up to which they are broadcast to the texts.
+FEW = 500_000
+
+
+def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose parity vectors allow a link: sets that link differ in (100 - SHARE) / (100 + SHARE) of the sum
+    of their sizes at most. sets: (id, n, parity), a row per id."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    own = cut(sets.join(few(cut(ids), FEW), "id"))
+    side = lambda i: own.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("parity").alias(f"p_{i}"))
+    odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where((100 + SHARE) * odd <= (100 - SHARE) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _verifier(texts: DataFrame, sets: DataFrame):
     """(a, b) to the pairs whose sets link. Each b's text goes to where a's set is made, once for each salt of a;
     rows arrive sorted, so that a task holds one set and one batch."""
 
@@ -226,10 +257,14 @@ def _verifier(texts: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
-        theirs = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-        own = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
-        rows = theirs.unionByName(own.select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text"))
+        pairs = cut(_sifted(pairs, sets).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
+        own = pairs.select("a", "salt").distinct()
+        wanted = own.select("a", "salt", F.lit(None).cast("bigint").alias("b")).unionByName(pairs)
+        wanted = cut(wanted.withColumn("doc_id", F.coalesce("b", "a")))
+        once = texts.where("doc_id is not null").join(few(cut(wanted.select("doc_id").distinct()), FEW), "doc_id", "left_semi")
+        once = cut(once.dropDuplicates(["doc_id"]))
+        release(texts.sparkSession)
+        rows = wanted.join(once, "doc_id").select("a", "salt", "b", "text")
         dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -245,22 +280,39 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    sets = cut(_sets(docs, _sample(docs)))
+    by = Window.partitionBy("key").orderBy("id")
+    size = F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size")
+    rows = _rows(docs, _sample(docs)).select("*", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"), size)
+    rows = cut(rows.where("before <> id or after <> id or info is not null").drop("before", "after"))
+    release(docs.sparkSession)
+    sets = rows.where("info is not null").select(F.col("id").alias("doc_id"), "info.*")
     ids = ["n", "d1", "d2"]
-    classes = cut(
-        sets.where("n > 0 and doc_id is not null").groupBy(*ids).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    )
-    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), [*ids, "doc_id"]).where("n >= 4").dropDuplicates(["doc_id", *ids])
-    weight = F.shiftleft(F.least("copies", F.lit(1 << 30)), 31).bitwiseOR(F.least("n", F.lit((1 << 31) - 1)))
-    rows = reps.select(F.explode("sigs").alias("key"), F.col("doc_id").alias("id"), weight.alias("w"))
-    by = Window.partitionBy("key").orderBy(F.desc("w"), "id")
-    met = rows.select("*", F.first("id").over(by).alias("lead"), F.lead("id", 1).over(by).alias("next"))
-    n = F.col("w").bitwiseAND((1 << 31) - 1)
-    met = cut(met.where("id <> lead or next is not null").select("key", "id", n.alias("n"), "lead"))
-    texts = cut(docs.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    real = sets.where("n > 0 and doc_id is not null")
+    classes = cut(real.groupBy(*ids).agg(F.min("doc_id").alias("id"), F.first("parity").alias("parity")))
+    parity = classes.select("id", "n", "parity")  # equal sets have equal parities
+    reps = classes.groupBy("id").agg(F.max("n").alias("n"))
+    met = rows.where("info is null").select("key", "id", "size").join(reps, "id")
+    # A bucket's leader is the set that meets most others in all its buckets: of near copies, what they are copies of.
+    met = cut(met.select("key", "id", "n", F.sum("size").over(Window.partitionBy("id")).alias("w")))
+    leads = met.groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leads = cut(leads.select("key", F.col("x.id").alias("lead"), "x.n", "size"))
+    release(docs.sparkSession)
     near = lambda a, b: 100 * F.least(a("n"), b("n")) >= SHARE * F.greatest(a("n"), b("n"))
-    comps = linked(met.select("key", "id", "n"), met.where("id = lead").select("key", "lead", "n"), near, _verifier(texts))
-    named = classes.select(*ids, F.col("rep").alias("id")).join(comps, "id", "left").select(*ids, F.coalesce("comp", "id").alias("comp"))
+    members = met.select("key", "id", "n").join(leads.select("key"), "key", "left_semi")
+    half = PARITY // 64 // FOLDED
+    folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i + k * FOLDED)) for k in range(half)]).alias(f"p{i}") for i in range(FOLDED)]
+
+    def with_comp(comps: DataFrame) -> DataFrame:
+        rows = parity.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), *folds)
+        more = met.select("key", "id", "n").join(leads.where("size > 2").select("key"), "key", "left_semi")
+        return more.join(rows, "id")
+
+    def near_rest(a, b):
+        odd = sum((F.bit_count(a(f"p{i}").bitwiseXOR(b(f"p{i}"))) for i in range(FOLDED)), F.lit(0))
+        return near(a, b) & ((100 + SHARE) * odd <= (100 - SHARE) * (a("n") + b("n")))
+
+    comps = linked(members, leads, near, _verifier(docs, parity), with_comp, near_rest)
+    named = classes.join(comps, "id", "left").select(*ids, F.coalesce("comp", "id").alias("comp"))
     out = sets.select("doc_id", *ids).join(named, ids, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
