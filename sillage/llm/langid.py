@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Documents per language, about, that the pieces are fit on; rounds of expectation maximisation; the counts that
 #: each piece has beforehand; words whose scores a worker keeps; texts of a block.
-SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 500_000, 256
+SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN, START = "und", "▁"
 #: Log probability of a character that is no piece.
