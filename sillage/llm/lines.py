@@ -1,9 +1,9 @@
 """Line dedup: near-equal lines over all documents, one occurrence of each group kept.
 
-Lines are normalised and equal ones counted once. A line's SimHash is the majority of its words' hashes, bit by bit,
-summed by a generated-code aggregation with two counters to a long. Lines whose SimHashes differ in at most DISTANCE
-bits agree on a block or a combination of blocks of them (pigeonhole); such pairs are verified by edit similarity, and
-the first occurrence in each connected group stays. DataFrame operations only.
+Lines are normalised and equal ones counted once. A line's SimHash is the majority of its longer words' hashes, bit by bit,
+summed by a generated-code aggregation with eight counters to a long. Lines whose SimHashes differ in at most DISTANCE
+bits agree on a block or a combination of blocks of them (pigeonhole); such pairs are verified by the edit
+similarity of their words, and the first occurrence in each connected group stays. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -13,51 +13,95 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut
+from sillage.llm.common import cut, few, release
 from sillage.llm.dedup_links import linked
 
-#: Bits in which the SimHashes of linked lines may differ; least edit similarity, 1 - distance / longer length, in %.
+#: Bits in which the SimHashes of linked lines may differ; least edit similarity of
+#: their words, 1 - distance / longer length, in %.
 DISTANCE, SIMILARITY = 3, 80
+#: Letters from which on a word counts in the SimHash of a line that has such words: the short, frequent ones would
+#: give unrelated lines like hashes.
+LETTERS = 4
 #: Blocks that a SimHash is cut into and blocks that must agree, by the number of distinct lines up to which so many
 #: bits keep buckets small. Every choice finds the same pairs.
 BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
 
 
-def normal(line: Column) -> Column:
-    """Lower case, white space as single blanks, none at the ends."""
-    low = F.lower(line)
-    odd = F.contains(low, F.lit("  ")) | low.rlike(r"^\s|\s$|[\t-\r]")
-    return F.when(odd, F.trim(F.regexp_replace(low, r"\s+", " "))).otherwise(low)
+#: Rows of line addresses up to which they are broadcast to the texts, some 30 bytes each.
+FEW = 250_000
+#: Members from which on a bucket, usually of some dozens, is a family of near copies.
+HOT = 256
+#: Lines that go up to which the marks are broadcast, some ten bytes each.
+MARKED = 1_000_000
 
 
-def _counters(h: Column) -> list[Column]:
-    """Sums of the bits of h, those of bit i and bit i + 32 in the halves of a long."""
-    low = F.lit(0x0000000100000001)
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(low)).alias(f"c{i}") for i in range(32)]
+def cleaned(rows: DataFrame) -> DataFrame:
+    """rows with text replaced by clean: lower case, white space within lines as single blanks. In two projections, so
+    that the lower case is made once."""
+    rest = [c for c in rows.columns if c != "text"]
+    low = rows.select(*rest, F.lower("text").alias("low"))
+    odd = F.contains("low", F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains("low", F.lit(c))
+    return low.select(*rest, F.when(odd, F.regexp_replace("low", r"[\t\x0B\f\r ]+", " ")).otherwise(F.col("low")).alias("clean"))
+
+
+#: Words of a chunk: as many as seven bits can count, so that sums stay positive.
+CHUNK = 127
+
+
+def _packed(h: Column) -> list[Column]:
+    """Sums of the bits of h, eight to a long: byte j of sum i counts bit 8 j + i, up to CHUNK words."""
+    lanes = F.lit(0x0101010101010101)
+    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(lanes)).alias(f"s{i}") for i in range(8)]
 
 
 def _majority(n: Column) -> Column:
+    """The bits that more than half of n words have, from packed sums of several chunks."""
     out = F.lit(0).cast("bigint")
-    for i in range(32):
-        c = F.col(f"c{i}")
-        for bit, x in ((i, c.bitwiseAND((1 << 32) - 1)), (i + 32, F.shiftrightunsigned(c, 32))):
-            out = out.bitwiseOR(F.when(2 * x > n, F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)))
+    for bit in range(64):
+        count = F.sum(F.shiftrightunsigned(F.col(f"s{bit % 8}"), 8 * (bit // 8)).bitwiseAND(255))
+        out = out.bitwiseOR(F.when(2 * count > n, F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)))
     return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, doc_id, line, norm) of the lines that are not blank."""
-    each = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return each.select("row", "doc_id", "line", normal(F.col("raw")).alias("norm")).where("norm <> ''")
+def _chunk_majority(n: Column) -> Column:
+    """The same for one chunk, all bytes of a counter at once: with 127 - n / 2 added, a byte reaches 128 where more
+    than half of the n words have the bit. The highest byte is added by itself, as sums must not overflow."""
+    more = 127 - F.shiftright(n, 1)
+    out = F.lit(0).cast("bigint")
+    for i in range(8):
+        low = (F.col(f"s{i}").bitwiseAND(0x00FFFFFFFFFFFFFF) + more * 0x0001010101010101).bitwiseAND(0x0080808080808080)
+        high = F.when(F.shiftrightunsigned(F.col(f"s{i}"), 56) + more >= 128, F.lit(-(1 << 63))).otherwise(F.lit(0))
+        out = out.bitwiseOR(F.shiftrightunsigned(low.bitwiseOR(high), 7 - i))
+    return out
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text), clustered by row, to (row, doc_id, line, h1, h2, size, sim): digest and SimHash by line."""
-    key = _lines(docs).select("row", "doc_id", "line", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.length("norm").alias("size"), "norm")
-    by = ["row", "doc_id", "line", "h1", "h2", "size"]
-    word = key.select(*by, F.explode(F.split("norm", " ")).alias("w")).select(*by, F.xxhash64("w").alias("w"))
-    sums = word.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_counters(F.col("w")))
-    return sums.select(*by, _majority(F.col("n")).alias("sim"))
+    """(row, doc_id, text) to (row, doc_id, line, h, sim) of the lines that are not blank: hash and SimHash of each.
+    The words of a line meet, by chunks, in the task that reads them; packed sums are shuffled, no text."""
+    # outer: else the optimizer adds filters that make the arrays once more
+    lines = F.posexplode_outer(F.transform(F.split("clean", "\n"), lambda x: F.trim(x))).alias("line", "norm")
+    each = cleaned(docs.select("row", "doc_id", "text")).select("row", "doc_id", lines).where("norm <> ''")
+    short = ~F.col("norm").rlike(f"[^ ]{{{LETTERS}}}")
+    split = each.select("row", "doc_id", "line", F.xxhash64("norm").alias("h"), short.alias("short"), F.split("norm", " ").alias("all"))
+    counted = split.select("row", "doc_id", "line", "h", "short", F.size("all").alias("words"), "all")
+    word = counted.select("row", "doc_id", "line", "h", "short", "words", F.posexplode_outer("all").alias("pos", "w"))
+    word = word.where((F.length("w") >= LETTERS) | F.col("short"))
+    word = word.select("row", "doc_id", "line", "h", "words", F.expr(f"pos div {CHUNK}").cast("int").alias("chunk"), F.xxhash64("w").alias("w"))
+    # few keys and sums: a generated aggregation stays small enough to be compiled
+    rest = [F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("doc_id", "h", "words")]]
+    chunks = word.groupBy("row", "line", "chunk").agg(*rest, *_packed(F.col("w")))
+    one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n")).alias("sim"))
+    several = chunks.where(F.col("words") > CHUNK).groupBy("row", "line")
+    several = several.agg(F.max("doc_id").alias("doc_id"), F.max("h").alias("h"), _majority(F.sum("n")).alias("sim"))
+    return one.unionByName(several)
+
+
+def symbols(norm: Column) -> Column:
+    """A normal line with one character for each word, one of some 54,000 by a hash, so that edits are of words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD600)) + 0x100), 4, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
 
 
 def _keys(n: int) -> Column:
@@ -65,51 +109,62 @@ def _keys(n: int) -> Column:
     _, blocks, agree = next(x for x in BLOCKS if n <= x[0])
     ends = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
-    for choice in combinations(range(blocks), agree):
-        mask = sum(((1 << ends[i + 1]) - (1 << ends[i])) for i in choice)
-        keys.append(F.xxhash64(F.lit(mask % 999983), F.col("sim").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    for number, choice in enumerate(combinations(range(blocks), agree)):
+        if agree == 1:  # a small number, which shuffles well compressed
+            start, width = ends[choice[0]], ends[choice[0] + 1] - ends[choice[0]]
+            keys.append(F.shiftrightunsigned("sim", start).bitwiseAND((1 << width) - 1) + (number << 32))
+        else:
+            mask = sum((1 << ends[i + 1]) - (1 << ends[i]) for i in choice)
+            keys.append(F.xxhash64(F.lit(number), F.col("sim").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
     return F.explode(F.array(*keys)).alias("key")
 
 
+def similar(pairs: DataFrame) -> DataFrame:
+    """The pairs whose symbols x and y have an edit similarity of SIMILARITY % at least."""
+    most = F.expr(f"cast(floor((100 - {SIMILARITY}) * greatest(length(x), length(y)) / 100) as int)")
+    return pairs.withColumn("most", most).where(F.expr("levenshtein(x, y, most) >= 0"))
+
+
 def mark_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, flags): for each row with a line that is first in its group, 1 at its lines that
-    stay and 0 at others; blank lines, which always stay, are 0, and so is all behind the last 1."""
-    lines = cut(simhashes(docs.repartition("row")))
+    """(row, doc_id, text) to (row, flags): for each row with lines that go, 1 at these and 0 before and between them."""
+    lines = cut(simhashes(docs))
+    release(docs.sparkSession)
     at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"))
-    classes = lines.groupBy("h1", "h2", "size").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "copies", "size", "sim"))
+    classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"))  # 128 bits tell lines apart
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "copies", "sim"))
     key = _keys(classes.count())
 
     def near(a, b) -> Column:
-        size = 100 * F.least(a("size"), b("size")) >= SIMILARITY * F.greatest(a("size"), b("size"))
-        return (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE) & size
+        return F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = classes.join(ids, "id").select("id", F.col("at.row").alias("row"), F.col("at.line").alias("line"))
-        raw = F.get(F.split("text", "\n"), F.col("line"))
-        texts = cut(docs.select("row", "text").join(wanted, "row").select("id", normal(raw).alias("norm")).dropDuplicates(["id"]))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b"
+        wanted = cut(classes.join(ids, "id").select("id", "at.doc_id", "at.row", "at.line"))
+        norm = F.trim(F.get(F.split("clean", "\n"), F.col("line")))
+        found = docs.alias("docs").join(few(wanted, FEW).alias("wanted"), F.expr("docs.doc_id <=> wanted.doc_id")).where("docs.row = wanted.row")
+        texts = cut(cleaned(found.select("id", "line", "text")).select("id", symbols(norm).alias("x")).dropDuplicates(["id"]))
+        both = pairs.join(texts.select(F.col("id").alias("a"), "x"), "a").join(
+            texts.select(F.col("id").alias("b"), F.col("x").alias("y")), "b"
         )
-        most = F.expr(f"cast(floor((100 - {SIMILARITY}) * greatest(length(x), length(y)) / 100) as int)")
-        return both.withColumn("most", most).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+        return similar(both).select("a", "b")
 
-    members = classes.select("id", "sim", "size", key)
-    often = classes.where("copies > 1").select("id", "sim", "size", "copies", key)
-    lead = F.min(F.struct(-F.col("copies"), "id", "sim", "size")).alias("lead")
-    leads = often.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), "lead.sim", "lead.size")
+    members = classes.select("id", "sim", key)
+    often = classes.where("copies > 1").select("id", "sim", "copies", key)
+    lead = F.min(F.struct(-F.col("copies"), "id", "sim")).alias("lead")
+    leads = often.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), "lead.sim")
 
     def with_comp(comps: DataFrame) -> DataFrame:
-        return classes.join(comps, "id", "left").select("id", "sim", "size", F.coalesce("comp", "id").alias("comp"), key)
+        return classes.join(comps, "id", "left").select("id", "sim", F.coalesce("comp", "id").alias("comp"), key)
 
-    comps = linked(members, leads, near, verify, with_comp)
+    comps = linked(members, leads, near, verify, with_comp, hot=HOT)
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("at").alias("at"))
-    by_row = kept.groupBy(F.col("at.row").alias("row")).agg(F.array_sort(F.collect_set("at.line")).alias("k"))
+    gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))
+    by_row = gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("k"))
     gap = lambda x, i: x - F.coalesce(F.get("k", i - 1), F.lit(-1)) - 1
     flags = F.flatten(F.transform("k", lambda x, i: F.concat(F.array_repeat(F.lit(0), gap(x, i)), F.array(F.lit(1)))))
-    return by_row.select("row", flags.alias("flags"))
+    out = by_row.select("row", flags.alias("flags"))
+    return F.broadcast(out) if gone.count() <= MARKED else out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -123,9 +178,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_kept", "__row", "__flags")])
     rows = base.withColumn("__row", F.xxhash64("doc_id", "text"))
     flags = mark_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text")).select(F.col("row").alias("__row"), F.col("flags").alias("__flags"))
-    split = F.split("text", "\n")
-    stays = F.filter(split, lambda x, i: (F.get("__flags", i) == 1) | ~x.rlike(r"\S"))
-    joined = rows.join(flags, "__row", "left").withColumn("__stays", F.when(F.col("text").isNotNull(), stays))
-    counted = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_kept": F.coalesce(F.size("__stays"), F.lit(0))}
-    out = joined.withColumns(counted | {"text": F.array_join("__stays", "\n")})
+    joined = rows.join(flags, "__row", "left")
+    stays = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("__flags", i), F.lit(0)) == 0)
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    gone = F.coalesce(F.aggregate("__flags", F.lit(0), lambda n, x: n + x), F.lit(0))
+    less = F.when(F.col("__flags").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    out = joined.withColumns({"n_lines": lines, "n_kept": lines - gone, "text": less})
     return out.select(*base.columns, "n_lines", "n_kept")
