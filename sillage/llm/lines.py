@@ -78,23 +78,26 @@ def _chunk_majority(n: Column) -> Column:
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, doc_id, line, h, sim) of the lines that are not blank: hash and SimHash of each.
+    """(row, doc_id, text) to (row, doc_id, line, h, sim) of the lines that are not blank: hash and SimHash of each,
+    as often as rows repeat.
     The words of a line meet, by chunks, in the task that reads them; packed sums are shuffled, no text."""
+    # copy: rows that repeat a doc_id and text must not meet in a counter
+    apart = docs.select("row", "doc_id", "text", F.monotonically_increasing_id().alias("copy"))
     # outer: else the optimizer adds filters that make the arrays once more
     lines = F.posexplode_outer(F.transform(F.split("clean", "\n"), lambda x: F.trim(x))).alias("line", "norm")
-    each = cleaned(docs.select("row", "doc_id", "text")).select("row", "doc_id", lines).where("norm <> ''")
+    each = cleaned(apart).select("row", "copy", "doc_id", lines).where("norm <> ''")
     short = ~F.col("norm").rlike(f"[^ ]{{{LETTERS}}}")
-    split = each.select("row", "doc_id", "line", F.xxhash64("norm").alias("h"), short.alias("short"), F.split("norm", " ").alias("all"))
-    counted = split.select("row", "doc_id", "line", "h", "short", F.size("all").alias("words"), "all")
-    word = counted.select("row", "doc_id", "line", "h", "short", "words", F.posexplode_outer("all").alias("pos", "w"))
+    split = each.select("row", "copy", "doc_id", "line", F.xxhash64("norm").alias("h"), short.alias("short"), F.split("norm", " ").alias("all"))
+    counted = split.select("row", "copy", "doc_id", "line", "h", "short", F.size("all").alias("words"), "all")
+    word = counted.select("row", "copy", "doc_id", "line", "h", "short", "words", F.posexplode_outer("all").alias("pos", "w"))
     word = word.where((F.length("w") >= LETTERS) | F.col("short"))
-    word = word.select("row", "doc_id", "line", "h", "words", F.expr(f"pos div {CHUNK}").cast("int").alias("chunk"), F.xxhash64("w").alias("w"))
+    word = word.select("row", "copy", "doc_id", "line", "h", "words", F.expr(f"pos div {CHUNK}").cast("int").alias("chunk"), F.xxhash64("w").alias("w"))
     # few keys and sums: a generated aggregation stays small enough to be compiled
-    rest = [F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("doc_id", "h", "words")]]
-    chunks = word.groupBy("row", "line", "chunk").agg(*rest, *_packed(F.col("w")))
+    rest = [F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")]]
+    chunks = word.groupBy("copy", "line", "chunk").agg(*rest, *_packed(F.col("w")))
     one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n")).alias("sim"))
-    several = chunks.where(F.col("words") > CHUNK).groupBy("row", "line")
-    several = several.agg(F.max("doc_id").alias("doc_id"), F.max("h").alias("h"), _majority(F.sum("n")).alias("sim"))
+    several = chunks.where(F.col("words") > CHUNK).groupBy("copy", "line")
+    several = several.agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "h")], _majority(F.sum("n")).alias("sim")).drop("copy")
     return one.unionByName(several)
 
 

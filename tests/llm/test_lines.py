@@ -101,6 +101,13 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert [(r["text"], r["n_lines"], r["id"]) for r in out] == [("x y z", 1, "k"), ("x y z", 1, "l")]
 
 
+def test_repeated_rows_of_long_lines(spark):
+    line = " ".join(f"worden{k}" for k in range(120))
+    rows = [(1, line)] * 5 + [(2, line), (3, "another\n" + line)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_kept"]) for r in out) == [(1, line, 1, 1)] * 5 + [(2, "", 1, 0), (3, "another", 2, 1)]
+
+
 def test_no_python_in_the_plan(spark):
     out = lines.simhashes(spark.range(3).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
