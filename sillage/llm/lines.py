@@ -1,16 +1,18 @@
 """Line dedup: near-equal lines over all documents, one occurrence of each group kept.
 
 Lines are normalised and equal ones counted once. A line's SimHash is the majority of its longer words' hashes, bit by bit,
-summed by a generated-code aggregation with eight counters to a long. Lines whose SimHashes differ in at most DISTANCE
-bits agree on a block or a combination of blocks of them (pigeonhole); such pairs are verified by the edit
-similarity of their words, and the first occurrence in each connected group stays. DataFrame operations only.
+summed by a generated-code aggregation with eight counters to a long. Lines whose SimHashes differ in at most CLOSE
+bits agree on a block or a combination of blocks of them (pigeonhole). An edited word flips more bits than that, so
+lines also meet where they share one of the word n-grams that they pick, the least under each of some masks, and their
+SimHashes differ in at most DISTANCE bits. All such pairs are verified by the edit similarity of their words, and the first
+occurrence in each connected group stays. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillage.llm.common import cut, few, release
@@ -18,7 +20,14 @@ from sillage.llm.dedup_links import linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
 #: their words, 1 - distance / longer length, in %.
-DISTANCE, SIMILARITY = 3, 80
+DISTANCE, SIMILARITY = 24, 80
+#: Bits up to which lines meet by blocks of their SimHashes; the others meet by the n-grams that they pick.
+CLOSE = 3
+#: Masks by which the hashes of n-grams are ordered; each picks one, so near lines pick a common one.
+MASKS = (0x0B8E1F2D, 0x1C6A9D35, 0x2F13C7E9, 0x38D5420B, 0x4972BE61, 0x5EA90C17, 0x63417FD8, 0x7A2C8693, -0x0D4B17A5, -0x2690E3F8, -0x4B37D26C, -0x6FC5A811)
+#: Words from which on a line can differ from another and reach SIMILARITY; below which it has pairs of words as
+#: n-grams, up to which pairs as well, as the shorter of two near lines may have fewer words: else threes.
+LEAST, PAIRS, BOTH = 5, 20, 24
 #: Letters from which on a word counts in the SimHash of a line that has such words: the short, frequent ones would
 #: give unrelated lines like hashes.
 LETTERS = 4
@@ -77,9 +86,16 @@ def _chunk_majority(n: Column) -> Column:
     return out
 
 
+def _picks() -> Column:
+    """The hashes of the n-grams that each of MASKS puts first."""
+    own = F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(MASKS)]))
+    return F.when(F.col("p0").isNotNull(), own).alias("picks")
+
+
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, doc_id, line, h, sim) of the lines that are not blank: hash and SimHash of each,
-    as often as rows repeat.
+    """(row, doc_id, text) to (row, doc_id, line, h, sim, words, odd, picks) of the lines that are not blank: hash,
+    SimHash, number of words, on which of 64 positions an odd number of the longer words falls (an edit changes two at
+    most), and the n-grams that it picks of each, as often as rows repeat; picks are null for lines of fewer than LEAST words.
     The words of a line meet, by chunks, in the task that reads them; packed sums are shuffled, no text."""
     # copy: rows that repeat a doc_id and text must not meet in a counter
     apart = docs.select("row", "doc_id", "text", F.monotonically_increasing_id().alias("copy"))
@@ -89,15 +105,27 @@ def simhashes(docs: DataFrame) -> DataFrame:
     short = ~F.col("norm").rlike(f"[^ ]{{{LETTERS}}}")
     split = each.select("row", "copy", "doc_id", "line", F.xxhash64("norm").alias("h"), short.alias("short"), F.split("norm", " ").alias("all"))
     counted = split.select("row", "copy", "doc_id", "line", "h", "short", F.size("all").alias("words"), "all")
-    word = counted.select("row", "copy", "doc_id", "line", "h", "short", "words", F.posexplode_outer("all").alias("pos", "w"))
-    word = word.where((F.length("w") >= LETTERS) | F.col("short"))
-    word = word.select("row", "copy", "doc_id", "line", "h", "words", F.expr(f"pos div {CHUNK}").cast("int").alias("chunk"), F.xxhash64("w").alias("w"))
+    word = counted.select("row", "copy", "doc_id", "line", "h", "short", "words", "all", F.posexplode_outer("all").alias("pos", "w"))
+    counts = (F.length("w") >= LETTERS) | F.col("short")
+    following = [F.get("all", F.col("pos") + i) for i in (1, 2)]
+    # n-grams begin with a word that counts; in lines of few words these are too few, and pairs may also end with one
+    either = counts | (F.length(following[0]) >= LETTERS)
+    pair = F.when((F.col("words") >= LEAST) & (F.col("words") < BOTH) & either, F.hash("w", following[0]))
+    three = F.when((F.col("words") >= PAIRS) & counts, F.hash("w", *following))
+    word = word.where(counts | (F.col("words") < PAIRS))
+    hashed = F.when(counts, F.xxhash64("w")).otherwise(F.lit(0).cast("bigint")).alias("w")
+    one_of = F.expr("shiftleft(1L, cast(pmod(xxhash64(w), 64) as int))")
+    odd = F.when(F.length("w") >= LETTERS, one_of).otherwise(F.lit(0).cast("bigint"))
+    chunk = F.expr(f"pos div {CHUNK}").cast("int").alias("chunk")
+    word = word.select("row", "copy", "doc_id", "line", "h", "words", chunk, hashed, counts.cast("int").alias("n"), odd.alias("odd"), pair.alias("pair"), three.alias("three"))
+    picks = [F.min(F.least(F.col("pair").bitwiseXOR(F.lit(m)), F.col("three").bitwiseXOR(F.lit(m)))).alias(f"p{i}") for i, m in enumerate(MASKS)]
     # few keys and sums: a generated aggregation stays small enough to be compiled
-    rest = [F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")]]
-    chunks = word.groupBy("copy", "line", "chunk").agg(*rest, *_packed(F.col("w")))
-    one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n")).alias("sim"))
+    rest = [F.sum("n").alias("n"), F.bit_xor("odd").alias("odd"), *[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")]]
+    chunks = word.groupBy("copy", "line", "chunk").agg(*rest, *_packed(F.col("w")), *picks)
+    one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n").cast("int")).alias("sim"), "words", "odd", _picks())
     several = chunks.where(F.col("words") > CHUNK).groupBy("copy", "line")
-    several = several.agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "h")], _majority(F.sum("n")).alias("sim")).drop("copy")
+    several = several.agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")], _majority(F.sum("n")).alias("sim"), F.bit_xor("odd").alias("odd"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(len(MASKS))])
+    several = several.select("row", "doc_id", "line", "h", "sim", "words", "odd", _picks())
     return one.unionByName(several)
 
 
@@ -118,10 +146,16 @@ def _keys(n: int) -> Column:
             keys.append(F.shiftrightunsigned("sim", start).bitwiseAND((1 << width) - 1) + (number << 32))
         else:
             mask = sum((1 << ends[i + 1]) - (1 << ends[i]) for i in choice)
-            keys.append(F.xxhash64(F.lit(number), F.col("sim").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+            hashed = F.xxhash64(F.lit(number), F.col("sim").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+            keys.append(hashed.bitwiseAND((1 << 63) - 1))
     return F.explode(F.array(*keys)).alias("key")
 
 
+def _picked_keys() -> Column:
+    """The buckets of the n-grams that a line picks; their keys are below 0, those of _keys() are not."""
+    return F.explode(F.transform("at.picks", lambda x: x.cast("bigint") - (1 << 33))).alias("key")
+
+
 def similar(pairs: DataFrame) -> DataFrame:
     """The pairs whose symbols x and y have an edit similarity of SIMILARITY % at least."""
     most = F.expr(f"cast(floor((100 - {SIMILARITY}) * greatest(length(x), length(y)) / 100) as int)")
@@ -132,13 +166,16 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, flags): for each row with lines that go, 1 at these and 0 before and between them."""
     lines = cut(simhashes(docs))
     release(docs.sparkSession)
-    at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"))
+    at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), F.col("odd"), F.col("picks"))
     classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"))  # 128 bits tell lines apart
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "copies", "sim"))
     key = _keys(classes.count())
 
     def near(a, b) -> Column:
-        return F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE
+        bits = F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= F.when(F.col("key") < 0, DISTANCE).otherwise(CLOSE)
+        longer, shorter = F.greatest(a("words"), b("words")), F.least(a("words"), b("words"))
+        edits = F.floor((100 - SIMILARITY) * longer / 100)
+        return bits & (longer - shorter <= edits) & (F.bit_count(a("odd").bitwiseXOR(b("odd"))) <= 2 * edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
@@ -152,13 +189,21 @@ def mark_lines(docs: DataFrame) -> DataFrame:
         )
         return similar(both).select("a", "b")
 
-    members = classes.select("id", "sim", key)
-    often = classes.where("copies > 1").select("id", "sim", "copies", key)
-    lead = F.min(F.struct(-F.col("copies"), "id", "sim")).alias("lead")
-    leads = often.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), "lead.sim")
+    able = classes.where("at.picks is not null").select("*", "at.words", "at.odd")  # others only equal each other
+    # most n-grams are of one line only; those go before anything is joined
+    picked = able.select("id", "sim", "words", "odd", _picked_keys()).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    picked = cut(picked.where("n > 1").drop("n"))
+    release(docs.sparkSession)
+    members = able.select("id", "sim", "words", "odd", key).unionByName(picked)
+    often = able.where("copies > 1")
+    often = often.select("id", "sim", "words", "odd", "copies", key).unionByName(often.select("id", "sim", "words", "odd", "copies", _picked_keys()))
+    lead = F.min(F.struct(-F.col("copies"), "id", "sim", "words", "odd")).alias("lead")
+    leads = often.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), "lead.sim", "lead.words", "lead.odd")
 
     def with_comp(comps: DataFrame) -> DataFrame:
-        return classes.join(comps, "id", "left").select("id", "sim", F.coalesce("comp", "id").alias("comp"), key)
+        own = [F.col("id"), F.col("sim"), F.col("words"), F.col("odd"), F.coalesce("comp", "id").alias("comp")]
+        blocks = able.join(comps, "id", "left").select(*own, key)
+        return blocks.unionByName(picked.join(comps, "id", "left").select(*own, "key"))
 
     comps = linked(members, leads, near, verify, with_comp, hot=HOT)
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("at").alias("at"))

@@ -108,6 +108,23 @@ def test_repeated_rows_of_long_lines(spark):
     assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_kept"]) for r in out) == [(1, line, 1, 1)] * 5 + [(2, "", 1, 0), (3, "another", 2, 1)]
 
 
+def test_edited_lines_are_found_by_their_edits_alone(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    base = [[r.choice(words) for _ in range(n)] for n in (5, 7, 9, 10, 14, 19, 20, 22, 24, 30, 45, 80, 130, 300) for _ in range(8)]
+    rows = [(k, " ".join(line)) for k, line in enumerate(base)]
+    for share in (0, 0.1, 0.2):  # one word, or so many of them
+        for k, line in enumerate(base):
+            line = list(line)
+            for p in r.sample(range(len(line)), max(1, int(share * len(line)))):
+                line[p] = r.choice(words)
+            rows.append((len(rows), " ".join(line)))
+    got = kept(spark, rows)
+    assert all(got[k][2] == 1 for k in range(len(base)))
+    lost = sum(got[k][2] for k in range(len(base), len(rows)))
+    assert lost <= 0.02 * (len(rows) - len(base))
+
+
 def test_no_python_in_the_plan(spark):
     out = lines.simhashes(spark.range(3).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
