@@ -56,11 +56,12 @@ def numeric(df: DataFrame, but: tuple[str, ...] = ("product_id",)) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
 
-def matrix(products: DataFrame, classified: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:
+def matrix(products: DataFrame, classified: DataFrame, reviews: DataFrame, as_of: str, texts: DataFrame | None = None) -> DataFrame:
     """All numeric blocks, standardised by the population deviation; constant columns are 0. One aggregation gives the
-    moments of all columns."""
+    moments of all columns. Without texts there is no text block."""
     joined = price(products, as_of)
-    for block in (behaviour(reviews), sustainability(products), luxury(classified)):
+    text = [] if texts is None else text_block(texts)
+    for block in (behaviour(reviews), sustainability(products), luxury(classified), *text):
         joined = joined.join(block, "product_id", "left")
     names = numeric(joined)
     filled = joined.select("product_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
@@ -113,5 +114,15 @@ def text_components(weights: DataFrame, k: int = COMPONENTS) -> DataFrame:
     return out.select("product_id", vector_to_array("components").alias("components"))
 
 
+def text_block(texts: DataFrame) -> list[DataFrame]:
+    """(product_id, txt_dim_00, ...) from the French texts; none if these have no terms."""
+    weights = tfidf(product_text(texts)).cache()
+    if weights.isEmpty():
+        return []
+    components = text_components(weights)
+    k = min(COMPONENTS, weights.select("term").distinct().count())
+    return [components.select("product_id", *[F.get("components", F.lit(i)).alias(f"txt_dim_{i:02d}") for i in range(k)])]
+
+
 def as_vector(df: DataFrame, names: list[str]) -> Column:
     return array_to_vector(F.array(*[F.col(c).cast("double") for c in names]))

@@ -512,7 +512,7 @@ def luxury_features(spark, sf):
 
 
 def _matrix(spark, sf):
-    return features.matrix(v.products(spark, sf), classified(spark, sf), v.reviews(spark, sf), AS_OF)
+    return features.matrix(v.products(spark, sf), classified(spark, sf), v.reviews(spark, sf), AS_OF, v.review_texts(spark, sf))
 
 
 _COLS = {
@@ -527,7 +527,14 @@ _COLS = {
     f AS (SELECT c.product_id, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in ((n, x) for n, x in _COLS.items()))} FROM classified c LEFT JOIN b USING (product_id))
     SELECT product_id, {', '.join(rnd(f'coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0), 0)', 3) + f' AS {n}' for n in _COLS)} FROM f""")
 def feature_matrix(spark, sf):
-    return _matrix(spark, sf).select("product_id", *[srnd(F.col(c), 3).alias(c) for c in _COLS])
+    m = features.matrix(v.products(spark, sf), classified(spark, sf), v.reviews(spark, sf), AS_OF)
+    return m.select("product_id", *[srnd(F.col(c), 3).alias(c) for c in _COLS])
+
+
+@query()
+def feature_matrix_full(spark, sf):
+    """All columns, with those that the SQL of feature_matrix leaves out and the text block."""
+    return _matrix(spark, sf)
 
 
 @query(r"WITH t AS (SELECT doc_id % 100 AS product_id, trim(lower(regexp_replace(string_agg(text, ' ' ORDER BY doc_id), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'))) AS text FROM documents WHERE lang = 'fr' GROUP BY 1) SELECT product_id, length(text) AS n, md5(text) AS h FROM t")
