@@ -609,12 +609,12 @@ def davies_bouldin(spark, sf):
 def kmeans_sweep(spark, sf):
     m = _matrix(spark, sf)
     names = features.numeric(m)
-    return cluster.sweep(m.select("product_id", features.as_vector(m, names).alias("features"), F.array(*names).alias("x")), restarts=2)
+    return cluster.sweep(m.select("product_id", features.as_vector(m, names).alias("features"), F.array(*names).alias("x")), restarts=10)
 
 
 @query()
 def ablation(spark, sf):
-    return cluster.ablation(_matrix(spark, sf), ("refillable", "brand_refill_share", "eco_badge_count"), ks=(2,), restarts=1)
+    return cluster.ablation(_matrix(spark, sf), ("refillable", "brand_refill_share", "eco_badge_count"), ks=(2, 3, 4), restarts=1)
 
 
 @query(with_(LOG) + """, n AS (SELECT domain_id, row_number() OVER w AS step, sum(CASE WHEN status IN (403, 429, 503) THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS e,
