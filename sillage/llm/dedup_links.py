@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut, release
+from sillage.llm.common import components, cut, drop_cut
 
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -64,9 +64,6 @@ def linked(
     pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = cut(verify(pairs))
     comps = cut(components(first))
-    del star, pairs, m
-    release(members.sparkSession)
-
     if hot:
         more = _picked(members, comps, near, verify, hot)
         if more is not None:

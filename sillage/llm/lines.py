@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut, few, release
+from sillage.llm.common import cut, few
 from sillage.llm.dedup_links import linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
@@ -165,7 +165,6 @@ def similar(pairs: DataFrame) -> DataFrame:
 def mark_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, flags): for each row with lines that go, 1 at these and 0 before and between them."""
     lines = cut(simhashes(docs))
-    release(docs.sparkSession)
     at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), F.col("odd"), F.col("picks"))
     classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"))  # 128 bits tell lines apart
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "copies", "sim"))
@@ -193,7 +192,6 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     # most n-grams are of one line only; those go before anything is joined
     picked = able.select("id", "sim", "words", "odd", _picked_keys()).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
     picked = cut(picked.where("n > 1").drop("n"))
-    release(docs.sparkSession)
     members = able.select("id", "sim", "words", "odd", key).unionByName(picked)
     often = able.where("copies > 1")
     often = often.select("id", "sim", "words", "odd", "copies", key).unionByName(often.select("id", "sim", "words", "odd", "copies", _picked_keys()))

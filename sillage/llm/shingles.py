@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut, few, release
+from sillage.llm.common import components, cut, drop_cut, few
 from sillage.llm.dedup_links import linked
 
 N_WORDS, SHARE = 5, 80
@@ -34,6 +34,8 @@ BAND = 2.5
 SMALL, FEW_SUBS, SUBS, SPARE = 64, 3, 2, 1
 #: Documents of the sample in which an element must occur COMMON times to be left out of the first domain.
 SAMPLE, COMMON = 8_000, 4
+#: Classes of the sample in which a signature must occur to be dealt out by salts.
+HOT = 16
 #: Domains tried before empty projections count too; salts that a hot set's comparisons are dealt out by.
 LEVELS, SALTS = 8, 16
 #: Bits of the parity vector by which pairs are sifted before their texts are fetched.
@@ -185,39 +187,48 @@ def _sample(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, id, info): a row for each signature of each document, and one with its info: the set's size n, digest d1
-    and d2 (d1 is the key) and parity vector."""
-    kinds = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("parity", pa.list_(pa.int64()))]
+def _infos(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, text, h) to (doc_id, h, n, d1, d2, parity, sigs): the set's size, two digests that tell sets apart, its
+    parity vector and its signatures (none without a doc_id)."""
+    names = ["doc_id", "h", "n", "d1", "d2", "parity", "sigs"]
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 n, d1, d2, odd, sigs = [], [], [], [], []
-                for text in part.column(1):
+                for doc_id, text in zip(part.column(0), part.column(1), strict=True):
                     s = shingle_set((text.as_py() or "").encode())
                     n.append(len(s))
                     d1.append(s.sum(dtype=np.uint64))
                     d2.append(mix(s + _M1).sum(dtype=np.uint64))
-                    odd.append(np.bincount((mix(s + _M2) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1)
-                    sigs.append(signatures(s, common))
-                longs = np.packbits(np.array(odd, np.uint8), axis=1, bitorder="little").view(np.int64)
-                d1, d2 = (np.array(x, np.uint64).view(np.int64) for x in (d1, d2))
-                ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64))
-                info = pa.StructArray.from_arrays(
-                    [pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(longs.ravel()))],
-                    names=[x for x, _ in kinds],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(d1), part.column(0), info], names=["key", "id", "info"])
-                known = [x for x in range(len(n)) if part.column(0)[x].is_valid]
-                ids = np.repeat(np.array([part.column(0)[x].as_py() for x in known], np.int64), [len(sigs[x]) for x in known])
-                flat = np.concatenate([np.empty(0, np.uint64), *(sigs[x] for x in known)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), pa.array(ids), pa.nulls(len(flat), pa.struct(kinds))], names=["key", "id", "info"]
-                )
-
-    return docs.mapInArrow(run, "key bigint, id bigint, info struct<n: bigint, d1: bigint, d2: bigint, parity: array<bigint>>")
+                    bits = np.bincount((mix(s + _M2) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                    odd.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
+                    sigs.append(signatures(s, common).view(np.int64) if len(s) and doc_id.is_valid else np.empty(0, np.int64))
+                d1, d2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), d1, d2, lists(odd), lists(sigs)], names=names)
+
+    return docs.mapInArrow(run, "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, parity array<bigint>, sigs array<bigint>")
+
+
+def _met(reps: DataFrame, documents: int) -> DataFrame:
+    """(key, id, n, w) of the signatures that several classes share; w says how many others a class meets in all.
+
+    Signatures that a bounded sample found in a good share of all classes are dealt out by salts: none of those is
+    alone. The sample affects how rows are dealt, never which are kept."""
+    share = min(1.0, SAMPLE / max(1, documents))
+    rows = reps.select("id", "n", F.explode("sigs").alias("key"))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    hot = cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= HOT))  # at most the sample's signatures / HOT
+    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))
+    size = F.coalesce((F.col("seen") / F.lit(share)).cast("bigint"), alone)
+    met = dealt.select("key", "id", "n", size.alias("size")).where("size > 1")
+    return cut(met.withColumn("w", F.sum("size").over(Window.partitionBy("id"))).drop("size"))
 
 
 #: Ids of the documents whose texts are compared, up to which they are broadcast to the texts.
@@ -236,9 +247,10 @@ def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((100 + SHARE) * odd <= (100 - SHARE) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _verifier(texts: DataFrame, sets: DataFrame):
-    """(a, b) to the pairs whose sets link. Each b's text goes to where a's set is made, once for each salt of a;
-    rows arrive sorted, so that a task holds one set and one batch."""
+def _verifier(texts: DataFrame, reps: DataFrame):
+    """(a, b) to the pairs whose sets link; texts: (doc_id, text), reps: (id, doc_id, h, n, parity) of the classes, h the
+    text's hash. Each b's text goes to where a's set is made, once for each salt of a; rows arrive sorted, so that a
+    task holds one set and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, now = None, None
@@ -257,14 +269,15 @@ def _verifier(texts: DataFrame, sets: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(_sifted(pairs, sets).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
+        pairs = cut(_sifted(pairs, reps.select("id", "n", "parity")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
         own = pairs.select("a", "salt").distinct()
         wanted = own.select("a", "salt", F.lit(None).cast("bigint").alias("b")).unionByName(pairs)
-        wanted = cut(wanted.withColumn("doc_id", F.coalesce("b", "a")))
-        once = texts.where("doc_id is not null").join(few(cut(wanted.select("doc_id").distinct()), FEW), "doc_id", "left_semi")
-        once = cut(once.dropDuplicates(["doc_id"]))
-        release(texts.sparkSession)
-        rows = wanted.join(once, "doc_id").select("a", "salt", "b", "text")
+        wanted = cut(wanted.withColumn("id", F.coalesce("b", "a")))
+        ids = cut(wanted.select("id").distinct())
+        where = cut(reps.select("id", "doc_id", "h").join(few(ids, FEW), "id"))
+        own = texts.withColumn("h", F.xxhash64("text")).join(few(where, FEW), ["doc_id", "h"])
+        once = cut(own.select("id", "text").dropDuplicates(["id"]))
+        rows = wanted.join(once, "id").select("a", "salt", "b", "text")
         dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -275,44 +288,49 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id: one row per row of docs.
 
     Null, empty and wordless texts have no shingles and link with nothing. A row with a null doc_id has its
-    n_shingles, links with nothing and gets a null component_id; rows that share a doc_id count as one node. Equal
-    sets are one class, so thousands of copies cost one row each. Further columns are ignored; an empty table gives
-    no rows.
+    n_shingles, links with nothing and gets a null component_id; rows that share a doc_id are one node, with the links
+    of all their texts. Equal sets are one class before signatures are dealt out, so thousands of copies cost one row
+    each. Whole texts count, however long: a task holds one set at a time. Ties need no rule: a component's id is its
+    smallest doc_id. Further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    by = Window.partitionBy("key").orderBy("id")
-    size = F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size")
-    rows = _rows(docs, _sample(docs)).select("*", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"), size)
-    rows = cut(rows.where("before <> id or after <> id or info is not null").drop("before", "after"))
-    release(docs.sparkSession)
-    sets = rows.where("info is not null").select(F.col("id").alias("doc_id"), "info.*")
-    ids = ["n", "d1", "d2"]
-    real = sets.where("n > 0 and doc_id is not null")
-    classes = cut(real.groupBy(*ids).agg(F.min("doc_id").alias("id"), F.first("parity").alias("parity")))
-    parity = classes.select("id", "n", "parity")  # equal sets have equal parities
-    reps = classes.groupBy("id").agg(F.max("n").alias("n"))
-    met = rows.where("info is null").select("key", "id", "size").join(reps, "id")
+    made = _infos(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), _sample(docs))
+    infos = cut(made.withColumn("uid", F.monotonically_increasing_id()))
+    digests = ["n", "d1", "d2"]
+    real = infos.where("n > 0 and doc_id is not null")
+    classes = cut(real.groupBy(*digests).agg(F.min("uid").alias("id"), F.min("doc_id").alias("least")))
+    named = real.select("uid", *digests).join(classes, digests).select("uid", "id")
+    own = cut(infos.select("doc_id", "n", "uid").join(named, "uid", "left"))
+    copies = cut(own.where("uid <> id").select("uid"))
+    reps = real.join(few(copies, FEW), "uid", "left_anti").withColumnRenamed("uid", "id")
+
+    met = _met(reps, classes.count())
     # A bucket's leader is the set that meets most others in all its buckets: of near copies, what they are copies of.
-    met = cut(met.select("key", "id", "n", F.sum("size").over(Window.partitionBy("id")).alias("w")))
-    leads = met.groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leads = met.groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x"), F.count(F.lit(1)).alias("size"))
     leads = cut(leads.select("key", F.col("x.id").alias("lead"), "x.n", "size"))
-    release(docs.sparkSession)
     near = lambda a, b: 100 * F.least(a("n"), b("n")) >= SHARE * F.greatest(a("n"), b("n"))
-    members = met.select("key", "id", "n").join(leads.select("key"), "key", "left_semi")
+    members = met.select("key", "id", "n")
     half = PARITY // 64 // FOLDED
     folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i + k * FOLDED)) for k in range(half)]).alias(f"p{i}") for i in range(FOLDED)]
 
     def with_comp(comps: DataFrame) -> DataFrame:
-        rows = parity.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), *folds)
-        more = met.select("key", "id", "n").join(leads.where("size > 2").select("key"), "key", "left_semi")
+        rows = reps.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), *folds)
+        more = members.join(leads.where("size > 2").select("key"), "key", "left_semi")
         return more.join(rows, "id")
 
     def near_rest(a, b):
         odd = sum((F.bit_count(a(f"p{i}").bitwiseXOR(b(f"p{i}"))) for i in range(FOLDED)), F.lit(0))
         return near(a, b) & ((100 + SHARE) * odd <= (100 - SHARE) * (a("n") + b("n")))
 
-    comps = linked(members, leads, near, _verifier(docs, parity), with_comp, near_rest)
-    named = classes.join(comps, "id", "left").select(*ids, F.coalesce("comp", "id").alias("comp"))
-    out = sets.select("doc_id", *ids).join(named, ids, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    comps = cut(linked(members, leads, near, _verifier(docs, reps), with_comp, near_rest))
+    drop_cut(met, leads)
+    # rows that share a doc_id are one node: their classes are linked
+    several = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
+    same = cut(own.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
+    if not same.isEmpty():
+        comps = cut(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(same)))
+    grouped = classes.select("id", "least").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    first = grouped.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of = grouped.join(first, "comp").select("id", "component_id")
+    out = own.join(of, "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -92,3 +92,30 @@ def test_edges(spark):
 def test_null_id(spark):
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (2, "a b c d e f g")]
     assert result(spark, rows) == {None: (3, None), 3: (3, 2), 2: (3, 2)}
+
+
+def test_all_texts_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, "less " + b), (4, b.upper()), (7, "something else")]
+    got = result(spark, rows)
+    assert {d: c for d, (_, c) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7}
+
+
+def test_many_equal_and_empty_texts_emit_once(spark, monkeypatch):
+    same = " ".join(f"v{i}" for i in range(40))
+    rows = [(i, None) for i in range(300)] + [(1000 + i, " \n") for i in range(300)] + [(2000 + i, same) for i in range(300)]
+    emitted = []
+    made = shingles._met
+    monkeypatch.setattr(shingles, "_met", lambda reps, n: (emitted.append(reps.count()), made(reps, n))[1])
+    got = result(spark, rows)
+    assert emitted == [1]
+    assert all(got[d] == (36, 2000) for d, t in rows if t == same)
+    assert all(got[d] == (0, d) for d, t in rows if t != same)
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(40_000))
+    near = long.replace("w77x", "other")
+    df = spark.createDataFrame([(5, long, "k", 1, 2), (4, near, "l", 3, 4)], "doc_id long, text string, key string, id int, n int")
+    out = sorted((r["doc_id"], r["component_id"]) for r in shingles.jaccard_components(df).collect())
+    assert out == [(4, 4), (5, 4)]
