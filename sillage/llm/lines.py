@@ -4,8 +4,9 @@ Lines are normalised and equal ones counted once. A line's SimHash is the majori
 summed by a generated-code aggregation with eight counters to a long. Lines whose SimHashes differ in at most CLOSE
 bits agree on a block or a combination of blocks of them (pigeonhole). An edited word flips more bits than that, so
 lines also meet where they share one of the word n-grams that they pick, the least under each of some masks, and their
-SimHashes differ in at most DISTANCE bits. All such pairs are verified by the edit similarity of their words, and the first
-occurrence in each connected group stays. DataFrame operations only.
+SimHashes differ in at most DISTANCE bits. All such pairs are verified by the edit similarity of their words, first of
+one symbol for each word, then of the words themselves, and the first occurrence in each connected group stays.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut, few
+from sillage.llm.common import components, cut, drop_cut, few
 from sillage.llm.dedup_links import linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
@@ -24,7 +25,7 @@ DISTANCE, SIMILARITY = 24, 80
 #: Bits up to which lines meet by blocks of their SimHashes; the others meet by the n-grams that they pick.
 CLOSE = 3
 #: Masks by which the hashes of n-grams are ordered; each picks one, so near lines pick a common one.
-MASKS = (0x0B8E1F2D, 0x1C6A9D35, 0x2F13C7E9, 0x38D5420B, 0x4972BE61, 0x5EA90C17, 0x63417FD8, 0x7A2C8693, -0x0D4B17A5, -0x2690E3F8, -0x4B37D26C, -0x6FC5A811)
+MASKS = tuple((k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63) for k in range(1, 13))
 #: Words from which on a line can differ from another and reach SIMILARITY; below which it has pairs of words as
 #: n-grams, up to which pairs as well, as the shorter of two near lines may have fewer words: else threes.
 LEAST, PAIRS, BOTH = 5, 20, 24
@@ -36,11 +37,11 @@ LETTERS = 4
 BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
 
 
-#: Rows of line addresses up to which they are broadcast to the texts, some 30 bytes each.
-FEW = 250_000
+#: Rows up to which a table of keys, ids or line addresses is broadcast, some 30 bytes each.
+FEW = 1_000_000
 #: Members from which on a bucket, usually of some dozens, is a family of near copies.
 HOT = 256
-#: Lines that go up to which the marks are broadcast, some ten bytes each.
+#: Lines that go up to which their numbers are broadcast: 4 bytes each, and some 40 for each row that has any.
 MARKED = 1_000_000
 
 
@@ -110,8 +111,8 @@ def simhashes(docs: DataFrame) -> DataFrame:
     following = [F.get("all", F.col("pos") + i) for i in (1, 2)]
     # n-grams begin with a word that counts; in lines of few words these are too few, and pairs may also end with one
     either = counts | (F.length(following[0]) >= LETTERS)
-    pair = F.when((F.col("words") >= LEAST) & (F.col("words") < BOTH) & either, F.hash("w", following[0]))
-    three = F.when((F.col("words") >= PAIRS) & counts, F.hash("w", *following))
+    pair = F.when((F.col("words") >= LEAST) & (F.col("words") < BOTH) & either, F.xxhash64("w", following[0]))
+    three = F.when((F.col("words") >= PAIRS) & counts, F.xxhash64("w", *following))
     word = word.where(counts | (F.col("words") < PAIRS))
     hashed = F.when(counts, F.xxhash64("w")).otherwise(F.lit(0).cast("bigint")).alias("w")
     one_of = F.expr("shiftleft(1L, cast(pmod(xxhash64(w), 64) as int))")
@@ -129,10 +130,19 @@ def simhashes(docs: DataFrame) -> DataFrame:
     return one.unionByName(several)
 
 
+def _character(number: Column) -> Column:
+    """The hexadecimal UTF-8 of one of 786,432 characters."""
+    at = lambda shift: F.shiftright(number, shift).bitwiseAND(63)
+    return F.hex(F.lit(0xF1808080) + F.shiftright(number, 18) * (1 << 24) + at(12) * (1 << 16) + at(6) * (1 << 8) + at(0))
+
+
+def _string(hexes: Column) -> Column:
+    return F.unhex(F.array_join(hexes, "")).cast("string")
+
+
 def symbols(norm: Column) -> Column:
-    """A normal line with one character for each word, one of some 54,000 by a hash, so that edits are of words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD600)) + 0x100), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
+    """A normal line with one character for each word, one of 786,432 by a hash, so that edits are of words."""
+    return _string(F.transform(F.split(norm, " "), lambda w: _character(F.pmod(F.xxhash64(w), F.lit(3 << 18)))))
 
 
 def _keys(n: int) -> Column:
@@ -151,66 +161,86 @@ def _keys(n: int) -> Column:
     return F.explode(F.array(*keys)).alias("key")
 
 
-def _picked_keys() -> Column:
-    """The buckets of the n-grams that a line picks; their keys are below 0, those of _keys() are not."""
-    return F.explode(F.transform("at.picks", lambda x: x.cast("bigint") - (1 << 33))).alias("key")
-
-
 def similar(pairs: DataFrame) -> DataFrame:
     """The pairs whose symbols x and y have an edit similarity of SIMILARITY % at least."""
     most = F.expr(f"cast(floor((100 - {SIMILARITY}) * greatest(length(x), length(y)) / 100) as int)")
-    return pairs.withColumn("most", most).where(F.expr("levenshtein(x, y, most) >= 0"))
+    return pairs.withColumn("most", most).where(F.expr("levenshtein(x, y, most) >= 0")).drop("most")
+
+
+def _exact(pairs: DataFrame) -> DataFrame:
+    """(a, b, v, w) with the lines v and w to the pairs that are similar by their words: each word is its place among
+    the pair's distinct ones, so unlike words never count as equal."""
+    of = F.array_distinct(F.concat(F.split("v", " "), F.split("w", " ")))
+    number = lambda c: _string(F.transform(F.split(c, " "), lambda x: _character(F.array_position("of", x))))
+    return similar(pairs.withColumn("of", of).select("a", "b", number("v").alias("x"), number("w").alias("y")))
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """(key, id, sim, comp) to the pairs (a, b) that share a key, differ in CLOSE bits at most and are not yet in one
+    component. In a bucket of more than HOT rows, those of its largest component are held against the others only."""
+    close = F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= CLOSE
+    other = (F.col("x.comp") != F.col("y.comp")) & close
+    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+    cold = rows.join(few(hot, FEW), "key", "left_anti")
+    pairs = cold.alias("x").join(cold.alias("y"), "key").where(other & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if not hot.isEmpty():
+        warm = cut(rows.join(few(hot, FEW), "key", "left_semi"))
+        top = warm.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
+        warm = warm.join(top, "key").withColumn("out", F.col("comp") != F.col("big"))
+        met = warm.where("out").alias("x").join(warm.alias("y"), "key").where(other & (~F.col("y.out") | (F.col("x.id") < F.col("y.id"))))
+        pairs = pairs.unionByName(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return pairs.distinct()
 
 
 def mark_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, flags): for each row with lines that go, 1 at these and 0 before and between them."""
+    """(row, doc_id, text) to (row, gone): for each row with lines that go, their numbers."""
     lines = cut(simhashes(docs))
     at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), F.col("odd"), F.col("picks"))
-    classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"))  # 128 bits tell lines apart
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "copies", "sim"))
+    classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"))  # 128 bits tell lines apart
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "sim"))
     key = _keys(classes.count())
 
     def near(a, b) -> Column:
-        bits = F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= F.when(F.col("key") < 0, DISTANCE).otherwise(CLOSE)
         longer, shorter = F.greatest(a("words"), b("words")), F.least(a("words"), b("words"))
         edits = F.floor((100 - SIMILARITY) * longer / 100)
-        return bits & (longer - shorter <= edits) & (F.bit_count(a("odd").bitwiseXOR(b("odd"))) <= 2 * edits)
+        sifted = (longer - shorter <= edits) & (F.bit_count(a("odd").bitwiseXOR(b("odd"))) <= 2 * edits)
+        return sifted & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = cut(classes.join(ids, "id").select("id", "at.doc_id", "at.row", "at.line"))
+        ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        wanted = cut(classes.select("id", "at.doc_id", "at.row", "at.line").join(few(ids, FEW), "id"))
         norm = F.trim(F.get(F.split("clean", "\n"), F.col("line")))
         found = docs.alias("docs").join(few(wanted, FEW).alias("wanted"), F.expr("docs.doc_id <=> wanted.doc_id")).where("docs.row = wanted.row")
-        texts = cut(cleaned(found.select("id", "line", "text")).select("id", symbols(norm).alias("x")).dropDuplicates(["id"]))
-        both = pairs.join(texts.select(F.col("id").alias("a"), "x"), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("x").alias("y")), "b"
-        )
-        return similar(both).select("a", "b")
+        texts = cut(cleaned(found.select("id", "line", "text")).select("id", norm.alias("v"), symbols(norm).alias("x")).dropDuplicates(["id"]))
+        side = lambda i, c, to: texts.select(F.col("id").alias(i), F.col(c).alias(to))
+        like = cut(similar(pairs.join(side("a", "x", "x"), "a").join(side("b", "x", "y"), "b")).select("a", "b"))
+        drop_cut(ids, wanted)
+        return _exact(like.join(side("a", "v", "v"), "a").join(side("b", "v", "w"), "b")).select("a", "b")
 
-    able = classes.where("at.picks is not null").select("*", "at.words", "at.odd")  # others only equal each other
+    able = classes.where("at.picks is not null").select("id", "sim", "at.words", "at.odd", "at.picks")  # others only equal each other
     # most n-grams are of one line only; those go before anything is joined
-    picked = able.select("id", "sim", "words", "odd", _picked_keys()).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    picked = cut(picked.where("n > 1").drop("n"))
-    members = able.select("id", "sim", "words", "odd", key).unionByName(picked)
-    often = able.where("copies > 1")
-    often = often.select("id", "sim", "words", "odd", "copies", key).unionByName(often.select("id", "sim", "words", "odd", "copies", _picked_keys()))
-    lead = F.min(F.struct(-F.col("copies"), "id", "sim", "words", "odd")).alias("lead")
-    leads = often.groupBy("key").agg(lead).select("key", F.col("lead.id").alias("lead"), "lead.sim", "lead.words", "lead.odd")
-
-    def with_comp(comps: DataFrame) -> DataFrame:
-        own = [F.col("id"), F.col("sim"), F.col("words"), F.col("odd"), F.coalesce("comp", "id").alias("comp")]
-        blocks = able.join(comps, "id", "left").select(*own, key)
-        return blocks.unionByName(picked.join(comps, "id", "left").select(*own, "key"))
-
-    comps = linked(members, leads, near, verify, with_comp, hot=HOT)
-    kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("at").alias("at"))
+    grams = able.select("id", F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
+    grams = cut(grams.where("n > 1"))
+    picked = cut(able.select("id", "sim", "words", "odd", F.explode("picks").alias("key")).join(few(grams, FEW), "key"))
+    members = picked.select("key", "id", "sim", "words", "odd")
+    leads = picked.where("id = lead").select("key", "lead", "sim", "words", "odd")
+
+    def with_comp(comps: DataFrame) -> DataFrame:  # buckets of two have met their leader
+        more = picked.where("n > 2").drop("n", "lead")
+        return more.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    comps = cut(linked(members, leads, near, verify, with_comp, hot=HOT))
+    drop_cut(grams, picked)
+    blocks = able.select("id", "sim").join(comps, "id", "left").select("id", "sim", F.coalesce("comp", "id").alias("comp"), key)
+    more = cut(verify(_close(blocks)))
+    if not more.isEmpty():
+        comps = cut(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+    kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min(F.struct("at.doc_id", "at.row", "at.line")).alias("at"))
     gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))
-    by_row = gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("k"))
-    gap = lambda x, i: x - F.coalesce(F.get("k", i - 1), F.lit(-1)) - 1
-    flags = F.flatten(F.transform("k", lambda x, i: F.concat(F.array_repeat(F.lit(0), gap(x, i)), F.array(F.lit(1)))))
-    out = by_row.select("row", flags.alias("flags"))
-    return F.broadcast(out) if gone.count() <= MARKED else out
+    drop_cut(lines, classes)
+    out = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
+    return few(out, FEW) if gone.count() <= MARKED else out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -219,15 +249,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Blank lines stay where they are and count as kept. Null text stays null, with no lines; empty text has one, blank.
     Rows that repeat a doc_id and text count as one document: each keeps the same lines. A null doc_id sorts first.
-    A document all of whose lines are dropped has an empty text. An empty table gives no rows.
+    A document all of whose lines are dropped has an empty text. Lines count whole, however long. An empty table gives
+    no rows.
     """
-    base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_kept", "__row", "__flags")])
+    base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_kept", "__row", "__gone", "__flags")])
     rows = base.withColumn("__row", F.xxhash64("doc_id", "text"))
-    flags = mark_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text")).select(F.col("row").alias("__row"), F.col("flags").alias("__flags"))
-    joined = rows.join(flags, "__row", "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("__flags", i), F.lit(0)) == 0)
+    marks = mark_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text")).withColumnsRenamed({"row": "__row", "gone": "__gone"})
+    joined = rows.join(marks, "__row", "left")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    gone = F.coalesce(F.aggregate("__flags", F.lit(0), lambda n, x: n + x), F.lit(0))
-    less = F.when(F.col("__flags").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    out = joined.withColumns({"n_lines": lines, "n_kept": lines - gone, "text": less})
+    # one flag for each line up to the last that goes, made once for each row
+    at = F.array_sort("__gone")
+    gap = lambda x, i: x - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1
+    flags = F.flatten(F.transform(at, lambda x, i: F.concat(F.array_repeat(F.lit(0), gap(x, i)), F.array(F.lit(1)))))
+    stays = lambda flags: F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get(flags, i), F.lit(0)) == 0)
+    less = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays(F.col("__flags")), "\n"))
+    out = joined.withColumn("__flags", flags).withColumns({"n_lines": lines, "n_kept": lines - F.coalesce(F.size("__gone"), F.lit(0)), "text": less})
     return out.select(*base.columns, "n_lines", "n_kept")
