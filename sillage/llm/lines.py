@@ -172,7 +172,16 @@ def _exact(pairs: DataFrame) -> DataFrame:
     the pair's distinct ones, so unlike words never count as equal."""
     of = F.array_distinct(F.concat(F.split("v", " "), F.split("w", " ")))
     number = lambda c: _string(F.transform(F.split(c, " "), lambda x: _character(F.array_position("of", x))))
-    return similar(pairs.withColumn("of", of).select("a", "b", number("v").alias("x"), number("w").alias("y")))
+    # cut: else the optimizer moves the comparison below and has the strings, and "of" for each word of them, made anew
+    return similar(cut(pairs.withColumn("of", of).select("a", "b", number("v").alias("x"), number("w").alias("y"))))
+
+
+def _confirmed(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, x, y, v, w) whose symbols are similar, those whose words are: where a pair has as many distinct
+    symbols as words, unlike words have unlike symbols; the few others are compared again."""
+    distinct = lambda x, y, by: F.size(F.array_distinct(F.concat(F.split(x, by), F.split(y, by))))
+    told = cut(pairs.select("a", "b", (distinct("x", "y", "") == distinct("v", "w", " ")).alias("sure"), "v", "w"))
+    return told.where("sure").select("a", "b").unionByName(_exact(told.where("not sure")).select("a", "b"))
 
 
 def _close(rows: DataFrame) -> DataFrame:
@@ -193,7 +202,7 @@ def _close(rows: DataFrame) -> DataFrame:
 
 
 def mark_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, gone): for each row with lines that go, their numbers."""
+    """(row, doc_id, text) to (row, gone): for each row with lines that go, their numbers, ascending."""
     lines = cut(simhashes(docs))
     at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), F.col("odd"), F.col("picks"))
     classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"))  # 128 bits tell lines apart
@@ -210,13 +219,13 @@ def mark_lines(docs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         wanted = cut(classes.select("id", "at.doc_id", "at.row", "at.line").join(few(ids, FEW), "id"))
-        norm = F.trim(F.get(F.split("clean", "\n"), F.col("line")))
         found = docs.alias("docs").join(few(wanted, FEW).alias("wanted"), F.expr("docs.doc_id <=> wanted.doc_id")).where("docs.row = wanted.row")
-        texts = cut(cleaned(found.select("id", "line", "text")).select("id", norm.alias("v"), symbols(norm).alias("x")).dropDuplicates(["id"]))
-        side = lambda i, c, to: texts.select(F.col("id").alias(i), F.col(c).alias(to))
-        like = cut(similar(pairs.join(side("a", "x", "x"), "a").join(side("b", "x", "y"), "b")).select("a", "b"))
+        own = cleaned(found.select("id", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["id"]))
+        texts = cut(own.select("id", F.trim("clean").alias("v")).select("id", "v", symbols(F.col("v")).alias("x")))
         drop_cut(ids, wanted)
-        return _exact(like.join(side("a", "v", "v"), "a").join(side("b", "v", "w"), "b")).select("a", "b")
+        side = lambda i, **to: texts.select(F.col("id").alias(i), *[F.col(c).alias(k) for k, c in to.items()])
+        like = cut(similar(pairs.join(side("a", x="x"), "a").join(side("b", y="x"), "b")))
+        return _confirmed(like.join(side("a", v="v"), "a").join(side("b", w="v"), "b"))
 
     able = classes.where("at.picks is not null").select("id", "sim", "at.words", "at.odd", "at.picks")  # others only equal each other
     # most n-grams are of one line only; those go before anything is joined
@@ -239,7 +248,7 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min(F.struct("at.doc_id", "at.row", "at.line")).alias("at"))
     gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))
     drop_cut(lines, classes)
-    out = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
+    out = gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
     return few(out, FEW) if gone.count() <= MARKED else out
 
 
@@ -257,11 +266,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     marks = mark_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text")).withColumnsRenamed({"row": "__row", "gone": "__gone"})
     joined = rows.join(marks, "__row", "left")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    # one flag for each line up to the last that goes, made once for each row
-    at = F.array_sort("__gone")
-    gap = lambda x, i: x - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1
-    flags = F.flatten(F.transform(at, lambda x, i: F.concat(F.array_repeat(F.lit(0), gap(x, i)), F.array(F.lit(1)))))
-    stays = lambda flags: F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get(flags, i), F.lit(0)) == 0)
-    less = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays(F.col("__flags")), "\n"))
-    out = joined.withColumn("__flags", flags).withColumns({"n_lines": lines, "n_kept": lines - F.coalesce(F.size("__gone"), F.lit(0)), "text": less})
+    # one flag for each line up to the last that goes; a column used more than once is made once for each row
+    gap = lambda x, i: x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1
+    flags = F.flatten(F.transform("__gone", lambda x, i: F.concat(F.array_repeat(F.lit(0), gap(x, i)), F.array(F.lit(1)))))
+    stays = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("__flags", i), F.lit(0)) == 0)
+    gone = F.coalesce(F.aggregate("__flags", F.lit(0), lambda n, x: n + x), F.lit(0))
+    less = F.when(F.col("__flags").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    out = joined.withColumn("__flags", flags).withColumns({"n_lines": lines, "n_kept": lines - gone, "text": less})
     return out.select(*base.columns, "n_lines", "n_kept")
