@@ -4,8 +4,9 @@ Each source gets a target number of words. A document of a source is repeated at
 its size over the source's mean size: the solution of the bounded entropy problem "stay as near to one copy each as
 you can, at most two, and meet the token constraint", whose convex dual has one variable t per source. Newton's
 method solves all duals at once, each iteration one distributed aggregation over distinct (source, size) pairs;
-systematic rounding along the sizes turns rates into copies. DataFrame operations only; a hot source is dealt out by
-size and salt, and only one row per source is ever put in a global order.
+systematic rounding along the sizes turns rates into copies. DataFrame operations only. The running sums of a source
+are taken within ranges of sizes, then over the ranges, so that a hot source is dealt out; the rows that meet in one
+place are its ranges, as many as the longest text has of them, and for the targets one row per source.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from sillage.llm.common import cut, drop_cut, words
 
 #: Weights of the sources in their order, repeating; share of all sizes to take; the most of a source that can be.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-ITERATIONS, TOLERANCE, SALTS, STARTS = 40, 1e-6, 64, 64
+ITERATIONS, TOLERANCE, SALTS, STARTS = 60, 1e-6, 64, 64
+#: Binary digits of the sizes that a range holds.
+RANGE = 5
 #: Beyond this tilt the rates no longer change.
 FLAT = 1e6
 
@@ -52,7 +55,8 @@ def _rate(most: float):
 
 def tilts(pairs: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """Newton's method on the duals. pairs: (key, size, n); goals: one row per source (key, source_size, mean, target).
-    Adds t. A target of nothing or of all there is has no finite tilt: t is then -FLAT or FLAT."""
+    Adds t. A target of nothing or of all there is has no finite tilt: t is then -FLAT or FLAT. Raises if a target is
+    not met."""
     solid = most * F.col("source_size")
     t0 = F.when(F.col("target") <= 0, -FLAT).when(F.col("target") >= solid * (1 - 1e-12), FLAT).otherwise(0.0)
     state = cut(goals.withColumns({"t": t0, "lo": F.lit(-FLAT), "hi": F.lit(FLAT), "off": F.lit(1.0)}))
@@ -86,19 +90,21 @@ def tilts(pairs: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         drop_cut(state)
         state = new
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            break
-    return state.drop("lo", "hi", "off")
+            return state.drop("lo", "hi", "off")
+    raise ArithmeticError(f"the tilts did not meet their targets within {ITERATIONS} iterations")
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text"
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", sized: str | None = None
 ) -> DataFrame:
-    """docs (doc_id, source, text, ...), the text in the column or field `text`, with size (words of the text), source_size, target and copies (0 to 2) added;
-    existing columns of these names are replaced.
+    """docs (doc_id, source, text, ...), the text in the column or field `text`, with size (words of the text),
+    source_size, target and copies (0 to 2) added; existing columns of these names are replaced. sized: a column that
+    has the sizes already.
 
     Null text: size 0, never taken. Null source: a source of its own, last in the order. All sizes 0: all targets 0.
     Rows that repeat are documents of their own and may get different copies; ties in size are broken by a hash of
-    doc_id. Reruns agree, but for rows that repeat a doc_id, which may swap copies. An empty table gives no rows.
+    doc_id. Reruns agree, but for rows that repeat a doc_id, which may swap copies. Whole texts count, however long. An
+    empty table gives no rows.
     """
     added = ("size", "source_size", "target", "copies")
     base = docs.select([c for c in docs.columns if c not in added])
@@ -106,7 +112,7 @@ def mix(
     # "key" and what follows it never leave this function; a prefix keeps them clear of the caller's columns
     sized = base.withColumns({
         "__key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")),
-        "size": F.size(words(F.col(text))).cast("bigint"),
+        "size": F.col(sized) if sized else F.size(words(F.col(text))).cast("bigint"),
         "__salt": salt,
     })
     cells = cut(sized.groupBy(F.col("__key").alias("key"), "size", F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")))
@@ -117,13 +123,17 @@ def mix(
     goals = targets(per.withColumn("mean", mean), weights, share, most).select("key", "source_size", "mean", "target")
     solved = tilts(pairs, goals, most)
     # Systematic rounding: rates summed along (size, salt) within a source; a document gets the whole numbers it passes.
-    run = Window.partitionBy("key").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(
+    rated = cut(
         cells.join(solved, "key")
         .withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0))
-        .withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
-        .select("key", "size", "salt", "n", "source_size", "target", "rate", "start")
+        .select("key", "size", "salt", "n", "source_size", "target", "rate", F.shiftright("size", RANGE).alias("range"))
     )
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rated.groupBy("key", "range").agg(F.sum(F.col("n") * F.col("rate")).alias("all"))
+    ranges = ranges.select("key", "range", F.coalesce(F.sum("all").over(earlier), F.lit(0.0)).alias("before"))
+    run = Window.partitionBy("key", "range").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    own = rated.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
+    placed = cut(own.join(ranges, ["key", "range"]).withColumn("start", F.col("start") + F.col("before")).drop("range", "before"))
     # Where the count starts is free: of some starts, each source takes the one whose words come nearest its target.
     shift = F.explode(F.array(*[F.lit((k + 0.5) / STARTS) for k in range(STARTS)])).alias("shift")
     at = F.col("start") + F.col("shift")
@@ -149,8 +159,9 @@ def mix(
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the query's view of mix(), which carries no text."""
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """doc_id, size, source_size, target, taken: the query's view of mix(). Words are counted once; no text is carried."""
+    sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("words")))
+    return mix(sized, sized="words").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat_copies(docs: DataFrame) -> DataFrame:

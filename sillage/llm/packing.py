@@ -1,9 +1,11 @@
 """Best-fit packing by hierarchical residual packing.
 
 Documents become token ids; longer ones are cut. Pieces of full length are sequences of their own. The others are
-packed best-fit, decreasing, inside groups of bounded size; bins that are nearly full are final, the rest go up a tree
-as items of their filled length, several groups to one, and are packed again, until one group is left. What moves
-between rounds is (bin, length) pairs; each round is written to the shared folder.
+packed best-fit, decreasing, inside groups of bounded size; bins that are nearly full are final, the others go up a
+tree as items of their filled length, several groups to one, and are packed again, until one group is left. Best-fit
+leaves one bin at most that is half full or less, and two others never fit into one sequence; so of a group's others no
+more than CLIMB, the emptiest, go up, which bounds every group whatever the number of documents. What moves between
+rounds is (bin, length) pairs; each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import functions as F
 
 from sillage.llm.common import cut
 
-#: Tokens of a sequence; items of a group; groups that meet in one; free tokens of a bin that counts as nearly full.
-LENGTH, GROUP, FAN_IN, NEARLY = 1024, 50_000, 8, 0
+#: Tokens of a sequence; items of a group; groups that meet in one; up to how many free tokens a bin is nearly full;
+#: bins of a group that go up.
+LENGTH, GROUP, FAN_IN, NEARLY, CLIMB = 1024, 50_000, 8, 24, 4_096
 END_ID = 2
 #: The vocabulary of byte_bpe_50k.json, as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
+#: The one added token of that file, which is one id wherever it stands in a text.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
@@ -39,10 +44,10 @@ def encoder(ranks: str):
 
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=ADDED)
 
     def encode(text: str) -> bytes:
-        return array("I", plain.encode_ordinary(text)).tobytes()
+        return array("I", plain.encode(text, allowed_special=set(ADDED), disallowed_special=())).tobytes()
 
     return encode
 
@@ -105,7 +110,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def _round(items: DataFrame, capacity: int) -> DataFrame:
-    """(item, length, grp) packed within each grp: item, bin (the smallest item in it), at (offset there), fill."""
+    """(item, length, grp) packed within each grp: item, bin (the smallest item in it), at (offset there), fill, and
+    whether the bin goes up."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("item", kind="stable").reset_index(drop=True)
@@ -113,9 +119,11 @@ def _round(items: DataFrame, capacity: int) -> DataFrame:
         f["at"], f["b"] = at, bins
         by = f.groupby("b")
         f["bin"], f["fill"] = by["item"].transform("min"), by["length"].transform("sum")
-        return f[["grp", "item", "bin", "at", "fill"]]
+        open_ = f.loc[f["fill"] < capacity - NEARLY, ["bin", "fill"]].drop_duplicates().sort_values(["fill", "bin"])
+        f["up"] = f["bin"].isin(set(open_["bin"].head(CLIMB)))
+        return f[["grp", "item", "bin", "at", "fill", "up"]]
 
-    schema = "grp bigint, item bigint, bin bigint, at bigint, fill bigint"
+    schema = "grp bigint, item bigint, bin bigint, at bigint, fill bigint, up boolean"
     return items.groupBy("grp").applyInPandas(run, schema)
 
 
@@ -129,7 +137,7 @@ def pack(lengths: DataFrame, capacity: int = LENGTH, group: int = GROUP, fan_in:
     placed = now.select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     while groups > 1:
         groups = -(-groups // fan_in)
-        up = now.where(F.col("fill") < capacity - NEARLY).groupBy("bin").agg(F.first("fill").alias("length"), F.first("grp").alias("was"))
+        up = now.where("up").groupBy("bin").agg(F.max("fill").alias("length"), F.max("grp").alias("was"))
         up = up.select(F.col("bin").alias("item"), "length", F.floor(F.col("was") / fan_in).cast("bigint").alias("grp"))
         now = cut(_round(up, capacity))
         moved = now.select(F.col("item").alias("sequence_id"), F.col("bin").alias("to"), "at")
@@ -144,7 +152,8 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str | None
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every row of docs.
 
     Null and empty texts are the one id END_ID; rows that repeat are packed as documents of their own; null ids are
-    kept; further columns are ignored; an empty table gives no rows.
+    kept; ties go to the item that was read first; long texts are cut into pieces, none is dropped; further columns are
+    ignored; an empty table gives no rows.
     """
     cuts = cut(pieces(docs, length, vocabulary).withColumn("item", F.monotonically_increasing_id()))
     return cuts.join(pack(cuts.select("item", "length"), length), "item").drop("item")

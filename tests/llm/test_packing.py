@@ -11,9 +11,7 @@ from sillage.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def gapless(rows, capacity):
@@ -38,7 +36,7 @@ def test_pieces_and_sequences(spark, sf_dir, tokenizer):
     assert len({r["sequence_id"] for r in rows}) <= 1.02 * sum(r["length"] for r in rows) / 1024 + 1
 
 
-@pytest.mark.parametrize("text", ["", " ", "It's we'll  \n\n x", "\u00a0é👍🏽 123abc", "<|endoftext|>", "a" * 5000, " " * 3000, "\x00\x1f"])
+@pytest.mark.parametrize("text", ["", " ", "It's we'll  \n\n x", "\u00a0é👍🏽 123abc", "<|endoftext|>", "a <|endoftext|>b<|endoftext|", "a" * 5000, " " * 3000, "\x00\x1f"])
 def test_ids_are_the_tokenizers(tokenizer, text):
     got = np.frombuffer(packing.encoder(packing.vocabulary_path())(text), "<u4").tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
@@ -76,3 +74,24 @@ def test_edges(spark):
     assert [r["length"] for r in out if r["doc_id"] in (1, 2)] == [1, 1]
     assert sum(r["doc_id"] == 3 for r in out) == 2 and any(r["doc_id"] is None for r in out)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CLIMB", 20)
+    r = random.Random(4)
+    largest, rounds = [], packing._round
+
+    def watched(items, capacity):
+        largest.append(items.groupBy("grp").count().agg({"count": "max"}).first()[0] or 0)
+        return rounds(items, capacity)
+
+    monkeypatch.setattr(packing, "_round", watched)
+    for n in (2_000, 4_000, 8_000):
+        items = [(i, r.choice([r.randrange(1, 1025), 560, 700])) for i in range(n)]
+        df = spark.createDataFrame(items, "item long, length long")
+        largest.clear()
+        out = packing.pack(df, group=250, fan_in=4).join(df, "item").collect()
+        gapless(out, 1024)
+        assert len(out) == n and max(largest[1:]) <= 4 * 20
+        few = packing.pack(df, group=100_000).select("sequence_id").distinct().count()
+        assert len({x["sequence_id"] for x in out}) <= 1.02 * few
