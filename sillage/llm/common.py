@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt out to all cores where its files give fewer partitions than those: work on whole texts
+    is worth a shuffle of a small table. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where the session names none, a folder of our own in local mode, in which
     driver and executors are one process; on a cluster there is no safe choice, so an error."""

@@ -8,6 +8,7 @@ Map-only but for the fit: a worker holds a block of texts and the scores of the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 #: Documents per language, about, that the pieces are fit on; rounds of expectation maximisation; the counts that
 #: each piece has beforehand; words whose scores a worker keeps; texts of a block.
 SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
+#: Sums (word, position, language) that a table of the forward pass holds; letters from which on a word is summed by
+#: itself, in a window (when scoring) or by parts of so many letters (when fitting); languages that a model may have.
+CELLS, LONG, LANGUAGES = 2_000_000, 400, 1_000
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN, START = "und", "▁"
 #: Log probability of a character that is no piece.
@@ -119,14 +123,29 @@ def expected(edges, logp: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(p, use[:, k], n + 1) for k in range(logp.shape[1])], axis=1)
 
 
+def lots(words: list[str], langs: int) -> Iterator[np.ndarray]:
+    """The words' numbers by length, in lots whose tables hold CELLS sums at most (or one word's)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        width = (sizes[order[at:]] + 2) * langs * np.arange(1, len(order) - at + 1)  # sizes ascend: the last word is the widest
+        stop = at + max(1, int(np.searchsorted(width, CELLS, "right")))
+        yield order[at:stop]
+        at = stop
+
+
 def fit_counts(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities, piece by language, from words and their counts by language."""
+    """Log probabilities, piece by language, from words and their counts by language. Words of more than LONG letters
+    are summed by parts, so that a table is bounded; all their letters count."""
     pieces, n = vocabulary(path)
+    parts = [(w[k : k + LONG], i) for i, w in enumerate(words) for k in range(0, max(1, len(w)), LONG)]
+    words, counts = [w for w, _ in parts], counts[[i for _, i in parts]]
     logp = np.full((n + 1, counts.shape[1]), -np.log(n))
     logp[n] = ODD
-    lots = [slice(k, k + 20_000) for k in range(0, len(words), 20_000)]
+    made = [(lattice([words[k] for k in lot], pieces, n), counts[lot]) for lot in lots(words, counts.shape[1])]
     for _ in range(rounds):
-        use = sum(expected(lattice(words[x], pieces, n), logp, counts[x], n) for x in lots) + PRIOR
+        use = sum(expected(edges, logp, c, n) for edges, c in made) + PRIOR
         logp = np.log(use) - np.log(use.sum(0))
         logp[n] = ODD  # a foreign character tells as little under every language
     return logp
@@ -138,10 +157,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and the model, from documents (doc_id, text, lang) that are not held out, have a language and a
-    text. Fit on about `sample` documents of each language, whole, chosen by a hash of doc_id."""
+    text. Fit on about `sample` documents of each language, whole, chosen by a hash of doc_id. More than LANGUAGES
+    languages are an error."""
     path = path or vocabulary_path()
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1, 0))
@@ -203,14 +225,16 @@ class Scorer:
         return out, np.array([len(ws) for ws in split])
 
     def words(self, words: list[str]) -> np.ndarray:
-        short = [min(len(w), 400) for w in words]
-        if max(short, default=0) < 400 and words:
-            order = np.argsort(short, kind="stable")  # words of like lengths share a table of sums
-            out = np.empty((len(words), self.logp.shape[1]))
-            for lot in np.array_split(order, max(1, len(words) // 2000)):
-                out[lot] = forward(lattice([words[k] for k in lot], self.pieces, self.n), self.logp)[1]
-            return out
-        return np.array([self.long(w) for w in words]).reshape(len(words), self.logp.shape[1])
+        out = np.empty((len(words), self.logp.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        for lot in lots([words[k] for k in short], self.logp.shape[1]):  # words of like lengths share a table
+            at = [short[k] for k in lot]
+            for part in (at[k : k + 2000] for k in range(0, len(at), 2000)):
+                out[part] = forward(lattice([words[k] for k in part], self.pieces, self.n), self.logp)[1]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self.long(w)
+        return out
 
     def long(self, word: str) -> np.ndarray:
         """One word of any length, with a window of sums as wide as the longest piece."""
@@ -237,11 +261,11 @@ def identify(
     keep, to those columns, lang_pred and score.
 
     Null text, a text without letters, or a model without languages: lang_pred `und`, score 0. Ties go to the first
-    language by name. Repeated rows are judged alike; whole texts count, however long; an empty table gives no rows.
+    language by name. Repeated rows are judged alike; whole texts count, however long; without keep, further columns
+    are ignored whatever their names; an empty table gives no rows.
     """
-    key = (tuple(langs), logp.tobytes()[:256], logp.shape)
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out().alias("held_out"))
-    rows = docs.select(keep) if keep else rows
+    key = (tuple(langs), hashlib.sha256(logp.tobytes()).hexdigest())
+    rows = docs.select(keep) if keep else docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out().alias("held_out"))
     passed = keep or ["doc_id", "held_out"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(passed).schema.fields)
     at = rows.columns.index("text")

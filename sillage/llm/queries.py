@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from sillage.llm import chat, html, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
-from sillage.llm.common import table
+from sillage.llm.common import spread, table
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -12,7 +12,7 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_language_id(spark, sf_dir):
-    return langid.detect(table(spark, sf_dir, "documents"))
+    return langid.detect(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_url_filters(spark, sf_dir):
@@ -20,11 +20,11 @@ def op3_url_filters(spark, sf_dir):
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
-    return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+    return shingles.jaccard_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_html_extraction(spark, sf_dir):
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_chat_formatting(spark, sf_dir):
@@ -38,7 +38,7 @@ def op6_chat_formatting(spark, sf_dir):
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_embedding_near_dedup(spark, sf_dir):
@@ -46,7 +46,7 @@ def op8_embedding_near_dedup(spark, sf_dir):
 
 
 def op9_media_columns(spark, sf_dir):
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_source_mixing(spark, sf_dir):

@@ -56,3 +56,39 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.detect(df).first()["lang_pred"] == "und"
     assert langid.detect(df.limit(0)).count() == 0
+
+
+def test_lots_are_bounded():
+    words = ["a" * n for n in (1, 3, 400, 2, 5000, 399, 7)] + ["b"] * 1000
+    found = list(langid.lots(words, 4))
+    assert sorted(k for lot in found for k in lot) == list(range(len(words)))
+    assert all(len(lot) == 1 or (max(len(words[k]) for k in lot) + 2) * 4 * len(lot) <= langid.CELLS for lot in found)
+
+
+def test_fit_with_a_very_long_word():
+    import tracemalloc
+
+    tracemalloc.start()
+    logp = langid.fit_counts(["la", "maison", "xz" * 500_000], np.array([[3.0, 0], [2, 0], [0, 1]]), langid.vocabulary_path(), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(np.exp(logp[:-1]).sum(0), 1, atol=0.2) and peak < 1 << 30
+
+
+def test_long_words_score_as_short_ones_do(monkeypatch):
+    r = np.random.default_rng(1)
+    pieces, n = langid.vocabulary(langid.vocabulary_path())
+    logp = np.log(r.random((n + 1, 2)))
+    scorer = langid.Scorer(logp, langid.vocabulary_path())
+    words = ["maison" * k for k in (1, 5, 20)]
+    want = scorer.words(words)
+    monkeypatch.setattr(langid, "LONG", 10)
+    assert np.allclose(scorer.words(words), want)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(k, f"le chat {k} dort sur la table" if k % 2 else f"the cat {k} sleeps on the table", "fr" if k % 2 else "en", "x", 2.0, True) for k in range(40)]
+    rows += rows[:2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    out = langid.detect(df).collect()
+    assert len(out) == 42 and {(r["doc_id"] % 2, r["lang_pred"]) for r in out} == {(0, "en"), (1, "fr")}
