@@ -35,8 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: With this setting Spark removes a query's shuffle files as soon as the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a cut is written. Spark removes a query's shuffle files as soon as the query has ended; rows go to
+#: Python in batches that stay small where texts are long.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,15 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     shuffle files that led to them can go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    was = {k: spark.conf.get(k, None) for k in _WHILE}
     try:
-        df.write.parquet(path)
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        if was is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # for drop_cut()
     return out

@@ -38,7 +38,7 @@ BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
 
 
 #: Rows up to which a table of keys, ids or line addresses is broadcast, some 30 bytes each.
-FEW = 1_000_000
+FEW = 500_000
 #: Members from which on a bucket, usually of some dozens, is a family of near copies.
 HOT = 256
 #: Lines that go up to which their numbers are broadcast: 4 bytes each, and some 40 for each row that has any.
@@ -231,7 +231,8 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     # most n-grams are of one line only; those go before anything is joined
     grams = able.select("id", F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
     grams = cut(grams.where("n > 1"))
-    picked = cut(able.select("id", "sim", "words", "odd", F.explode("picks").alias("key")).join(few(grams, FEW), "key"))
+    met = able.select("id", F.explode("picks").alias("key")).join(few(grams, FEW), "key")
+    picked = cut(met.join(able.select("id", "sim", "words", "odd"), "id"))
     members = picked.select("key", "id", "sim", "words", "odd")
     leads = picked.where("id = lead").select("key", "lead", "sim", "words", "odd")
 

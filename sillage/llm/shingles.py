@@ -76,7 +76,7 @@ def _powers(n: int) -> np.ndarray:
 
 
 #: Powers of an odd base and of its inverse modulo 2**64, as far as a block of bytes reaches.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 _POW = _powers(BLOCK + 1)
 _INV = np.empty(BLOCK + 1, np.uint64)
 _INV[0] = 1
@@ -198,8 +198,8 @@ def _infos(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 250):
+                part = b.slice(k, 250)
                 n, d1, d2, odd, sigs = [], [], [], [], []
                 for doc_id, text in zip(part.column(0), part.column(1), strict=True):
                     s = shingle_set((text.as_py() or "").encode())
