@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +57,32 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # for drop_cut()
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+def scratch(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result cut and all other cuts made on the way removed."""
+
+    @wraps(f)
+    def run(*args, **named) -> DataFrame:
+        _SCOPES.append([])
+        try:
+            out = cut(f(*args, **named))
+        finally:
+            made = _SCOPES.pop()
+        drop_cut(*(x for x in made if x is not out))
+        if _SCOPES:
+            _SCOPES[-1].append(out)
+        return out
+
+    return run
+
+
 def drop_cut(*cuts: DataFrame) -> None:
     """Remove the files of cut()s that nothing reads any more."""
     for df in cuts:

@@ -1,9 +1,8 @@
 """Links from buckets: the part that the near-duplicate operators share.
 
 Items that may be alike meet in buckets. Emitting all pairs of a bucket grows with its square, so a bucket's members
-are first held against one leader (its most frequent item). What links to the leaders is then connected, and only
-pairs of different components are compared further, of which one side at least is outside its bucket's leading
-component. The components are those of all links among items that share a bucket: nothing is capped.
+are first held against one leader. What links to the leaders is then connected, and only pairs of different components
+are compared further, of which one side at least is outside its bucket's largest component. The components are those of all links among items that share a bucket: nothing is capped.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut, drop_cut
+from sillage.llm.common import components, cut
 
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -42,7 +41,6 @@ def _picked(members: DataFrame, comps: DataFrame, near: Near, verify: Callable[[
 
 def linked(
     members: DataFrame,
-    leads: DataFrame,
     near: Near,
     verify: Callable[[DataFrame], DataFrame],
     with_comp: Callable[[DataFrame], DataFrame],
@@ -51,29 +49,32 @@ def linked(
 ) -> DataFrame:
     """Components (id, comp) of the items that have links.
 
-    members: (id, key, ...) with the columns that `near` compares; leads: one row at most per key with (key, lead, ...)
-    and the same columns of the lead; near(a, b): a condition that all linked pairs meet, over columns of either side;
-    verify: (a, b) to the pairs among them that are links; with_comp: from (id, comp) to the members with comp (the id
-    itself where that has none) and the columns of near_rest, a closer condition for pairs without a leader; buckets of
-    two that have a leader may be left out of it; hot: in buckets of more members than this, those outside the largest
-    component are first held against PICKS members of it too (0: in none).
+    members: (id, key, lead, ...) with the id of the item that leads the bucket, the columns that `near` compares and
+    the lead's as lead_...; near(a, b): a condition that all linked pairs meet, over columns of either side; verify:
+    (a, b) to the pairs among them that are links; with_comp: from (id, comp) to the members (id, key, comp, ...) of
+    buckets of more than two, comp the id itself where that has none, with the columns of near_rest, a closer condition
+    for pairs without a leader; hot: in buckets of more members than this, those outside the largest component are first
+    held against PICKS members of it too (0: in none).
     """
-    extra = [c for c in members.columns if c not in ("id", "key")]
-    m = members.join(leads.select("key", "lead", *[F.col(c).alias(f"lead_{c}") for c in extra]), "key")
-    star = m.where((F.col("id") != F.col("lead")) & near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
+    extra = [c for c in members.columns if c not in ("id", "key") and not c.startswith("lead")]
+    star = members.where((F.col("id") != F.col("lead")) & near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
     pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = cut(verify(pairs))
     comps = cut(components(first))
+
     if hot:
-        more = _picked(members, comps, near, verify, hot)
+        more = _picked(members.select("id", "key", *extra), comps, near, verify, hot)
         if more is not None:
             first = cut(first.unionByName(more))
             comps = cut(components(first))
 
-    known = leads.select("key", "lead").join(comps.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
-    known = known.select("key", "lead", F.coalesce("lead_comp", "lead").alias("lead_comp"))
-    own = with_comp(comps).join(known, "key", "left").withColumn("out", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
-    own = own.where("lead IS NULL OR id <> lead").drop("lead_comp", "lead")  # the leaders met all others above
+    # Only buckets that hold several components go on; of those, the component with the most members is not compared
+    # with itself.
+    own = cut(with_comp(comps))
+    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    own = cut(own.join(cut(mixed), "key", "left_semi"))
+    top = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
+    own = cut(own.join(top, "key").withColumn("out", F.col("comp") != F.col("big")).drop("big"))
     left = own.where("out").select(*[F.col(c).alias(f"x_{c}") for c in own.columns if c != "key"], "key")
     right = own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns if c != "key"], "key")
     rest = left.join(right, "key").where(

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut, drop_cut, few
+from sillage.llm.common import components, cut, few, scratch
 from sillage.llm.dedup_links import linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
@@ -201,6 +201,7 @@ def _close(rows: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+@scratch
 def mark_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, gone): for each row with lines that go, their numbers, ascending."""
     lines = cut(simhashes(docs))
@@ -222,7 +223,6 @@ def mark_lines(docs: DataFrame) -> DataFrame:
         found = docs.alias("docs").join(few(wanted, FEW).alias("wanted"), F.expr("docs.doc_id <=> wanted.doc_id")).where("docs.row = wanted.row")
         own = cleaned(found.select("id", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["id"]))
         texts = cut(own.select("id", F.trim("clean").alias("v")).select("id", "v", symbols(F.col("v")).alias("x")))
-        drop_cut(ids, wanted)
         side = lambda i, **to: texts.select(F.col("id").alias(i), *[F.col(c).alias(k) for k, c in to.items()])
         like = cut(similar(pairs.join(side("a", x="x"), "a").join(side("b", y="x"), "b")))
         return _confirmed(like.join(side("a", v="v"), "a").join(side("b", w="v"), "b"))
@@ -231,26 +231,23 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     # most n-grams are of one line only; those go before anything is joined
     grams = able.select("id", F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
     grams = cut(grams.where("n > 1"))
-    met = able.select("id", F.explode("picks").alias("key")).join(few(grams, FEW), "key")
-    picked = cut(met.join(able.select("id", "sim", "words", "odd"), "id"))
-    members = picked.select("key", "id", "sim", "words", "odd")
-    leads = picked.where("id = lead").select("key", "lead", "sim", "words", "odd")
+    met = able.select("id", F.explode("picks").alias("key")).join(grams, "key")
+    sides = able.select("id", "sim", "words", "odd")
+    leads = sides.join(grams.select(F.col("lead").alias("id")).distinct(), "id", "left_semi").select(*[F.col(c).alias("lead" if c == "id" else f"lead_{c}") for c in sides.columns])
+    picked = cut(met.join(sides, "id").join(leads, "lead"))
 
     def with_comp(comps: DataFrame) -> DataFrame:  # buckets of two have met their leader
-        more = picked.where("n > 2").drop("n", "lead")
+        more = picked.where("n > 2").select("key", *sides.columns)
         return more.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    comps = cut(linked(members, leads, near, verify, with_comp, hot=HOT))
-    drop_cut(grams, picked)
+    comps = cut(linked(picked.drop("n"), near, verify, with_comp, hot=HOT))
     blocks = able.select("id", "sim").join(comps, "id", "left").select("id", "sim", F.coalesce("comp", "id").alias("comp"), key)
     more = cut(verify(_close(blocks)))
     if not more.isEmpty():
         comps = cut(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min(F.struct("at.doc_id", "at.row", "at.line")).alias("at"))
     gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))
-    drop_cut(lines, classes)
-    out = gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-    return few(out, FEW) if gone.count() <= MARKED else out
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -265,7 +262,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_kept", "__row", "__gone", "__flags")])
     rows = base.withColumn("__row", F.xxhash64("doc_id", "text"))
     marks = mark_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text")).withColumnsRenamed({"row": "__row", "gone": "__gone"})
-    joined = rows.join(marks, "__row", "left")
+    few_marks = marks.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0] <= MARKED
+    joined = rows.join(F.broadcast(marks) if few_marks else marks, "__row", "left")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     # one flag for each line up to the last that goes; a column used more than once is made once for each row
     gap = lambda x, i: x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1

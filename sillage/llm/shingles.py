@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut, drop_cut, few
+from sillage.llm.common import components, cut, few, scratch
 from sillage.llm.dedup_links import linked
 
 N_WORDS, SHARE = 5, 80
@@ -216,19 +216,21 @@ def _infos(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _met(reps: DataFrame, documents: int) -> DataFrame:
-    """(key, id, n, w) of the signatures that several classes share; w says how many others a class meets in all.
+    """(key, id, n, size, lead, lead_n) of the signatures that several classes share, the lead one of these.
 
-    Signatures that a bounded sample found in a good share of all classes are dealt out by salts: none of those is
-    alone. The sample affects how rows are dealt, never which are kept."""
+    Signatures that a bounded sample found in a good share of all classes are dealt out by salts and led by a class of
+    the sample: none of those is alone. The sample affects how rows are dealt, never which are kept."""
     share = min(1.0, SAMPLE / max(1, documents))
     rows = reps.select("id", "n", F.explode("sigs").alias("key"))
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    hot = cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= HOT))  # at most the sample's signatures / HOT
+    hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("id", "n")).alias("first"))
+    hot = cut(hot.where(F.col("seen") >= HOT))  # at most the sample's signatures / HOT
     dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))
-    size = F.coalesce((F.col("seen") / F.lit(share)).cast("bigint"), alone)
-    met = dealt.select("key", "id", "n", size.alias("size")).where("size > 1")
-    return cut(met.withColumn("w", F.sum("size").over(Window.partitionBy("id"))).drop("size"))
+    bucket = Window.partitionBy("key", "salt")
+    lead = F.coalesce("first", F.min(F.struct("id", "n")).over(bucket)).alias("lead")
+    size = F.coalesce("seen", F.count(F.lit(1)).over(bucket)).alias("size")
+    met = dealt.select("key", "id", "n", size, lead).where("size > 1")
+    return cut(met.select("key", "id", "n", "size", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
 
 
 #: Ids of the documents whose texts are compared, up to which they are broadcast to the texts.
@@ -284,6 +286,7 @@ def _verifier(texts: DataFrame, reps: DataFrame):
     return verify
 
 
+@scratch
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id: one row per row of docs.
 
@@ -305,25 +308,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = real.join(few(copies, FEW), "uid", "left_anti").withColumnRenamed("uid", "id")
 
     met = _met(reps, classes.count())
-    # A bucket's leader is the set that meets most others in all its buckets: of near copies, what they are copies of.
-    leads = met.groupBy("key").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("x"), F.count(F.lit(1)).alias("size"))
-    leads = cut(leads.select("key", F.col("x.id").alias("lead"), "x.n", "size"))
     near = lambda a, b: 100 * F.least(a("n"), b("n")) >= SHARE * F.greatest(a("n"), b("n"))
-    members = met.select("key", "id", "n")
     half = PARITY // 64 // FOLDED
     folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i + k * FOLDED)) for k in range(half)]).alias(f"p{i}") for i in range(FOLDED)]
 
     def with_comp(comps: DataFrame) -> DataFrame:
         rows = reps.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), *folds)
-        more = members.join(leads.where("size > 2").select("key"), "key", "left_semi")
-        return more.join(rows, "id")
+        return met.where("size > 2").select("key", "id", "n").join(rows, "id")
 
     def near_rest(a, b):
         odd = sum((F.bit_count(a(f"p{i}").bitwiseXOR(b(f"p{i}"))) for i in range(FOLDED)), F.lit(0))
         return near(a, b) & ((100 + SHARE) * odd <= (100 - SHARE) * (a("n") + b("n")))
 
-    comps = cut(linked(members, leads, near, _verifier(docs, reps), with_comp, near_rest))
-    drop_cut(met, leads)
+    comps = cut(linked(met.drop("size"), near, _verifier(docs, reps), with_comp, near_rest))
     # rows that share a doc_id are one node: their classes are linked
     several = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
     same = cut(own.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
