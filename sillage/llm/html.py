@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without content; whose text is not shown; that begin and end a block of text.
+#: Fixed values of HTML: elements without content; that hold no text of the page; that begin and end a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas datalist".split())
+HIDDEN = frozenset("script style head".split())
+#: What a page's head may hold; anything else ends it.
+_HEAD = frozenset("title meta link script style base noscript template".split())
 BLOCK = frozenset(
     "html body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre search section select summary"
@@ -42,17 +45,17 @@ RARE = 0.02
 SHAPE = 50.0
 
 
-#: Elements of running text. Without a class, id or role they hardly ever begin or end the main text, so they have
-#: transitions of their own, and as siblings look alike their evidence counts for a part only.
-RUNNING = frozenset(
-    "p b i u em strong span a br img small sub sup code mark q cite abbr time font li ul ol dl dt dd h1 h2 h3 h4 h5 h6"
-    " blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr picture source div".split()
+#: Elements that make up a page. All others are running text: without a class, id or role they hardly ever begin or end
+#: the main text, so they have transitions of their own, and as siblings look alike their evidence counts for a part only.
+STRUCTURE = frozenset(
+    "#root html body nav header footer aside section article main form fieldset legend label input button select option"
+    " textarea datalist dialog menu search hgroup address details iframe object".split()
 )
 PART = 0.15
 
 
 def plain(n: "Node") -> bool:
-    return n.tag in RUNNING and not any(n.attrs.get(a) for a in ("class", "id", "role"))
+    return n.tag not in STRUCTURE and not any(n.attrs.get(a) for a in ("class", "id", "role"))
 
 
 class Node:
@@ -71,30 +74,54 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#root", {}, None)
+        self.open: Counter[str] = Counter()  # open elements by tag
+
+    def _leave(self, node: Node) -> None:
+        """Close node and what is open in it."""
+        while self.now is not node:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+        self.open[node.tag] -= 1
+        self.now = node.parent
 
     def _close(self, tags, bounds) -> None:
-        at = self.now
-        while at.parent and at.tag not in bounds:
+        """Close the outermost open element of tags that is inside the innermost of bounds. Without an open one nothing
+        is searched, so deep pages take linear time."""
+        if not any(self.open[t] for t in tags):
+            return
+        at, found = self.now, None
+        left = sum(self.open[t] for t in tags)
+        while left and at.parent and at.tag not in bounds:
             if at.tag in tags:
-                self.now = at.parent
+                found, left = at, left - 1
             at = at.parent
+        if found:
+            self._leave(found)
 
     def _inside(self, tag: str) -> None:
         """Go into html or body, made where the page leaves them out."""
-        top = next((c for c in self.root.children if c.tag == "html"), None) or Node("html", {}, self.root)
-        self.now = top
+        while self.now.parent and self.now.tag != "html":
+            self._leave(self.now)
+        if self.now.tag != "html":
+            self.now = next((c for c in self.root.children if c.tag == "html"), None) or Node("html", {}, self.root)
         if tag == "body":
-            self.now = next((c for c in top.children if c.tag == "body"), None) or Node("body", {}, top)
+            self.now = next((c for c in self.now.children if c.tag == "body"), None) or Node("body", {}, self.now)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.now.tag == "head" and tag not in _HEAD:
+            self._leave(self.now)
         if tag in ("html", "body"):
-            at = self.now
-            self._inside(tag)
-            self.now.attrs = {k: v or "" for k, v in attrs} | self.now.attrs
-            if at.tag not in ("#root", "html", "head"):  # a second one only adds attributes
-                self.now = at
+            named = {k: v or "" for k, v in attrs}
+            if self.now.tag in ("#root", "html"):
+                self._inside(tag)
+                self.now.attrs = named | self.now.attrs
+            else:  # a second one only adds attributes
+                at = self.now
+                while at.parent and at.tag != tag:
+                    at = at.parent
+                at.attrs = named | at.attrs
             return
-        if self.now.tag in ("#root", "html") and tag not in ("head", "title", "meta", "link", "script", "style", "base"):
+        if self.now.tag in ("#root", "html") and tag not in _HEAD and tag != "head":
             self._inside("body")
         if tag in _CLOSES_P:
             self._close({"p"}, {"button", "td", "th", "caption", "table"} if tag != "table" else {"button", "td", "th", "caption"})
@@ -103,25 +130,28 @@ class _Builder(HTMLParser):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.now.tag == tag:
-            self.now = self.now.parent
+        if tag not in VOID and self.now.tag == tag and tag not in ("html", "body"):
+            self._leave(self.now)
 
     def handle_endtag(self, tag: str) -> None:
-        at = self.now
-        if tag in ("html", "body"):  # what comes after them still belongs to the page
+        if tag in ("html", "body") or not self.open[tag]:  # what comes after those still belongs to the page
             return
+        at = self.now
         while at.parent and at.tag != tag:
             if tag not in BLOCK and at.tag in BLOCK:  # an inline end tag closes nothing outside its block
                 return
             at = at.parent
         if at.parent:
-            self.now = at.parent
+            self._leave(at)
 
     def handle_data(self, data: str) -> None:
-        if self.now.tag in ("#root", "html") and data.strip():
+        if self.now.tag in ("#root", "html", "head") and data.strip():
+            if self.now.tag == "head":
+                self._leave(self.now)
             self._inside("body")
         self.now.parts.append(data)
 
@@ -307,6 +337,11 @@ _AROUND = (
 _HOLD = ("<article data-main='1'>{}</article>", "<main data-main='1'><article>{}</article></main>", "<div data-main='1' class='content post entry article body' id='content'>{}</div>", "<main data-main='1' id='main'><section>{}</section></main>", "<div data-main='1'>{}</div>", "")
 
 
+#: Words that name parts of an article as well as what surrounds it: both kinds are labelled, so that the element around
+#: them decides.
+_EITHER = "top bottom tags social side more links rail teaser share".split()
+
+
 @lru_cache(maxsize=1)
 def labelled_pages() -> tuple[str, ...]:
     """Pages whose data-main attributes say where main text begins and ends: every combination of the parts above,
@@ -318,6 +353,8 @@ def labelled_pages() -> tuple[str, ...]:
                 more = _AROUND[(i + j + k) % len(_AROUND)]
                 inner = f"<h1>{_MID if (i + j) % 2 else 'The storm'}</h1>{body}" + (more[(i + k) % 2] if (i + 2 * j + k) % 2 == 0 else "")
                 inner = inner.replace("</p><p>", f"</p>{more[0]}<p>", 1) if (i + j + 2 * k) % 4 == 1 else inner
+                if (i + j + k) % 2:
+                    inner = inner.replace("<p>", f"<p class='{_EITHER[(i + j + k) % len(_EITHER)]} {_EITHER[(2 * i + j) % len(_EITHER)]}'>", 1)
                 page = f"{before}{more[0] if k % 2 else ''}{hold.format(inner) or inner}{after}"
                 out.append(f"<html{'' if hold else main}><head><title>t</title></head><body>{page}</body></html>")
         for short in (f"<p>{_SHORT}</p>", f"<p>{_MID} <a href='/x'>More</a></p>", body):

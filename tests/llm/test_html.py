@@ -1,3 +1,4 @@
+import time
 import html as H
 import re
 
@@ -66,3 +67,34 @@ def test_messages_give_exact_marginals():
     model = html.trained()
     nodes = html.ordered(html.parse("<div class='content'><p>One two. <a href=x>three</a></p><div class='ad'><b>Buy</b></div></div><footer>c</footer>"))
     assert model.marginals(nodes) == pytest.approx(exact(nodes, model))
+
+
+@pytest.mark.parametrize("name", ["social", "tags", "top", "lead", "adventure"])
+def test_classes_inside_an_article_do_not_decide(name):
+    page = (
+        "<html><body><nav class='menu'><a href='/'>Home</a></nav><article><h1>T</h1><p>First one here. It is long.</p>"
+        f"<p class='{name}'>The boats came back at noon, and nobody had seen it.</p><p>Another paragraph, with an end.</p></article></body></html>"
+    )
+    assert "The boats came back" in html.main_text(page, html.trained())
+
+
+def test_unknown_elements_in_a_paragraph_stay():
+    page = "<article><p>Let <math><mi>x</mi> + y</math> be a <noscript>plain</noscript> sum. It is <x-word>long</x-word> enough.</p></article>"
+    assert html.main_text(page, html.trained()) == "Let x + y be a plain sum. It is long enough."
+
+
+def test_unclosed_head():
+    assert html.main_text("<html><head><title>T</title><p>Body text goes here. It is long enough.</p>", html.trained()) == "Body text goes here. It is long enough."
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    deep = "<article>" + "<div>" * 200_000 + "<p>One paragraph here.<p>Two." + "</div>" * 200_000 + "</article>"
+    assert html.main_text(deep, html.trained()) == "One paragraph here.\nTwo."
+    assert time.time() - began < 20
+
+
+def test_empty_table_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>One paragraph here. It is fine.</p>", "x", 5)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    assert [r["text"] for r in html.extract(df).collect()] == ["One paragraph here. It is fine."] * 2
+    assert html.extract(df.limit(0)).count() == 0
