@@ -277,9 +277,9 @@ def _verifier(texts: DataFrame, reps: DataFrame):
         wanted = cut(wanted.withColumn("id", F.coalesce("b", "a")))
         ids = cut(wanted.select("id").distinct())
         where = cut(reps.select("id", "doc_id", "h").join(few(ids, FEW), "id"))
-        own = texts.withColumn("h", F.xxhash64("text")).join(few(where, FEW), ["doc_id", "h"])
-        once = cut(own.select("id", "text").dropDuplicates(["id"]))
-        rows = wanted.join(once, "id").select("a", "salt", "b", "text")
+        keyed = cut(wanted.join(where, "id").select("a", "salt", "b", "doc_id", "h"))
+        # texts are moved once; rows that repeat a doc_id and text only give a pair twice
+        rows = texts.withColumn("h", F.xxhash64("text")).join(few(keyed, FEW), ["doc_id", "h"]).select("a", "salt", "b", "text")
         dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return dealt.mapInArrow(run, "a bigint, b bigint")
 
