@@ -1,9 +1,9 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for what no rule decides.
 
-All of it is DataFrame expressions. The trees are trained on URLs that rules have labelled: features are binned, equal
-bin vectors are counted once, and each level of each tree is one aggregation of gradients by (node, feature, bin);
-only those sums, whose number the parameters bound, come to the driver, which picks the splits. Scoring is a sum of
-CASE expressions over the same features.
+All of it is DataFrame expressions. The trees are trained on a bounded sample of the URLs that rules have labelled:
+features are binned, equal bin vectors are counted once, and these cells, no more than the sample has rows, come to the
+driver, which grows the trees. How often the sample has a host's suffix, and how often blocked, are features too.
+Scoring is a sum of CASE expressions over the same features.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ from sillage.llm.common import cut
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
-#: Words that tell of spam in a host or path; the suffixes told apart.
-SUFFIXES = ("com", "org", "net", "edu", "gov", "info", "biz", "io")
 #: The bound of the labelled sample that the trees are fit on; trees, their depth, the shrinkage, bins of a feature.
 SAMPLE, TREES, DEPTH, RATE, BINS, RIDGE = 20_000, 12, 3, 0.4, 16, 1.0
 
@@ -57,7 +56,6 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     def share(pattern: str) -> Column:
         return F.length(F.regexp_replace(url, f"[^{pattern}]", "")) / n
 
-    suffix = F.regexp_extract(host, r"\.?([^.]*)$", 1)
     out = {
         "length": F.length(url),
         "host_length": F.length(host),
@@ -69,19 +67,17 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "hyphens": F.length(F.regexp_replace(host, "[^-]", "")),
         "entropy": entropy,
         "params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
-        "last_number": F.coalesce(F.expr("try_cast(left(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), 9) as double)"), F.lit(-1.0)),
         "page_suffix": F.length(F.regexp_extract(path, r"\.([a-zA-Z0-9]+)$", 1)),
         "https": F.lower(url).startswith("https:").cast("int"),
     }
-    #: Of a segment of two letters, which says the language of most such paths, the letters' numbers
-    section = F.lower(F.regexp_extract(path, r"^/([a-zA-Z]{2})/", 1))
-    out["section_first"] = F.when(section == "", 0).otherwise(F.ascii(section))
-    out["section_second"] = F.when(section == "", 0).otherwise(F.ascii(F.substring(section, 2, 1)))
-    out["suffix"] = F.coalesce(F.array_position(F.array(*map(F.lit, SUFFIXES)), suffix), F.lit(0))
-    out["suffix_length"] = F.length(suffix)
+    out["suffix_length"] = F.length(suffix_of(host))
     return {k: c.cast("double") for k, c in out.items()}
 
 
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"\.?([^.]*)$", 1)
+
+
 class Model(NamedTuple):
     """base: the log odds before any tree; trees: nested (feature, threshold, below, above) or a leaf's value."""
 
@@ -103,10 +99,9 @@ def _case(tree, row: dict[str, Column]) -> Column:
     return F.when(row[feature] <= threshold, _case(below, row)).otherwise(_case(above, row))
 
 
-def fit(labelled: DataFrame, names: list[str], sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Model:
-    """labelled: `names` as doubles and y (1 to block, 0 to allow), and order, by whose smallest values a bounded
-    sample is taken. One class only, or none: a constant model."""
-    few = cut(labelled.orderBy("order", *names, "y").limit(sample).select(*names, "y"))
+def fit(few: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH) -> Model:
+    """few, a bounded table: `names` as doubles and y (1 to block, 0 to allow). One class only, or none: a constant
+    model."""
     n, blocked, *edges = few.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum("y"), F.lit(0)),
@@ -115,66 +110,40 @@ def fit(labelled: DataFrame, names: list[str], sample: int = SAMPLE, trees: int
     if not n or blocked in (0, n):
         return Model(0.0 if not n else (20.0 if blocked else -20.0), [])
     base = math.log(blocked / (n - blocked))
-    cuts = {c: [float(x) for x in e] for c, e in zip(names, edges, strict=True)}
+    cuts = {c: sorted(float(x) for x in e) for c, e in zip(names, edges, strict=True)}
     bins = [sum((F.col(c) > x).cast("int") for x in cuts[c]).cast("int").alias(c) if cuts[c] else F.lit(0).alias(c) for c in names]
-    cells = cut(few.select(*bins, "y").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")))
-    row = {c: F.col(c) for c in names}
-    model = Model(base, [])
+    cells = few.select(*bins, "y").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    found = np.array(sorted(map(tuple, cells.collect())), np.int64)  # as many rows as few has, at most
+    x, total, pos = found[:, : len(names)], found[:, -2].astype(float), found[:, -1].astype(float)
+    odds, grown = np.full(len(x), base), []
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-model.score(row)))
-        graded = cells.withColumns({"g": F.col("pos") - F.col("n") * p, "h": F.col("n") * p * (1 - p)})
-        model.trees.append(_grow(graded, names, row, depth))
-    back = {c: cuts[c] for c in names}
-
-    def unbinned(t):
-        return t if not isinstance(t, tuple) else (t[0], back[t[0]][t[1]], unbinned(t[2]), unbinned(t[3]))
-
-    return Model(base, [unbinned(t) for t in model.trees])
-
-
-def _grow(graded: DataFrame, names: list[str], row: dict[str, Column], depth: int):
-    """One tree over bins, level by level: a split "bin <= k" where the gain is largest, first by name and k on ties."""
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("b")) for c in names]))
-    root: list = [None]  # nested lists [feature, k, left, right] or [value]
-
-    def node_of(tree, at: str) -> Column:
-        if len(tree) == 1:
-            return F.lit(at)
-        return F.when(row[tree[0]] <= tree[1], node_of(tree[2], at + "0")).otherwise(node_of(tree[3], at + "1"))
-
-    for level in range(depth):
-        sums = (
-            graded.withColumn("node", node_of(root, "r"))
-            .select("node", "g", "h", stack.alias("x"))
-            .groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        ).collect()  # nodes x features x bins rows at most
-        by: dict = {}
-        for r in sums:
-            by.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
-        for node, found in by.items():
-            leaf = root
-            for c in node[1:]:
-                leaf = leaf[2 + int(c)]
-            if len(leaf) != 1:
-                continue
-            g_all, h_all = (sum(x[i] for x in found[names[0]].values()) for i in (0, 1))
-            best = None
-            for f in names:
-                g = h = 0.0
-                for k in sorted(found[f])[:-1]:
-                    g, h = g + found[f][k][0], h + found[f][k][1]
-                    gain = g * g / (h + RIDGE) + (g_all - g) ** 2 / (h_all - h + RIDGE) - g_all**2 / (h_all + RIDGE)
-                    if best is None or gain > best[0] + 1e-9:
-                        best = (gain, f, k, g, h)
-            leaf[:] = [RATE * g_all / (h_all + RIDGE)]
-            if best and best[0] > 1e-3:
-                _, f, k, g, h = best
-                leaf[:] = [f, k, [RATE * g / (h + RIDGE)], [RATE * (g_all - g) / (h_all - h + RIDGE)]]
-
-    def done(t):
-        return float(t[0]) if len(t) == 1 else (t[0], t[1], done(t[2]), done(t[3]))
-
-    return done(root)
+        p = 1 / (1 + np.exp(-odds))
+        tree = _grow(x, pos - total * p, total * p * (1 - p), np.arange(len(x)), depth, odds)
+        grown.append(tree)
+
+    def named(t):
+        return t if not isinstance(t, tuple) else (names[t[0]], cuts[names[t[0]]][t[1]], named(t[2]), named(t[3]))
+
+    return Model(base, [named(t) for t in grown])
+
+
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int, odds: np.ndarray):
+    """A tree for the cells `at`: split at "bin <= k" where the gain is largest, first by feature and k on ties. Adds
+    the leaves' values to odds."""
+    g_all, h_all = g[at].sum(), h[at].sum()
+    best = (1e-3, None, None)
+    for f in range(x.shape[1] if depth else 0):
+        g_in, h_in = (np.bincount(x[at, f], v[at]).cumsum()[:-1] for v in (g, h))
+        gains = g_in**2 / (h_in + RIDGE) + (g_all - g_in) ** 2 / (h_all - h_in + RIDGE) - g_all**2 / (h_all + RIDGE)
+        if len(gains) and gains.max() > best[0] + 1e-9:
+            best = (gains.max(), f, int(gains.argmax()))
+    if best[1] is None:
+        value = float(RATE * g_all / (h_all + RIDGE))
+        odds[at] += value
+        return value
+    _, f, k = best
+    below = x[at, f] <= k
+    return (f, k, _grow(x, g, h, at[below], depth - 1, odds), _grow(x, g, h, at[~below], depth - 1, odds))
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -189,10 +158,19 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rows = rows.withColumns({"host": host, "path": path})
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     lexical = features(F.col("url"), F.col("host"), F.col("path"))
-    y = F.when(said == "block", 1).otherwise(0)
-    labelled = rows.where(rule.isNotNull()).select(F.xxhash64("url").alias("order"), y.alias("y"), *[c.alias(k) for k, c in lexical.items()])
-    model = fit(labelled, list(lexical), sample)
-    named = rows.withColumns({"rule": rule, "said": said} | {f"x_{k}": c for k, c in lexical.items()})
-    scored = named.withColumn("score", model.score({k: F.col(f"x_{k}") for k in lexical}))
+    names = [*lexical, "suffix_seen", "suffix_blocked"]
+    whole = rows.withColumns({"rule": rule, "said": said, "suffix": suffix_of(F.col("host"))} | lexical)
+    labelled = whole.where("rule IS NOT NULL").withColumn("y", (F.col("said") == "block").cast("int"))
+    few = cut(labelled.orderBy(F.xxhash64("url"), "url").limit(sample).select("suffix", "y", *lexical))
+    blocked = few.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
+    seen = few.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))  # `sample` rows at most
+
+    def with_suffixes(df: DataFrame) -> DataFrame:
+        n = F.coalesce("n", F.lit(0))
+        share = (F.coalesce("blocked", F.lit(0)) + 2 * blocked) / (n + 2)
+        return df.join(F.broadcast(seen), "suffix", "left").withColumns({"suffix_seen": F.log1p(n), "suffix_blocked": share})
+
+    model = fit(with_suffixes(few), names)
+    scored = with_suffixes(whole).withColumn("score", model.score({k: F.col(k) for k in names}))
     verdict = F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

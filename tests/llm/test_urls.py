@@ -1,5 +1,9 @@
+import collections
+import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sillage.llm import urls
@@ -41,3 +45,62 @@ def test_one_class(spark):
     got = judged(spark, ["http://a.org/x", "http://b.net/x"])
     assert got[1]["verdict"] == "allow"
     assert judged(spark, []) == {}
+
+
+def plain_features(url):
+    url = url or ""
+    rest = url.partition("://")[2] if "://" in url else ""
+    host = re.match(r"(?s)[^/?#]*", rest)[0]
+    path = re.match(r"(?s)[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    query = re.match(r"(?s)[^?#]*\?([^#]*)", url)
+    n, low = max(1, len(url)), url.lower()
+    return host, path, {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": sum(x != "" for x in path.split("/")),
+        "labels": len(host.split(".")), "digit_ratio": sum(c in "0123456789" for c in url) / n,
+        "symbol_ratio": sum(not re.match("[a-zA-Z0-9]", c) for c in url) / n, "hyphens": host.count("-"),
+        "entropy": -sum(k / n * math.log2(k / n) for k in collections.Counter(low).values()),
+        "params": len(query[1].split("&")) if query and query[1] else 0,
+        "page_suffix": len((re.search(r"\.([a-zA-Z0-9]+)$", path) or ["", ""])[1]), "https": int(low.startswith("https:")),
+        "suffix_length": len(host.rpartition(".")[2]),
+    }
+
+
+def test_features_against_plain_python(spark):
+    values = ["https://A.b-c.Example.ORG/es/1/x.html?a=1&b=2#f", "http://h", "", None, "x://y?z", "http://a.b/" + "p/" * 50_000 + "end.php?" + "q=1&" * 999]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, url string")
+    host, path = urls.host_path(F.col("url"))
+    rows = df.select("i", host.alias("host"), path.alias("path"), *[c.alias(k) for k, c in urls.features(F.col("url"), host, path).items()]).collect()
+    for r in rows:
+        h, p, want = plain_features(values[r["i"]])
+        assert (r["host"], r["path"]) == (h, p)
+        assert {k: r[k] for k in want} == pytest.approx(want)
+
+
+def test_scores_and_left_out_urls(spark):
+    """Blocked hosts are long and full of digits; the score is the base and the leaves that a plain walk reaches."""
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        bad = r.random() < 0.5
+        name = "".join(r.choice("abcdefgh" + "0123456789" * bad) for _ in range(r.randrange(14, 25) if bad else r.randrange(4, 15)))
+        rows.append((i, f"http://{name}.{r.choice(['xyz', 'top'] if bad else ['fr', 'de'])}/{name[:3]}", int(bad)))
+    df = spark.createDataFrame(rows, "i int, url string, y int")
+    host, path = urls.host_path(F.col("url"))
+    df = df.select("i", "y", *[c.alias(k) for k, c in urls.features(F.col("url"), host, path).items()])
+    names = [c for c in df.columns if c not in ("i", "y")]
+    model = urls.fit(df.where("i < 400"), names)
+    out = df.withColumn("score", model.score({k: F.col(k) for k in names})).where("i >= 400").collect()
+
+    def walk(t, row):
+        return t if not isinstance(t, tuple) else walk(t[2] if row[t[0]] <= t[1] else t[3], row)
+
+    assert all(abs(x["score"] - model.base - sum(walk(t, x) for t in model.trees)) < 1e-9 for x in out)
+    assert sum((x["score"] > 0) == bool(x["y"]) for x in out) >= 0.9 * len(out)
+
+
+def test_no_python_in_the_plan_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x", "r", 1.0)] * 2, "page_id long, url string, rule string, length double")
+    out = urls.judge(df)
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
+    assert [tuple(x)[:5] for x in out.collect()] == [(1, "a.org", "/x", "org/", "allow")] * 2
