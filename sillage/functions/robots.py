@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """(domain, content) to (domain, allow, disallow, crawl_delay) of the sections for every agent or for bots. The
-    agent of a line is the last one named above it; lines above any count for all."""
+    """(domain, content) to (domain, allow, disallow, crawl_delay) of the sections for the agents `*` and `bot`, by
+    exactly these names. The agent of a line is the last one named above it; lines above any count for all. Of several
+    delays the last that is a number holds. An empty rule stays: it matches nothing."""
     lines = files.select("domain", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", r"\r", ""))
     split = F.regexp_extract(line, r"^([^:#]*):(.*)$", 1)
     parts = lines.select(
         "domain", "pos", F.lower(F.trim(split)).alias("field"), F.trim(F.regexp_extract(line, r"^([^:#]*):(.*)$", 2)).alias("value")
     ).where("field <> ''")
-    agent = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), ignorenulls=True).over(Window.partitionBy("domain").orderBy("pos"))
-    told = parts.withColumn("agent", F.coalesce(agent, F.lit("*"))).where("agent = '*' or contains(agent, 'bot')")
-    of = lambda field: F.array_sort(F.collect_set(F.when((F.col("field") == field) & (F.col("value") != ""), F.col("value"))))
-    delay = F.max(F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value as double)")))
+    agent = F.last(F.when(F.col("field") == "user-agent", F.col("value")), ignorenulls=True).over(Window.partitionBy("domain").orderBy("pos"))
+    told = parts.withColumn("agent", F.coalesce(agent, F.lit("*"))).where("agent in ('*', 'bot')")
+    of = lambda field: F.array_sort(F.collect_set(F.when(F.col("field") == field, F.col("value"))))
+    number = F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value as double)"))
+    delay = F.max(F.when(number.isNotNull(), F.struct("pos", number.alias("delay"))))["delay"]
     return told.groupBy("domain").agg(of("allow").alias("allow"), of("disallow").alias("disallow"), delay.alias("crawl_delay"))
 
 

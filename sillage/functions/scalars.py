@@ -130,6 +130,26 @@ def author_label(text: Column) -> Column:
     return F.when(F.lower(text).rlike(ANONYMOUS), strip(text))
 
 
+def product_id(url: Column, found: Column) -> Column:
+    """The id in a product's URL; else the one found on the page, without what is neither word character nor hyphen."""
+    in_url = F.regexp_extract(url, r"/product/([^/?]+)", 1)
+    return F.when(in_url != "", in_url).when(found != "", F.regexp_replace(found, r"(?U)[^\w\-]", ""))
+
+
+def helpful_count(text: Column) -> Column:
+    """The first number, in which commas and points only group digits."""
+    return F.regexp_extract(F.regexp_replace(text, "[,.]", ""), r"(\d+)", 1).try_cast("bigint")
+
+
+def review_url(url: Column, review: Column) -> Column:
+    return F.concat(url, F.lit("#review-"), review.cast("string"))
+
+
+def review_id(product: Column, epoch: Column) -> Column:
+    """The id of a review that has none of its own."""
+    return F.concat(product.cast("string"), F.lit("_review_"), epoch.cast("string"))
+
+
 def verified(text: Column) -> Column:
     """True, false or null; negations first, as they contain the positive words."""
     low = F.lower(text)

@@ -27,6 +27,12 @@ def provenance_gate(products: DataFrame, reviews: DataFrame) -> DataFrame:
     return p.crossJoin(r)
 
 
+def no_text_evidence() -> Column:
+    """no_evidence() where the evidence is a text that holds a list."""
+    e = F.col("refill_evidence")
+    return F.col("refillable_flag") & (e.isNull() | e.isin("[]", ""))
+
+
 def evidence_gate(products: DataFrame) -> DataFrame:
     out = products.agg(F.count_if(no_evidence()).alias("invalid"), F.count_if("refillable_flag").alias("total"))
     return out.withColumn("status", F.when(F.col("invalid") == 0, "PASS").otherwise("FAIL"))

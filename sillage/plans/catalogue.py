@@ -147,6 +147,25 @@ def evidence_gate(spark, sf):
     return gates.evidence_gate(v.products(spark, sf))
 
 
+_TEXT = "CASE product_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '' WHEN 2 THEN '[\"refill\"]' END"
+
+
+@query(with_(PRODUCTS) + f"SELECT count(*) AS invalid FROM (SELECT refillable_flag, {_TEXT} AS e FROM products) WHERE refillable_flag AND (e IS NULL OR e = '[]' OR e = '')")
+def evidence_gate_text(spark, sf):
+    of = F.col("product_id") % 4
+    text = F.when(of == 0, "[]").when(of == 1, "").when(of == 2, '["refill"]')
+    return v.products(spark, sf).withColumn("refill_evidence", text).agg(F.count_if(gates.no_text_evidence()).alias("invalid"))
+
+
+_EIGHTEEN = ", ".join("'{}'".format(b.replace("'", "''")) for b in gates.EXPECTED_BRANDS)
+
+
+@query(with_(PRODUCTS) + f"SELECT count(*) FILTER (list_contains([{_EIGHTEEN}], brand)) AS luxury_count FROM (SELECT [{_EIGHTEEN}, 'Other'][product_id % 40 + 1] AS brand FROM products)")
+def expected_brand_presence(spark, sf):
+    brand = F.get(F.array(*[F.lit(b) for b in (*gates.EXPECTED_BRANDS, "Other")]), (F.col("product_id") % 40).cast("int"))
+    return gates.expected_brands(v.products(spark, sf).withColumn("brand", brand), gates.EXPECTED_BRANDS).select("luxury_count")
+
+
 @query(with_(PRODUCTS) + "SELECT count(*) FILTER (regexp_matches(brand, '^Brand_[0-9]+$')) AS n FROM products")
 def synthetic_brand(spark, sf):
     return gates.generated_brands(v.products(spark, sf))
@@ -392,6 +411,24 @@ def review_key(spark, sf):
     return v.review_texts(spark, sf).select("review_id", key.alias("k"), F.sha2("body", 256).alias("h"))
 
 
+@query(with_(PRODUCTS) + "SELECT product_id, CASE product_id % 3 WHEN 0 THEN 'P' || product_id WHEN 1 THEN 'sku-' || product_id END AS x FROM products")
+def product_id_extract(spark, sf):
+    k = F.col("product_id").cast("string")
+    of = F.col("product_id") % 3
+    url = F.when(of == 0, F.concat(F.lit("https://shop.example/fr/product/P"), k, F.lit("?x=1"))).otherwise("https://shop.example/fr/")
+    found = F.when(of == 1, F.concat(F.lit(" sku-"), k, F.lit(" #!"))).when(of == 2, "")
+    return v.products(spark, sf).select("product_id", scalars.product_id(url, found).alias("x"))
+
+
+@query(with_(TEXTS) + "SELECT review_id, CASE WHEN rating > 1 THEN CAST(rating * 1000 AS VARCHAR) END AS helpful, 'https://shop.example/p#review-' || review_id AS url, product_id || '_review_1700000000' AS other_id FROM review_texts")
+def review_links(spark, sf):
+    text = F.when(F.col("rating") > 1, F.concat(F.lit("Utile pour "), F.col("rating").cast("string"), F.lit(",000 personnes"))).otherwise("Utile")
+    return v.review_texts(spark, sf).select(
+        "review_id", scalars.helpful_count(text).cast("string").alias("helpful"), scalars.review_url(F.lit("https://shop.example/p"), F.col("review_id")).alias("url"),
+        scalars.review_id(F.col("product_id"), F.lit(1_700_000_000)).alias("other_id"),
+    )
+
+
 @query(with_(TEXTS) + "SELECT review_id, CASE WHEN length(c) > 10 THEN c END AS body FROM (SELECT review_id, trim(regexp_replace(body, '[\\s\\x{85}\\x{A0}\\p{Z}]+', ' ', 'g')) AS c FROM review_texts)")
 def review_body(spark, sf):
     return v.review_texts(spark, sf).select("review_id", scalars.body(F.col("body")).alias("body"))
@@ -429,13 +466,14 @@ def page_ratings(spark, sf):
 
 
 _RULES = [("d0", "User-agent: *\nDisallow: /en/1\nDisallow: /*/9\nCrawl-delay: 2"), ("d1", "User-agent: other\nDisallow: /\nUser-agent: *\nAllow: /en/\nAllow: /fr/\nDisallow: /en/5 \n# note"),
-          ("d2", "Disallow: /de/\nUser-agent: MyBot\nCrawl-Delay: 0.5\nAllow: /")]
+          ("d2", "Disallow: /de/\nUser-agent: MyBot\nCrawl-Delay: 0.5\nAllow: /"),
+          ("d3", "User-agent: Googlebot\nDisallow: /\nCrawl-delay: 9\nUser-agent: bot\nCrawl-delay: 3\nDisallow: /x\nCrawl-delay: 1\nCrawl-delay: soon"), ("d4", "User-agent: *\nAllow:\nDisallow:")]
 _FILES = ", ".join("('{}', '{}')".format(d, t.replace("'", "''")) for d, t in _RULES)
 _RLINES = """lines AS (SELECT domain, pos, trim(split_part(l, ':', 1)) AS field0, trim(regexp_replace(l, '^[^:]*:', '')) AS value FROM (SELECT domain, unnest(string_split(content, chr(10))) AS l,
     generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files) WHERE contains(l, ':') AND NOT starts_with(l, '#')),
-    told AS (SELECT domain, lower(field0) AS field, value, coalesce(last_value(CASE WHEN lower(field0) = 'user-agent' THEN lower(value) END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY pos), '*') AS agent FROM lines),
-    rules AS (SELECT domain, list_sort(list_distinct(list(value) FILTER (field = 'allow' AND value <> ''))) AS allow, list_sort(list_distinct(list(value) FILTER (field = 'disallow' AND value <> ''))) AS disallow,
-    max(CASE WHEN field = 'crawl-delay' THEN TRY_CAST(value AS DOUBLE) END) AS crawl_delay FROM told WHERE agent = '*' OR contains(agent, 'bot') GROUP BY domain)"""
+    told AS (SELECT domain, lower(field0) AS field, value, pos, coalesce(last_value(CASE WHEN lower(field0) = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY pos), '*') AS agent FROM lines),
+    rules AS (SELECT domain, list_sort(list_distinct(list(value) FILTER (field = 'allow'))) AS allow, list_sort(list_distinct(list(value) FILTER (field = 'disallow'))) AS disallow,
+    arg_max(TRY_CAST(value AS DOUBLE), pos) FILTER (field = 'crawl-delay' AND TRY_CAST(value AS DOUBLE) IS NOT NULL) AS crawl_delay FROM told WHERE agent IN ('*', 'bot') GROUP BY domain)"""
 _FILES_CTE = f"files AS (SELECT * FROM (VALUES {_FILES}) t(domain, content))"
 
 
@@ -448,7 +486,7 @@ def robots_rules(spark, sf):
     return _rules(spark).select("domain", F.array_join("allow", " ").alias("allow"), F.array_join("disallow", " ").alias("disallow"), F.coalesce("crawl_delay", F.lit(1.0)).alias("crawl_delay"))
 
 
-_MATCH = "(CASE WHEN contains(r, '*') THEN regexp_matches(p, '^' || replace(r, '*', '.*')) ELSE starts_with(p, r) END)"
+_MATCH = "(CASE WHEN r = '' THEN false WHEN contains(r, '*') THEN regexp_matches(p, '^' || replace(r, '*', '.*')) ELSE starts_with(p, r) END)"
 
 
 @query(with_(PAGES, _FILES_CTE, _RLINES) + f""", x AS (SELECT page_id, coalesce(path, '/') AS p, 'd' || (page_id % 3) AS domain FROM crawl_pages)

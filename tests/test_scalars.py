@@ -84,3 +84,17 @@ def test_required_is_truthiness(spark):
     row = spark.createDataFrame([(1, "s", "b", "", 0.0, 7.0)], "product_id int, site string, brand string, name string, price_value double, rating_avg double")
     assert row.select(scalars.product_errors().alias("e")).first()["e"] == [
         "Missing required field: name", "Missing required field: price_value", "Invalid price value", "Invalid rating average"]
+
+
+def test_robots_agents_by_exact_name(spark):
+    text = "User-agent: Googlebot\nDisallow: /private\nCrawl-delay: 9\nUser-agent: *\nAllow:\nCrawl-delay: 2\nCrawl-delay: x\nUser-agent: Bot\nDisallow: /b"
+    r = robots.parse(spark.createDataFrame([("d", text)], "domain string, content string")).first()
+    assert (r["allow"], r["disallow"], r["crawl_delay"]) == ([""], [], 2.0)
+    allowed = robots.allowed(F.lit("/x"), F.array(F.lit("")), F.array().cast("array<string>"))
+    assert spark.range(1).select(allowed.alias("x")).first()["x"] is False  # an empty rule is a rule that nothing meets
+
+
+def test_product_id(spark):
+    rows = [("https://s/product/P1?x", "z"), ("https://s/", " a-1 !é"), ("https://s/", ""), ("https://s/", None)]
+    out = spark.createDataFrame(rows, "u string, f string").select(scalars.product_id(F.col("u"), F.col("f")).alias("x")).collect()
+    assert [r["x"] for r in out] == ["P1", "a-1é", None, None]
