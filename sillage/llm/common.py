@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -10,6 +9,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sillage.sources.shared import shared_dir
+
 #: A word, as the contracts have it: a run without the six ASCII white-space characters.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -25,18 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, a folder of our own in local mode, in which
-    driver and executors are one process; on a cluster there is no safe choice, so an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='sillage-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: What holds while a cut is written. Spark removes a query's shuffle files as soon as the query has ended; rows go to
 #: Python in batches that stay small where texts are long.
 _WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
