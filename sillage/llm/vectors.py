@@ -3,8 +3,10 @@
 Equal vectors are one class. In each of several tables a vector's bucket is the signs of its products with that
 table's hyperplanes; bits per table follow the number of classes, tables follow from the recall asked for at the
 threshold. Buckets are dealt out as pairs of blocks of bounded size, so a hot bucket is spread over tasks; within a
-block pair all cosines are one matrix product in double precision. A pair that meets in several tables counts in the
-first of them. Only link counts and a spanning forest of each block pair leave the tasks; components are distributed.
+block pair the cosines are matrix products in double precision, a strip of rows at a time. A pair that meets in several
+tables counts in the first of them. Vectors are shuffled once for each table, in the precision that the table has; few
+large buckets need fewer tables, and so a smaller shuffle, than many small ones. Only link counts and a spanning forest
+of each block pair leave the tasks; components are distributed.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sillage.llm.common import components, cut
 
 #: Cosine of a link; share of links at just that cosine that the tables must find; vectors of a bucket aimed at; the
-#: most of a block; the seed of the hyperplanes.
-COSINE, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.9998, 512, 1024, 20250101
+#: most of a pair of blocks; rows of a strip; the seed of the hyperplanes.
+COSINE, RECALL, BUCKET, BLOCK, STRIP, SEED = 0.9, 0.9998, 2048, 4096, 512, 20250101
 
 
 def scheme(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -37,12 +40,24 @@ def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def unit(blobs: pd.Series) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def unit(blobs: pd.Series, kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # else squares of very large or small components leave the range
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def lowest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the positions below n that each reaches by the links (a, b)."""
+    low = np.arange(n)
+    while True:
+        was = low.copy()
+        np.minimum.at(low, a, was[b])
+        np.minimum.at(low, b, was[a])
+        low = low[low]
+        if (low == was).all():
+            return low
+
+
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) to vec_id, n_links, component_id, kept: one row per row.
 
@@ -58,13 +73,14 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     )
     classes = cut(rows.where("fine").groupBy("e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     bits, tables = scheme(classes.count(), cosine, recall)
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
 
     def hashed(frames):
         for f in frames:
             f = f.reset_index(drop=True)
             for _, g in f.groupby(f["e"].map(len)):
-                blobs = g["e"].map(lambda v: np.asarray(v, np.float64).tobytes())
-                c = codes(unit(blobs), bits, tables)
+                blobs = g["e"].map(lambda v: np.asarray(v, kind).tobytes())
+                c = codes(unit(blobs, kind), bits, tables)
                 for lot in range(0, len(g), 2000):
                     part = g.iloc[lot : lot + 2000]
                     for t in range(tables):
@@ -88,27 +104,23 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         if len(f) < 2:
             return out
         f = f.sort_values("id", kind="stable").reset_index(drop=True)
-        x, ids, copies, t = unit(f["v"]), f["id"].to_numpy(), f["copies"].to_numpy(), int(f["t"].iloc[0])
-        near = x @ x.T >= cosine
-        np.fill_diagonal(near, False)
-        if f["lo"].iloc[0] != f["hi"].iloc[0]:
-            near &= f["first"].to_numpy()[:, None] != f["first"].to_numpy()[None, :]
-        a, b = np.nonzero(np.triu(near))
-        if len(a) and t:
-            c = codes(x, bits, tables)[:, :t]
-            new = np.concatenate([~(c[a[k : k + 100_000]] == c[b[k : k + 100_000]]).any(1) for k in range(0, len(a), 100_000)])
-            a, b = a[new], b[new]
-        if not len(a):
-            return out
-        links = np.bincount(a, copies[b], len(f)) + np.bincount(b, copies[a], len(f))
-        low = np.arange(len(f))
-        while True:  # ids ascend with positions: the smallest position that reaches a vector is its smallest id
-            was = low.copy()
-            np.minimum.at(low, a, was[b])
-            np.minimum.at(low, b, was[a])
-            low = low[low]
-            if (low == was).all():
-                break
+        x, ids, copies, t = unit(f["v"], kind), f["id"].to_numpy(), f["copies"].to_numpy(), int(f["t"].iloc[0])
+        both, first = f["lo"].iloc[0] != f["hi"].iloc[0], f["first"].to_numpy()
+        c = codes(x, bits, tables)[:, :t]
+        at, links, low = np.arange(len(f)), np.zeros(len(f)), np.arange(len(f))
+        for start in range(0, len(f), STRIP):
+            near = x[start : start + STRIP] @ x[start:].T >= cosine
+            if both:
+                near &= first[start : start + STRIP, None] != first[None, start:]
+            a, b = np.nonzero(np.triu(near, 1))
+            if t and len(a):
+                new = np.concatenate([~(c[start + a[k : k + 100_000]] == c[start + b[k : k + 100_000]]).any(1) for k in range(0, len(a), 100_000)])
+                a, b = a[new], b[new]
+            if len(a):
+                a, b = start + a, start + b
+                links += np.bincount(a, copies[b], len(f)) + np.bincount(b, copies[a], len(f))
+                # ids ascend with positions: the smallest position that reaches a vector is its smallest id
+                low = lowest(np.concatenate([a, at]), np.concatenate([b, low]), len(f))
         some = links > 0
         return pd.DataFrame({"id": ids[some], "links": links[some].astype("int64"), "low": ids[low[some]]})
 

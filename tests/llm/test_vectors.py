@@ -35,6 +35,30 @@ def test_recall_and_exactness(spark, monkeypatch):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(rows)
 
 
+def test_recall_with_the_constants_as_they_are(spark):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((700, 24))
+    rows = [(i, (centres[r.integers(700)] + 0.3 * r.standard_normal(24)).tolist()) for i in range(5000)]
+    rows += [(5000 + i, (centres[0] + 0.05 * r.standard_normal(24)).tolist()) for i in range(2500)]
+    assert vectors.scheme(len(rows))[1] > 1
+    want, got = brute(rows), result(spark, rows)
+    assert sum(n for n, _, _ in got.values()) >= 0.99 * sum(n for n, _, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1:] == want[i][1:] for i in want) >= 0.99 * len(rows)
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(1, [1.0, 1e-12, 1.0]), (2, [1.0, 2e-12, 1.0]), (3, [1.0, 1e-12, 1.0])]
+    out = vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 5, "x"), (1, [1.0, 0.0], 6, "y"), (2, [0.0, 1.0], 7, "z")]
+    out = vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int, e string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, nan]), (4, [1.0, inf]), (5, [1.0, None]), (6, []), (8, [2.0, 0.0]), (7, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
