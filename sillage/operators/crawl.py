@@ -63,6 +63,36 @@ def unseen(batch: DataFrame, seen: DataFrame, key: str, order: str) -> DataFrame
     return batch.join(seen.select(key), key, "left_anti").withColumn("__n", first).where("__n = 1").drop("__n")
 
 
+def discovered(listings: DataFrame, most: int = 10) -> DataFrame:
+    """(listing, page_no, link) to (listing, link, page_no): what paging through each listing finds, with the page a
+    link is first on. Paging ends after `most` pages or with the first one that has no new link: only a gapless run of
+    pages that are some link's first counts. No loop: first pages are an aggregate, runs a number by page."""
+    first = listings.where(F.col("page_no").between(1, most)).groupBy("listing", "link").agg(F.min("page_no").alias("page_no"))
+    new = first.select("listing", "page_no").distinct()  # `most` rows of a listing at most
+    place = F.row_number().over(Window.partitionBy("listing").orderBy("page_no"))
+    run = new.withColumn("place", place).where("place = page_no").select("listing", "page_no")
+    return first.join(run, ["listing", "page_no"]).select("listing", "link", "page_no")
+
+
+def crawl_plan(starts: DataFrame, links: DataFrame, landed: DataFrame, most: int = 10, each: int = 5) -> DataFrame:
+    """The pages that a crawl visits, in order: (site, url, visit).
+
+    starts: (site, start_no, url); links: (url, link_no, link), numbered from 0; landed: (url) of pages that can be
+    had. Of each start that is landed its first `each` links are taken, those that are landed and not yet visited. The
+    number of visits is checked against `most` between starts only, so a crawl may end above it. A site has some starts
+    of `each` links, so its window is small."""
+    ok = landed.select("url").distinct()
+    first = starts.join(ok, "url", "left_semi")
+    own = first.select("site", "start_no", F.lit(-1).alias("link_no"), "url")
+    below = first.join(links.where(F.col("link_no") < each), "url").select("site", "start_no", "link_no", F.col("link").alias("url"))
+    at = F.struct(F.col("start_no").cast("bigint").alias("start_no"), F.col("link_no").cast("bigint").alias("link_no"))
+    visits = own.unionByName(below.join(ok, "url", "left_semi")).groupBy("site", "url").agg(F.min(at).alias("at"))
+    order = Window.partitionBy("site")
+    before = F.count(F.lit(1)).over(order.orderBy("at.start_no").rangeBetween(Window.unboundedPreceding, -1))
+    numbered = visits.withColumn("before", before).withColumn("visit", F.row_number().over(order.orderBy("at")))
+    return numbered.where(F.col("before") < most).select("site", "url", "visit")
+
+
 def filter_urls(brands: DataFrame, categories: DataFrame) -> DataFrame:
     """A URL for each brand and category: both are small dimensions, and their product is the result."""
     slug = F.replace(F.lower("brand"), F.lit("#"), F.lit("-"))

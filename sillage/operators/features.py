@@ -29,9 +29,11 @@ def behaviour(reviews: DataFrame) -> DataFrame:
 
 
 def price(products: DataFrame, as_of: str) -> DataFrame:
-    by = Window.partitionBy(F.get("category_path", F.lit(0)))
-    z = F.try_divide(F.col("price_value") - F.avg("price_value").over(by), F.nullif(F.stddev_samp("price_value").over(by), F.lit(0.0)))
-    return products.select(
+    """Prices against their category's; moments are aggregated and joined, so a category of many rows is not one task's."""
+    rows = products.withColumn("category", F.get("category_path", F.lit(0)))
+    moments = rows.groupBy(F.col("category").alias("of")).agg(F.avg("price_value").alias("m"), F.stddev_samp("price_value").alias("s"))
+    z = F.try_divide(F.col("price_value") - F.col("m"), F.nullif("s", F.lit(0.0)))
+    return rows.join(moments, F.expr("category <=> of")).select(
         "product_id", "price_value", F.coalesce(z, F.lit(0.0)).alias("price_z"),
         F.coalesce(F.try_divide("price_value", F.nullif("size_ml_or_g", F.lit(0.0))), F.lit(0.0)).alias("price_per_unit"),
         F.datediff(F.lit(as_of).cast("date"), "first_seen_ts").alias("newness_days"), F.lit(1.0).alias("availability_rate"),
@@ -41,8 +43,9 @@ def price(products: DataFrame, as_of: str) -> DataFrame:
 
 def sustainability(products: DataFrame) -> DataFrame:
     flag = F.when(F.col("refillable_flag"), 1.0).otherwise(0.0)
-    return products.select(
-        "product_id", flag.alias("refillable"), F.avg(flag).over(Window.partitionBy("brand")).alias("brand_refill_share"),
+    shares = products.groupBy(F.col("brand").alias("of")).agg(F.avg(flag).alias("share"))
+    return products.join(shares, F.expr("brand <=> of")).select(
+        "product_id", flag.alias("refillable"), F.col("share").alias("brand_refill_share"),
         F.coalesce(F.size("refill_evidence"), F.lit(0)).alias("eco_badge_count"),
     )
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sillage import schema
 from sillage.functions import robots, scalars
 from sillage.functions.numeric import rnd as srnd
-from sillage.operators import cluster, crawl, eda, features, gates, pacing, pricing
+from sillage.operators import cluster, crawl, eda, features, gates, pacing, pricing, scrape
 from sillage.plans.oracle_views import CLASSIFIED, LOG, MANIFEST, PAGES, PRODUCTS, REVIEWS, TEXTS, TIERS, rnd, with_
 from sillage.sources import views as v
 from sillage.sources.views import AS_OF
@@ -650,6 +651,14 @@ def kmeans_sweep(spark, sf):
     return cluster.sweep(m.select("product_id", features.as_vector(m, names).alias("features"), F.array(*names).alias("x")), restarts=10)
 
 
+@query()
+def mini_batch_clusters(spark, sf):
+    m = _matrix(spark, sf)
+    rows = m.select("product_id", F.array(*features.numeric(m)).alias("x"))
+    found = cluster.mini_batch(rows, 6)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), srnd(F.sum(F.col("distance") * F.col("distance")), 4).alias("inertia"))
+
+
 @query()
 def ablation(spark, sf):
     return cluster.ablation(_matrix(spark, sf), ("refillable", "brand_refill_share", "eco_badge_count"), ks=(2, 3, 4), restarts=1)
@@ -758,3 +767,106 @@ _SYN = (("metal", "round", "ring"), ("metal", "round", "gear"), ("metal", "long"
 def category_synonyms(spark, sf):
     syn = spark.createDataFrame(_SYN, "grp string, category string, synonym string")
     return v.products(spark, sf).join(syn, F.contains("name", "synonym")).select("product_id", "grp", "category")  # against a fixed dimension of a few rows
+
+
+@query(with_(PRODUCTS) + """, r AS (SELECT product_id, CASE WHEN product_id % 13 = 0 THEN 1 END AS b1, CASE WHEN scrape_ts IS NULL THEN 1 END AS b2, CASE WHEN product_id % 37 = 0 THEN 1 END AS b3,
+    CASE WHEN source_url IS NULL THEN 1 END AS b4, CASE WHEN product_id % 29 = 0 AND rating_avg + 3 > 5 THEN 1 END AS b5, CASE WHEN product_id % 43 = 0 THEN 1 END AS b6,
+    CASE WHEN product_id % 37 <> 0 AND product_id % 31 = 0 THEN 1 END AS b7, CASE WHEN product_id % 41 = 0 THEN 1 END AS b8, CASE WHEN product_id % 47 = 0 THEN 1 END AS b9 FROM products)
+    SELECT product_id, concat_ws('; ', CASE b3 WHEN 1 THEN 'url: required' END, CASE b1 WHEN 1 THEN 'brand: required' END, CASE b4 WHEN 1 THEN 'source_url: required' END,
+    CASE b2 WHEN 1 THEN 'scrape_ts: required' END, CASE b5 WHEN 1 THEN 'rating_avg: out of range' END, CASE b6 WHEN 1 THEN 'rating_count: out of range' END, CASE b7 WHEN 1 THEN 'url: no address' END,
+    CASE b8 WHEN 1 THEN 'site: not allowed' END, CASE b9 WHEN 1 THEN 'refill_evidence: not allowed' END) AS errors FROM r""")
+def typed_products(spark, sf):
+    k = F.col("product_id")
+    url = F.when(k % 37 != 0, F.concat(F.when(k % 31 == 0, "ftp://").otherwise("https://"), F.lit("shop.example/p/"), k.cast("string")))
+    rows = v.products(spark, sf).withColumns({
+        "url": url, "brand": F.when(k % 13 != 0, F.col("brand")), "rating_avg": F.col("rating_avg") + F.when(k % 29 == 0, 3.0).otherwise(0.0),
+        "rating_count": F.when(k % 43 == 0, -1).otherwise(F.col("rating_count")), "site": F.when(k % 41 == 0, "elsewhere").otherwise(F.col("site")),
+        "refill_evidence": F.when(k % 47 == 0, F.array_append("refill_evidence", F.lit("rumour"))).otherwise(F.col("refill_evidence")),
+        "last_seen_ts": F.col("first_seen_ts"), "source_site": F.col("site"),
+    })
+    told = schema.validate(rows, "product", {"site": v.SITES, "refill_evidence": schema.EVIDENCE})
+    return told.select(F.col("product_id").cast("bigint").alias("product_id"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query(with_(REVIEWS) + """SELECT review_id, concat_ws('; ', CASE WHEN product_id % 11 = 0 THEN 'body: required' END, CASE WHEN scrape_ts IS NULL THEN 'scrape_ts: required' END,
+    CASE WHEN product_id % 17 = 0 OR (product_id % 19 = 0 AND rating = 1) THEN 'rating: out of range' END, CASE WHEN helpful_count = 9 THEN 'helpful_count: out of range' END,
+    CASE WHEN product_id % 23 = 0 THEN 'language: not allowed' END) AS errors FROM reviews""")
+def typed_reviews(spark, sf):
+    k = F.col("product_id")
+    rating = F.when(k % 17 == 0, 6).when(k % 19 == 0, F.col("rating") - 1).otherwise(F.col("rating"))
+    rows = v.reviews(spark, sf).withColumns({
+        "url": F.col("source_url"), "body": F.when(k % 11 != 0, "some text"), "rating": rating, "language": F.when(k % 23 == 0, "de").otherwise(F.col("language")),
+        "helpful_count": F.when(F.col("helpful_count") == 9, -9).otherwise(F.col("helpful_count")),
+    })
+    told = schema.validate(rows, "review", {"language": schema.LANGUAGES})
+    return told.select("review_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_suppkey % 50 AS listing, 1 + l_orderkey % 15 AS page_no, 'https://shop.example/product/' || (l_partkey % 150) AS link FROM lineitem),
+    f AS (SELECT listing, link, min(page_no) AS page_no FROM l WHERE page_no <= 14 GROUP BY 1, 2)
+    SELECT listing, link, page_no FROM f WHERE NOT EXISTS (SELECT 1 FROM range(1, 15) p(n) WHERE p.n < f.page_no AND NOT EXISTS (SELECT 1 FROM f g WHERE g.listing = f.listing AND g.page_no = p.n))""")
+def discovered_products(spark, sf):
+    rows = v.scan(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("listing"), (1 + F.col("l_orderkey") % 15).alias("page_no"),
+        F.concat(F.lit("https://shop.example/product/"), (F.col("l_partkey") % 150).cast("string")).alias("link"),
+    )
+    return crawl.discovered(rows, 14)
+
+
+@query("""WITH RECURSIVE u AS (SELECT page_id % 40 AS site, page_id, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) - 1 AS start_no FROM pages),
+    s AS (SELECT * FROM u WHERE start_no < 4), ok AS (SELECT page_id FROM pages WHERE page_id % 7 <> 3),
+    seq AS (SELECT s.site, s.start_no, -1 AS k, s.page_id AS p FROM s JOIN ok USING (page_id) UNION ALL
+        SELECT s.site, s.start_no, k, (s.page_id * 3 + k * 5) % 200 FROM s JOIN ok USING (page_id), range(5) t(k) WHERE (s.page_id * 3 + k * 5) % 200 IN (SELECT page_id FROM ok)),
+    run(site, i, seen, open) AS (SELECT DISTINCT site, -1, CAST([] AS BIGINT[]), true FROM seq UNION ALL
+        SELECT run.site, i + 1, list_distinct(seen || (SELECT coalesce(list(p), []) FROM seq WHERE seq.site = run.site AND start_no = i + 1)), true FROM run WHERE i < 3 AND len(seen) < 10),
+    done AS (SELECT site, unnest(arg_max(seen, i)) AS p FROM run GROUP BY site),
+    first AS (SELECT site, p, min((start_no + 1) * 10 + k) AS place FROM seq JOIN done USING (site, p) GROUP BY 1, 2)
+    SELECT site, 'p' || p AS url, CAST(row_number() OVER (PARTITION BY site ORDER BY place) AS INT) AS visit FROM first""")
+def crawl_visits(spark, sf):
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    pages = v.scan(spark, sf, "pages").select("page_id")
+    sites = pages.groupBy((F.col("page_id") % 40).alias("site")).agg(F.slice(F.array_sort(F.collect_set("page_id")), 1, 4).alias("s"))
+    starts = sites.select("site", F.posexplode("s").alias("start_no", "p")).select("site", "start_no", name(F.col("p")).alias("url"))
+    links = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("link_no"))
+    links = links.select(name(F.col("page_id")).alias("url"), "link_no", name((F.col("page_id") * 3 + F.col("link_no") * 5) % 200).alias("link"))
+    return crawl.crawl_plan(starts, links, pages.where("page_id % 7 <> 3").select(name(F.col("page_id")).alias("url")))
+
+
+@query(with_(PRODUCTS) + f"""SELECT product_id AS page_id, CASE WHEN product_id % 5 = 0 THEN 'sku' || product_id ELSE 'P' || product_id END AS product_id, 'site_a' AS site, brand, name, {rnd('price_value', 2)} AS price_value,
+    CASE WHEN product_id % 3 = 0 THEN 'USD' ELSE 'EUR' END AS price_currency, size_ml_or_g, {rnd('rating_avg', 1)} AS rating_avg, rating_count, list_contains(refill_evidence, 'badge') AS refillable_flag,
+    CASE WHEN list_contains(refill_evidence, 'badge') THEN 'badge' ELSE '' END AS refill_evidence, 'shop.example' AS source_site, 'https://shop.example/i/' || product_id || '.jpg' AS image_url
+    FROM products WHERE product_id % 9 <> 0 AND product_id % 10 <> 7""")
+def scraped_products(spark, sf):
+    k, text = F.col("product_id"), lambda c: F.col(c).cast("string")
+    field = lambda c, x: F.concat(F.lit(f'<span class="{c}">'), x, F.lit("</span>"))
+    url = F.concat(F.when(k % 5 == 0, "https://shop.example/x/").otherwise("https://shop.example/product/P"), text("product_id"))
+    badge = F.when(F.array_contains("refill_evidence", "badge"), F.lit('<i class="badge">Rechargeable</i>')).otherwise(F.lit(""))
+    page = F.concat(
+        F.lit("<html><body><h1>"), "name", F.lit("</h1>"), F.when(k % 9 != 0, field("product-brand", F.col("brand"))).otherwise(F.lit("")),
+        F.when(k % 10 != 7, field("price", F.format_string("%.2f €", "price_value"))).otherwise(F.lit("")), F.when(k % 3 == 0, field("currency", F.lit("USD"))).otherwise(F.lit("")),
+        field("product-id", F.concat(F.lit("sku"), text("product_id"))), field("size", F.concat(F.col("size_ml_or_g").cast("int").cast("string"), F.lit(" ml"))),
+        field("rating-avg", F.format_string("%.1f/5", "rating_avg")), field("rating-count", F.concat(text("rating_count"), F.lit(" avis"))),
+        badge, F.lit('<div class="product-image"><img src="/i/'), text("product_id"), F.lit('.jpg"></div></body></html>'),
+    )
+    pages = v.products(spark, sf).select(k.alias("page_id"), url.alias("url"), page.alias("html"))
+    found = scrape.scrape_products(pages, "site_a", F.lit(AS_OF).cast("timestamp"), ("parfum",))
+    return found.select("page_id", "product_id", "site", "brand", "name", srnd(F.col("price_value"), 2).alias("price_value"), "price_currency", "size_ml_or_g",
+                        srnd(F.col("rating_avg"), 1).alias("rating_avg"), "rating_count", "refillable_flag", F.array_join("refill_evidence", ",").alias("refill_evidence"), "source_site", "image_url")
+
+
+@query(with_(REVIEWS) + """, k AS (SELECT *, concat_ws('-', review_id, product_id, rating, helpful_count, verified_purchase, review_date) AS id FROM reviews WHERE rating <> 2) SELECT DISTINCT id AS review_id,
+    CAST(product_id AS VARCHAR) AS product_id, 'https://shop.example/o/' || split_part(review_id, '-', 1) || '#review-' || id AS url, rating, CAST(helpful_count AS INT) AS helpful_count, verified_purchase,
+    CAST(review_date AS VARCHAR) AS review_date FROM k""")
+def scraped_reviews(spark, sf):
+    text = lambda c: F.col(c).cast("string")
+    field = lambda c, x: F.concat(F.lit(f'<b class="review-{c}">'), x, F.lit("</b>"))
+    key = F.concat_ws("-", "review_id", *map(text, ("product_id", "rating", "helpful_count", "verified_purchase", "review_date")))
+    one = F.concat(
+        F.lit('<div class="review">'), field("id", key), field("rating", F.concat(F.when(F.col("rating") == 2, "9").otherwise(text("rating")), F.lit(" stars"))),
+        F.lit("<p>Une ligne de texte pour ce produit</p>"), field("date", F.date_format("review_date", "dd/MM/yyyy")),
+        field("verified", F.when(F.col("verified_purchase"), "Achat vérifié").otherwise("Achat non vérifié")), field("helpful", F.concat(F.lit("Utile: "), text("helpful_count"))), F.lit("</div>"),
+    )
+    rows = v.reviews(spark, sf).select("product_id", F.split_part("review_id", F.lit("-"), F.lit(1)).alias("o"), one.alias("one"))
+    pages = rows.select("product_id", F.concat(F.lit("https://shop.example/o/"), "o").alias("url"), F.concat(F.lit("<body>"), "one", F.lit("</body>")).alias("html"))
+    found = scrape.scrape_reviews(pages, "site_a", F.lit(AS_OF).cast("timestamp"))
+    return found.select("review_id", "product_id", "url", "rating", "helpful_count", "verified_purchase", text("review_date").alias("review_date"))

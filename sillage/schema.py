@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,35 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*out)
 
 
+#: Fields that an entity must have, ranges (None: open), fields of http(s) addresses.
+REQUIRED = {
+    "product": "product_id site url brand name category_path price_value price_currency first_seen_ts last_seen_ts source_site source_url scrape_ts".split(),
+    "review": "review_id product_id site url rating body language review_date scrape_ts".split(),
+}
+RANGES = {"product": {"rating_avg": (0, 5), "rating_count": (0, None)}, "review": {"rating": (1, 5), "helpful_count": (0, None)}}
+ADDRESSES = {"product": ("url", "canonical_url", "image_url", "source_url"), "review": ("url",)}
+
+
+def violations(entity: str, allowed: dict[str, tuple[str, ...]]) -> Column:
+    """What is wrong with a row of a conformed table, as an array of "field: reason": required fields that are null,
+    values out of range, addresses without http(s) and host, values (of arrays: any) that are not among the allowed.
+    A null breaks no rule but the first. Empty texts are values."""
+    told = [F.when(F.col(c).isNull(), F.lit(f"{c}: required")) for c in REQUIRED[entity]]
+    for c, (low, high) in RANGES[entity].items():
+        out = F.col(c) < low if high is None else ~F.col(c).between(low, high)
+        told.append(F.when(out | F.isnan(F.col(c).cast("double")), F.lit(f"{c}: out of range")))
+    told += [F.when(~F.col(c).rlike(r"^(?i:https?)://[^/?#\s]+([/?#]\S*)?$"), F.lit(f"{c}: no address")) for c in ADDRESSES[entity]]
+    for c, values in allowed.items():
+        one = F.exists(c, lambda x: ~x.isin(*values)) if c.endswith("evidence") else ~F.col(c).isin(*values)
+        told.append(F.when(one, F.lit(f"{c}: not allowed")))
+    return F.array_compact(F.array(*told))
+
+
+def validate(df: DataFrame, entity: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df conformed to an entity, with its violations as `errors`; values that don't fit their type count as missing."""
+    return conform(df, {"product": PRODUCT, "review": REVIEW}[entity]).withColumn("errors", violations(entity, allowed))
+
+
 def _split(ddl: str) -> list[str]:
     parts, depth, now = [], 0, ""
     for c in ddl:

@@ -89,3 +89,16 @@ def expired(spark: SparkSession, path: str, as_of: str, days: int) -> DataFrame:
     """Files below a folder that are older than some days: what retention would delete."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
     return files.where(F.col("modificationTime") < F.date_sub(F.lit(as_of).cast("date"), days))
+
+
+def remove_expired(spark: SparkSession, path: str, as_of: str, days: int) -> int:
+    """Removes the files that expired() lists, in whatever store they lie; gives their number. Names alone come to
+    the driver, a partition at a time; files gone by then count as removed."""
+    old = expired(spark, path, as_of, days).select("path").cache()
+    n = 0
+    for row in old.toLocalIterator():  # names only, a partition at a time
+        p = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+        n += 1
+    old.unpersist()
+    return n
