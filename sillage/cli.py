@@ -20,6 +20,7 @@ from sillage import schema
 from sillage.plans.registry import QUERIES
 from sillage.sources import io
 
+GATES = ("provenance_gate", "evidence_gate", "rating_bounds", "price_sanity", "luxury_coverage", "review_quality", "collection_targets")
 EXPORTED = ("luxury_counts_by_brand", "refill_share_by_brand", "price_tiles", "review_health", "text_sufficiency", "luxury_comparison", "refill_evidence")
 
 
@@ -35,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("name")
     run.add_argument("sf_dir")
     run.add_argument("--out")
-    for name, args in {"normalize": ("bronze", "silver"), "validate": ("sf_dir",), "price-backstop": ("sf_dir", "out"), "export": ("sf_dir", "out"), "status": ("dir",)}.items():
+    for name, args in {"normalize": ("bronze", "silver"), "validate": ("sf_dir",), "price-backstop": ("sf_dir", "out"), "export": ("sf_dir", "out"), "features": ("sf_dir", "out"), "cluster": ("sf_dir", "out"), "gates": ("sf_dir", "out"), "crawl": ("sf_dir", "out"), "status": ("dir",)}.items():
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
@@ -61,6 +62,17 @@ def main(argv: list[str] | None = None) -> int:
     elif said.command == "export":
         for name in EXPORTED:
             io.write_csv(QUERIES[name](spark, said.sf_dir), f"{said.out}/{name}")
+    elif said.command == "gates":
+        for name in GATES:
+            io.write_csv(QUERIES[name](spark, said.sf_dir), f"{said.out}/{name}")
+    elif said.command == "features":
+        io.write_parquet(QUERIES["feature_matrix_full"](spark, said.sf_dir), f"{said.out}/feature_matrix")
+    elif said.command == "cluster":
+        for name in ("kmeans_sweep", "mini_batch_clusters", "cluster_profiles"):
+            io.write_csv(QUERIES[name](spark, said.sf_dir), f"{said.out}/{name}")
+    elif said.command == "crawl":
+        for name in ("crawl_visits", "discovered_products", "scraped_products", "scraped_reviews"):
+            io.write_parquet(QUERIES[name](spark, said.sf_dir), f"{said.out}/{name}")
     elif said.command == "status":
         print(io.summary("Stored files", io.stored_files(spark, said.dir).first().asDict()))
     return 0

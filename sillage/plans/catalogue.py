@@ -870,3 +870,38 @@ def scraped_reviews(spark, sf):
     pages = rows.select("product_id", F.concat(F.lit("https://shop.example/o/"), "o").alias("url"), F.concat(F.lit("<body>"), "one", F.lit("</body>")).alias("html"))
     found = scrape.scrape_reviews(pages, "site_a", F.lit(AS_OF).cast("timestamp"))
     return found.select("review_id", "product_id", "url", "rating", "helpful_count", "verified_purchase", text("review_date").alias("review_date"))
+
+
+@query("""SELECT 'site_a' AS site, 'https://site_a.example/product/' || n AS url, CASE n % 3 WHEN 0 THEN 'fragrance' WHEN 1 THEN 'skincare' ELSE 'makeup' END AS category,
+    CASE WHEN n < 16 THEN 'Brand#' || (n + 1) ELSE 'Brand_' || (n % 20) END AS brand, n % 3 = 0 AS has_refill_facet, 'refillable' AS discovery_mode FROM range(200) t(n)""")
+def generated_discovery(spark, sf):
+    return crawl.generated_discovery(spark, "site_a", 500, v.TIER_1 + v.TIER_15, "refillable")
+
+
+@query(with_(PRODUCTS) + "SELECT COUNT(*) AS n FROM products WHERE product_id % 53 = 0")
+def fixture_marked(spark, sf):
+    return gates.fixture_contamination(v.products(spark, sf).withColumn("is_fixture", F.when(F.col("product_id") % 3 == 0, F.col("product_id") % 53 == 0).otherwise((F.col("product_id") % 53 == 0) | F.lit(None))))
+
+
+def _product_pages(spark, sf):
+    """The pages with html that holds links to products and ratings, as shops have."""
+    k = F.col("page_id")
+    some = lambda cond, x: F.when(cond, x).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit('<a href="/product/'), k.cast("string"), F.lit('">A</a><A HREF="/about">B</A>'), some(k % 4 == 0, F.concat(F.lit('<a href="/en/p/'), (k % 3).cast("string"), F.lit('">C</a>'))),
+        F.lit('<i class="rating">'), (k % 7).cast("string"), F.lit("</i>"), some(k % 3 == 0, F.lit('<b data-star="x">4</b>')), some(k % 11 == 0, F.repeat(F.lit("<b note>2</b>"), F.lit(12))),
+    )
+    return v.crawl_pages(spark, sf).withColumn("html", html)
+
+
+@query(with_(PAGES) + """, h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host FROM crawl_pages WHERE url IS NOT NULL)
+    SELECT page_id, host || '/product/' || page_id AS link FROM h UNION ALL SELECT page_id, host || '/en/p/' || (page_id % 3) FROM h WHERE page_id % 4 = 0""")
+def product_page_links(spark, sf):
+    return crawl.page_links(_product_pages(spark, sf))
+
+
+@query("""WITH k AS (SELECT page_id, (CASE WHEN page_id % 7 BETWEEN 1 AND 5 THEN [page_id % 7] ELSE [] END || CASE WHEN page_id % 3 = 0 THEN [4] ELSE [] END
+    || CASE WHEN page_id % 11 = 0 THEN [2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2] ELSE [] END)[1:10] AS k FROM pages)
+    SELECT page_id, CAST(generate_subscripts(k, 1) - 1 AS INT) AS pos, CAST(unnest(k) AS INT) AS rating FROM k""")
+def product_page_ratings(spark, sf):
+    return crawl.page_ratings(_product_pages(spark, sf))
