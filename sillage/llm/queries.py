@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sillage.llm import chat, html, langid, lines, media, mixing, packing, shingles, sql, urls, vectors
+from sillage.llm import bpe, chat, html, langid, lines, media, mixing, packing, phrases, repair, shingles, sql, urls, vectors
 from sillage.llm.common import spread, table
 
 
@@ -53,9 +53,23 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark, sf_dir):
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_encoding(spark, sf_dir):
+    return bpe.digests(spread(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    """All conversations after the damage, those of which it leaves nothing too."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_digests(repair.damage(rows), rows)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_filters, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_best_fit_packing, op8_embedding_near_dedup, op9_media_columns, op10_source_mixing, op11_phrase_mining, op12_bpe_encoding, op13_conversation_repair, pipeline)}
 ORACLES = sql.ORACLES

@@ -29,4 +29,24 @@ SELECT conv_id, COUNT(*) AS n_turns,
   CAST({len(BEGIN)} + SUM({_FRAME} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op6_chat_formatting": CHAT}
+#: Phrases of 1 to 4 words from all places of all pieces; cuts, the lowest score, what longer phrases replace.
+PHRASES = """WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces),
+grams AS (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, COUNT(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, SUM(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+scores AS (SELECT cuts.lang, cuts.m, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p JOIN f y ON y.lang = cuts.lang AND y.phrase = q),
+low AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, a, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, m - s + 2)]) AS phrase FROM c, (SELECT unnest([2, 3]) AS s) WHERE s < m),
+held AS (SELECT lang, phrase, MAX(a) AS longest FROM parts GROUP BY ALL),
+kept AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, encode(low.phrase)) AS rank
+  FROM low LEFT JOIN held ON held.lang = low.lang AND held.phrase = low.phrase WHERE longest IS NULL OR 100 * longest < 80 * a)
+SELECT kept.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op6_chat_formatting": CHAT, "op11_phrase_mining": PHRASES}
