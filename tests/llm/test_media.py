@@ -58,3 +58,66 @@ def test_text_media(spark):
     assert one[1:] == got[4][1:] and got[2][1:] == got[3][1:] and got[2]["payload_bytes"] == 64
     assert got[None]["n_carved"] == 0 and got[5]["payload_bytes"] == 1_000_000 // 64 * 64 + 64 * bool(1_000_000 % 64)
     assert media.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def wav(channels, bits, samples=b"\0" * 48, junk=True, kind=1):
+    align = channels * bits // 8
+    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, kind, channels, 44100, 44100 * align, align, bits)
+    body = (b"JUNK" + struct.pack("<I", 3) + b"abc\0" if junk else b"") + fmt + b"data" + struct.pack("<I", len(samples)) + samples + b"LIST" + struct.pack("<I", 2) + b"xy"
+    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+
+
+@pytest.mark.parametrize("channels, bits, kind", [(1, 8, 1), (2, 16, 1), (1, 24, 1), (2, 32, 3), (6, 16, 0xFFFE)])
+def test_wav_layouts(channels, bits, kind):
+    data = wav(channels, bits, kind=kind)
+    assert media.sniff(b"x" + data + b"RIFF") == [(1, len(data), "audio/wav")]
+    assert media.sniff(data[:-1]) == [] and media.sniff(wav(channels, bits, b"\0" * 49, kind=kind)[:20]) == []
+    align = channels * bits // 8
+    assert media.sniff(data.replace(struct.pack("<IHH", 44100 * align, align, bits), struct.pack("<IHH", 1, align, bits))) == []
+
+
+def test_pdf_with_updates():
+    one = PDF + b"\n2 0 obj\nstartxref\n40\n%%EOF"
+    assert media.sniff(one + b" text " + PDF) == [(0, len(one), "application/pdf"), (len(one) + 6, len(PDF), "application/pdf")]
+    assert media.sniff(b"%PDF-1.4 %%EOF") == [] == media.sniff(b"%PDF-x startxref %%EOF")
+
+
+def test_zip_with_marks_inside():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", b"PK\x05\x06" + b"\0" * 40)
+        z.writestr("b", b"PK\x03\x04")
+    assert (3, len(out.getvalue()), "application/zip") in media.sniff(b"abc" + out.getvalue() + b"d")
+
+
+HOSTILE = {
+    "pdf": b"%PDF-1 ", "zip": b"PK\x03\x04", "riff": b"RIFF", "wave": b"RIFF\xff\xff\x1f\x00WAVEJUNK\0\0\0\0", "jpeg": b"\xff\xd8\xff\xe0\x00\x08abcd",
+    "jpeg segments": b"\xff\xd8\xff\xd8\x00\x02", "gif": b"GIF89a\x01\0\x01\0\0\0\0!\xf9\x09GIF89a\x01\0\x01", "bmp": b"BM", "eof": b"%PDF-1%%EOF", "ends": b"PK\x05\x06",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_in_proportion_to_the_length(name):
+    """Ten times the bytes take some ten times the time, not a hundred."""
+    import time
+
+    took = []
+    for n in (200_000, 2_000_000):
+        data = (HOSTILE[name] * (n // len(HOSTILE[name]))) + b" startxref %%EOF"
+        best = 9.0
+        for _ in range(2):
+            began = time.perf_counter()
+            media.sniff(data)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
+def test_sniff_edges(spark):
+    empty = spark.createDataFrame([], "id int, data binary, carved string")
+    assert media.sniff_media(empty).count() == 0
+    big = b"x" * 3_000_000 + GIF
+    df = spark.createDataFrame([(1, big, "clash"), (1, big, "clash")], "id int, data binary, media_type string")
+    got = media.sniff_media(df).collect()
+    assert [[(c["offset"], c["length"]) for c in r["carved"]] for r in got] == [[(3_000_000, len(GIF))]] * 2
+    assert [r["media_type"] for r in got] == ["application/octet-stream"] * 2
