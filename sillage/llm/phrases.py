@@ -15,9 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from sillage.llm.common import cut, scratch
 #: phrase's occurrences, in percent, that a longer one needs to replace it.
 DEPTH, LEAST, TOP, SUBSUMED = 4, 30, 2000, 80
 #: Words of a shard; bits of the table that is sent to all tasks (8 MB); parts that a language's ranking is dealt to.
-SHARD, BITS, PARTS = 1_500_000, 1 << 26, 64
+SHARD, BITS, PARTS = 400_000, 1 << 26, 64
 UNKNOWN = "und"
 #: What ends a piece; what parts words.
 _BREAKS, _BLANKS = "[.,;:!?\n-\r]+", "[ \t]+"
@@ -39,8 +39,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(f"{a}\n{w}") for a, w in zip(langs, words, strict=True)], np.uint64)
+def _word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    both = pc.binary_join_element_wise(langs, words, "\n").to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(both, categorize=False)
 
 
 def _place(parts: np.ndarray, size: int) -> np.ndarray:
@@ -71,15 +72,15 @@ class Shard:
         word, of = word[~empty], of[~empty]
         lang = pc.dictionary_encode(langs)
         key = lang.indices.to_numpy().astype(np.int64)[of] * len(names) + word
-        keys, number = np.unique(key, return_inverse=True)
+        number, keys = pd.factorize(key)
         self.words = names.take(pa.array(keys % max(1, len(names))))
         self.langs = lang.dictionary.take(pa.array(keys // max(1, len(names))))
         number[word == breaks[1]] = -1
         last = np.flatnonzero(np.diff(of)) + 1  # a text ends a run too
-        self.numbers = np.insert(number, last, -1)
+        self.numbers = np.insert(number.astype(np.int32), last, -1)
 
     def hashes(self) -> np.ndarray:
-        return _word_hashes(self.langs.to_pylist(), self.words.to_pylist())
+        return _word_hashes(self.langs, self.words)
 
 
 def automaton(numbers: np.ndarray, depth: int, joined: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -92,11 +93,13 @@ def automaton(numbers: np.ndarray, depth: int, joined: np.ndarray | None = None)
     at = np.flatnonzero(live)
     since = np.arange(len(numbers)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(numbers))))
     size = np.minimum(since[at] + 1, depth)  # words of the run up to here
-    back = np.full((len(at), depth), -1, np.int64)
+    back = np.full((len(at), depth + depth % 2), -1, np.int32)
     for d in range(depth):
         here = size > d
         back[here, d] = numbers[at[here] - d]
-    order = np.lexsort(back.T[::-1])
+    keys = [(back[:, d].astype(np.int64) << 32) + back[:, d + 1] for d in range(0, back.shape[1], 2)]  # two words each
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    del keys
     back, size = back[order], size[order]
     for d in range(1, depth + 1):
         nodes = back[size >= d, :d]
@@ -139,7 +142,7 @@ def _counts(texts: DataFrame, least: int, most: int, frequent=None) -> DataFrame
                 bits, h = frequent.value, s.hashes()
                 if least == 2:
                     rare = ~_has(bits, h[:, None])
-                    numbers = np.where((numbers >= 0) & ~rare[numbers], numbers, -1)
+                    numbers = np.where((numbers >= 0) & ~rare[numbers], numbers, np.int32(-1))
                 else:
                     joined = np.r_[False, (numbers[1:] >= 0) & (numbers[:-1] >= 0)]
                     at = np.flatnonzero(joined)
@@ -163,10 +166,11 @@ def _bits(phrases: DataFrame, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, split = b.column(0).to_pylist(), [p.split(" ") for p in b.column(1).to_pylist()]
             places = np.empty(0, np.uint64)
-            if split:
-                places = np.unique(_place(np.stack([_word_hashes(langs, [w[j] for w in split]) for j in range(len(split[0]))], 1), size))
+            if b.num_rows:
+                split = pc.split_pattern(b.column(1), " ")
+                parts = [_word_hashes(b.column(0), pc.list_element(split, j)) for j in range(len(split[0]))]
+                places = np.unique(_place(np.stack(parts, 1), size))
             word = (places >> np.uint64(6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
