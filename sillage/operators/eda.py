@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.numeric import rnd, share
+from sillage.operators.ranks import name, percentiles
 
 
 def _category() -> Column:
     return F.get("category_path", F.lit(0))
 
 
-
 def luxury_counts(products: DataFrame) -> DataFrame:
     return products.where("is_luxury").groupBy("site", "brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "site", "brand")
 
@@ -23,9 +23,11 @@ def refill_share(products: DataFrame) -> DataFrame:
 
 
 def price_tiles(products: DataFrame) -> DataFrame:
-    tiles = [rnd(F.percentile("price_value", F.lit(p / 100)), 2).alias(f"p{p}") for p in (25, 50, 75, 90)]
-    by = products.where("price_value > 0").groupBy("site", _category().alias("cat"))
-    return by.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), *tiles).orderBy("site", F.desc("p75"))
+    tiles = (25, 50, 75, 90)
+    priced = products.where("price_value > 0").withColumn("cat", _category())
+    more = [F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price")]
+    found = percentiles(priced, ["site", "cat"], "price_value", tiles, *more)
+    return found.select("site", "cat", "n", "mean_price", *[rnd(F.col(name(p)), 2).alias(name(p)) for p in tiles]).orderBy("site", F.desc("p75"))
 
 
 def review_health(reviews: DataFrame) -> DataFrame:
@@ -79,11 +81,9 @@ def brand_overview(products: DataFrame) -> DataFrame:
 
 def category_array_stats(products: DataFrame) -> DataFrame:
     """Grouped by the whole category path."""
-    by = products.groupBy("category_path").agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), rnd(F.stddev_samp("price_value"), 3).alias("std_price"),
-        rnd(F.percentile("price_value", F.lit(0.75)), 2).alias("p75"),
-    )
-    return by.select(F.array_join("category_path", ">").alias("category"), "n", "mean_price", "std_price", "p75")
+    more = [F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), rnd(F.stddev_samp("price_value"), 3).alias("std_price")]
+    by = percentiles(products, ["category_path"], "price_value", (75,), *more)
+    return by.select(F.array_join("category_path", ">").alias("category"), "n", "mean_price", "std_price", rnd(F.col("p75"), 2).alias("p75"))
 
 
 def missing_fields(products: DataFrame, names: tuple[str, ...]) -> DataFrame:

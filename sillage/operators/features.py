@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Terms of the text block; documents that a term needs; components of its reduction.
 TERMS, LEAST, COMPONENTS = 100, 2, 20
+#: Letters of a body that order reviews of one id.
+TIE = 256
 #: Words that say nothing of a text.
 STOP_WORDS = tuple(
     "a about above after again all am an and any are as at be because been before being below between both but by can did do does doing"
@@ -74,21 +79,57 @@ def matrix(products: DataFrame, classified: DataFrame, reviews: DataFrame, as_of
 
 
 def product_text(texts: DataFrame) -> DataFrame:
-    """The French texts of a product in review order, cleaned."""
+    """The French texts of a product in review order, cleaned. Reviews are sorted by product and streamed: a task holds
+    one product's text, which is the value that it returns."""
     from sillage.functions.scalars import clean_text
 
-    parts = F.array_sort(F.collect_list(F.struct("review_id", "body")))
-    joined = texts.where("language = 'fr'").groupBy("product_id").agg(F.array_join(F.transform(parts, lambda x: x.body), " ").alias("text"))
-    return joined.select("product_id", clean_text(F.col("text")).alias("text"))
+    id_type = texts.schema["product_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, ids, done, size = None, [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, first), pa.array(done, pa.string())], names=["product_id", "text"])
+
+        for b in batches:
+            first = b.column(0).type
+            for product, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if now is not None and now[0] != product:
+                    ids.append(now[0])
+                    done.append(" ".join(parts))
+                    size, parts = size + len(done[-1]), []
+                    if size > 1 << 20:
+                        yield block()
+                        ids, done, size = [], [], 0
+                now = (product,)
+                if text is not None:
+                    parts.append(text)
+        if now is not None:
+            ids.append(now[0])
+            done.append(" ".join(parts))
+            yield block()
+
+    french = texts.where("language = 'fr'").select("product_id", "review_id", "body")
+    rows = french.repartition("product_id").sortWithinPartitions("product_id", "review_id", "body").select("product_id", "body")
+    return rows.mapInArrow(run, f"product_id {id_type}, text string").select("product_id", clean_text(F.col("text")).alias("text"))
 
 
 def terms(texts: DataFrame) -> DataFrame:
-    """(product_id, text) to (product_id, term, n): words of two letters or more that are no stop words, and pairs."""
-    words = F.filter(F.split("text", r"(?U)[^\w]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
-    split = texts.select("product_id", words.alias("w"))
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.size("w") > i), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    """(product_id, review_id, body, language) to (product_id, term, n): words of two letters or more that are no stop
+    words, and pairs of neighbours, in the French reviews of a product in their order.
+
+    Words and pairs are counted review by review; the pair over the seam of two reviews is the last word of one and the
+    first of the next that has any, so only these two words of a review are put in order."""
+    from sillage.functions.scalars import clean_text
+
+    words = F.filter(F.split(clean_text(F.col("body")), r"(?U)[^\w]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
+    split = texts.where("language = 'fr'").select("product_id", "review_id", "body", words.alias("w")).where(F.size("w") > 0)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     both = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return split.select("product_id", F.explode(both).alias("term")).groupBy("product_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    ends = split.select("product_id", "review_id", F.substring("body", 1, TIE).alias("body"), F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("product_id").orderBy("review_id", "body"))
+    seams = ends.select("product_id", F.concat(before, F.lit(" "), F.col("first")).alias("term")).where("term is not null")
+    return split.select("product_id", F.explode(both).alias("term")).unionByName(seams).groupBy("product_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(texts: DataFrame, most: int = TERMS, least: int = LEAST) -> DataFrame:
@@ -97,7 +138,7 @@ def tfidf(texts: DataFrame, most: int = TERMS, least: int = LEAST) -> DataFrame:
     counts = terms(texts)
     kept = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
     kept = kept.orderBy(F.desc("total"), "term").limit(most)
-    total = texts.agg(F.count(F.lit(1)).alias("docs"))
+    total = texts.where("language = 'fr'").agg(F.count_distinct("product_id").alias("docs"))
     raw = counts.join(F.broadcast(kept), "term").crossJoin(F.broadcast(total))  # `most` rows, and one
     weighted = raw.select("product_id", "term", (F.col("n") * (F.ln((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1)).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("product_id")))
@@ -119,7 +160,7 @@ def text_components(weights: DataFrame, k: int = COMPONENTS) -> DataFrame:
 
 def text_block(texts: DataFrame) -> list[DataFrame]:
     """(product_id, txt_dim_00, ...) from the French texts; none if these have no terms."""
-    weights = tfidf(product_text(texts)).cache()
+    weights = tfidf(texts).cache()
     if weights.isEmpty():
         return []
     components = text_components(weights)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.numeric import rnd, share
+from sillage.operators.ranks import with_next
 
 #: Brands of which a real catalogue has some; the pattern of generated brand names.
 EXPECTED_BRANDS = (
@@ -47,11 +48,10 @@ def expected_brands(products: DataFrame, brands: tuple[str, ...]) -> DataFrame:
 
 
 def price_gaps(products: DataFrame) -> DataFrame:
-    """Distinct rounded gaps between neighbouring distinct prices; one at most tells of generated prices. Distinct
-    prices are few, so their global order is taken after the distinct."""
-    prices = products.select("price_value").distinct()
-    gap = F.lead("price_value").over(Window.orderBy("price_value")) - F.col("price_value")
-    out = prices.select(rnd(gap, 2).alias("gap")).agg(F.count_distinct("gap").alias("gaps"))
+    """Distinct rounded gaps between neighbouring distinct prices; one at most tells of generated prices. The order of the
+    prices is dealt to ranges; with_next() stitches them."""
+    prices = with_next(products.select("price_value").distinct(), "price_value", "next")
+    out = prices.select(rnd(F.col("next") - F.col("price_value"), 2).alias("gap")).agg(F.count_distinct("gap").alias("gaps"))
     return out.withColumn("uniform", F.col("gaps") <= 1)
 
 

@@ -6,29 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.numeric import rnd
+from sillage.operators.ranks import name, percentiles
 
 #: The threshold where a category has no statistics; products that a category needs for statistics; rows of a report.
 FALLBACK, LEAST, REPORTED = 100.0, 5, 20
 
+
 def _category() -> Column:
     return F.get("category_path", F.lit(0))
 
 
+def _priced(products: DataFrame) -> DataFrame:
+    return products.where("price_value > 0").withColumn("category", _category())
+
 
 def category_stats(products: DataFrame, as_of: str) -> DataFrame:
-    tiles = [rnd(F.percentile("price_value", F.lit(p / 100)), 2).alias(f"p{p}") for p in (25, 50, 75, 90, 95)]
-    by = products.where("price_value > 0").groupBy("site", _category().alias("category"))
-    stats = by.agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), *tiles,
-        F.min("price_value").alias("min_price"), F.max("price_value").alias("max_price"),
-        rnd(F.stddev_samp("price_value"), 3).alias("std_price"),
+    more = [
+        F.count(F.lit(1)).alias("n"), rnd(F.avg("price_value"), 2).alias("mean_price"), F.min("price_value").alias("min_price"),
+        F.max("price_value").alias("max_price"), rnd(F.stddev_samp("price_value"), 3).alias("std_price"),
+    ]
+    tiles = (25, 50, 75, 90, 95)
+    stats = percentiles(_priced(products), ["site", "category"], "price_value", tiles, *more)
+    stats = stats.where(F.col("n") >= LEAST).select(
+        "site", "category", "n", "mean_price", *[rnd(F.col(name(p)), 2).alias(name(p)) for p in tiles], "min_price", "max_price", "std_price",
+        F.lit("EUR").alias("currency"), F.lit(as_of).alias("computed_ts"),
     )
-    return stats.where(F.col("n") >= LEAST).withColumns({"currency": F.lit("EUR"), "computed_ts": F.lit(as_of)}).orderBy("site", F.desc("p75"))
+    return stats.orderBy("site", F.desc("p75"))
 
 
 def thresholds(products: DataFrame) -> DataFrame:
-    by = products.where("price_value > 0").groupBy("site", _category().alias("category"))
-    return by.agg(F.count(F.lit(1)).alias("n"), F.percentile("price_value", F.lit(0.75)).alias("p75")).where(F.col("n") >= LEAST).drop("n")
+    found = percentiles(_priced(products), ["site", "category"], "price_value", (75,), F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") >= LEAST).drop("n")
 
 
 def classify(products: DataFrame, tiers: DataFrame) -> DataFrame:
