@@ -105,32 +105,3 @@ def domain_counters(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_requests"), F.count_if(F.col("status").isin(403, 429, 503)).alias("blocked_requests"),
         F.count_if(F.col("status") == 429).alias("rate_limit_violations"),
     )
-
-
-def generated_discovery(spark, site: str, pages: int, brands: tuple[str, ...] = (), facet: str | None = None) -> DataFrame:
-    """An index of products by rule alone, 200 pages at most: the given brands first, then twenty made up in turn; a
-    refill facet on each third page where that is asked for, else on each fifth."""
-    i = F.col("id")
-    every = 3 if facet == "refillable" else 5
-    own = F.get(F.array(*map(F.lit, brands)), i.cast("int")) if brands else F.lit(None).cast("string")
-    return spark.range(min(pages, 200)).select(
-        F.lit(site).alias("site"), F.concat(F.lit(f"https://{site}.example/product/"), i.cast("string")).alias("url"),
-        F.get(F.array(*map(F.lit, ("fragrance", "skincare", "makeup"))), (i % 3).cast("int")).alias("category"),
-        F.coalesce(own, F.concat(F.lit("Brand_"), (i % 20).cast("string"))).alias("brand"), (i % every == 0).alias("has_refill_facet"),
-        F.lit(facet or "general").alias("discovery_mode"),
-    )
-
-
-def generated_catalog(spark, n: int) -> DataFrame:
-    """Products by rule alone: ids, brands in turn, prices from 50 up."""
-    k = F.col("id")
-    return spark.range(n).select(
-        k.alias("product_id"), F.concat(F.lit("Brand_"), (k % 40).cast("string")).alias("brand"), (F.lit(50.0) + 15 * (k % 400)).alias("price_value"),
-        (k % 10 < 3).alias("refillable_flag"), F.get(F.array(*map(F.lit, ("fragrance", "skincare", "makeup"))), (k % 3).cast("int")).alias("category"),
-    )
-
-
-def generated_reviews(spark, n: int) -> DataFrame:
-    """k % 5 reviews of product k."""
-    some = spark.range(n).where("id % 5 > 0").select(F.col("id").alias("product_id"), F.explode(F.expr("sequence(1, id % 5)")).alias("k"))
-    return some.select("product_id", "k", (1 + (F.col("product_id") + F.col("k")) % 5).alias("rating"))

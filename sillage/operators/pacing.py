@@ -1,4 +1,4 @@
-"""Request pacing as ordered folds over each domain's log."""
+"""Request pacing as ordered folds over each domain's log."""
 
 from __future__ import annotations
 
@@ -42,13 +42,3 @@ def send_times(log: DataFrame, gap_us: int = 2_000_000) -> DataFrame:
     arrived = log.select("domain_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("arrival"), "ts").withColumn("i", i)
     sent = F.max(F.col("arrival") - F.col("i")).over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")
     return arrived.select("domain_id", "event_id", "arrival", sent.alias("send"), (sent - F.col("arrival")).alias("wait"))
-
-
-def backoff(attempts: int = 5) -> list[tuple[int, float, float]]:
-    """(attempt, seconds after a server error, seconds after too many requests)."""
-    return [(n, float(2**n), float(60 * 2**n)) for n in range(attempts)]
-
-
-def fresh(snapshots: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
-    """Cached rules that are not older than their time to live."""
-    return snapshots.where(F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("fetched_at") <= ttl_s)

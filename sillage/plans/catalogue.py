@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sillage import schema
 from sillage.functions import robots, scalars
 from sillage.functions.numeric import rnd as srnd
-from sillage.operators import cluster, crawl, eda, features, gates, pacing, pricing, scrape
+from sillage.operators import cluster, crawl, eda, features, gates, keywords, pacing, pricing, scrape
 from sillage.plans.oracle_views import CLASSIFIED, LOG, MANIFEST, PAGES, PRODUCTS, REVIEWS, TEXTS, TIERS, rnd, with_
 from sillage.sources import views as v
 from sillage.sources.views import AS_OF
@@ -466,40 +466,78 @@ def page_ratings(spark, sf):
     return crawl.page_ratings(v.crawl_pages(spark, sf))
 
 
-_RULES = [("d0", "User-agent: *\nDisallow: /en/1\nDisallow: /*/9\nCrawl-delay: 2"), ("d1", "User-agent: other\nDisallow: /\nUser-agent: *\nAllow: /en/\nAllow: /fr/\nDisallow: /en/5 \n# note"),
-          ("d2", "Disallow: /de/\nUser-agent: MyBot\nCrawl-Delay: 0.5\nAllow: /"),
-          ("d3", "User-agent: Googlebot\nDisallow: /\nCrawl-delay: 9\nUser-agent: bot\nCrawl-delay: 3\nDisallow: /x\nCrawl-delay: 1\nCrawl-delay: soon"), ("d4", "User-agent: *\nAllow:\nDisallow:")]
-_FILES = ", ".join("('{}', '{}')".format(d, t.replace("'", "''")) for d, t in _RULES)
+#: A robots file for each tenth of the pages, composed from their paths: sections for all, for a bot by its exact name and
+#: for others, rules with and without a pattern, delays that are none.
+_FILES_CTE = r"""files AS (SELECT 'd' || (page_id % 10) AS domain, 'User-agent: *' || chr(10) || string_agg(CASE page_id % 6
+    WHEN 0 THEN 'Disallow: ' || coalesce(path, '/x') WHEN 1 THEN 'User-agent: Googlebot' || chr(10) || 'Disallow: /' || chr(10) || 'User-agent: *' WHEN 2 THEN 'Allow: /' || split_part(coalesce(path, '/'), '/', 2) || '/'
+    WHEN 3 THEN 'Disallow: /*/' || (page_id % 90) || chr(10) || '# Disallow: /' WHEN 4 THEN 'User-Agent: bot' || chr(10) || 'Crawl-delay: ' || (page_id % 7) || '.5' || chr(10) || 'Crawl-delay: soon' ELSE 'allow:' END, chr(10) ORDER BY page_id) AS content
+    FROM crawl_pages GROUP BY 1)"""
 _RLINES = """lines AS (SELECT domain, pos, trim(split_part(l, ':', 1)) AS field0, trim(regexp_replace(l, '^[^:]*:', '')) AS value FROM (SELECT domain, unnest(string_split(content, chr(10))) AS l,
     generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files) WHERE contains(l, ':') AND NOT starts_with(l, '#')),
     told AS (SELECT domain, lower(field0) AS field, value, pos, coalesce(last_value(CASE WHEN lower(field0) = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY pos), '*') AS agent FROM lines),
     rules AS (SELECT domain, list_sort(list_distinct(list(value) FILTER (field = 'allow'))) AS allow, list_sort(list_distinct(list(value) FILTER (field = 'disallow'))) AS disallow,
     arg_max(TRY_CAST(value AS DOUBLE), pos) FILTER (field = 'crawl-delay' AND TRY_CAST(value AS DOUBLE) IS NOT NULL) AS crawl_delay FROM told WHERE agent IN ('*', 'bot') GROUP BY domain)"""
-_FILES_CTE = f"files AS (SELECT * FROM (VALUES {_FILES}) t(domain, content))"
 
 
-def _rules(spark):
-    return robots.parse(spark.createDataFrame(_RULES, "domain string, content string"))
+def _files(spark, sf):
+    k, path = F.col("page_id"), F.coalesce("path", F.lit("/"))
+    line = (
+        F.when(k % 6 == 0, F.concat(F.lit("Disallow: "), F.coalesce("path", F.lit("/x")))).when(k % 6 == 1, "User-agent: Googlebot\nDisallow: /\nUser-agent: *")
+        .when(k % 6 == 2, F.concat(F.lit("Allow: /"), F.split_part(path, F.lit("/"), F.lit(2)), F.lit("/")))
+        .when(k % 6 == 3, F.concat(F.lit("Disallow: /*/"), (k % 90).cast("string"), F.lit("\n# Disallow: /")))
+        .when(k % 6 == 4, F.concat(F.lit("User-Agent: bot\nCrawl-delay: "), (k % 7).cast("string"), F.lit(".5\nCrawl-delay: soon"))).otherwise("allow:")
+    )
+    rows = v.crawl_pages(spark, sf).select(F.concat(F.lit("d"), (k % 10).cast("string")).alias("domain"), "page_id", line.alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x.line), "\n")  # a file is a value
+    return rows.groupBy("domain").agg(F.concat(F.lit("User-agent: *\n"), lines).alias("content"))
+
 
+def _rules(spark, sf):
+    return robots.parse(_files(spark, sf))
 
-@query(with_(_FILES_CTE, _RLINES) + "SELECT domain, coalesce(array_to_string(allow, ' '), '') AS allow, coalesce(array_to_string(disallow, ' '), '') AS disallow, coalesce(crawl_delay, 1.0::DOUBLE) AS crawl_delay FROM rules")
+
+@query(with_(PAGES, _FILES_CTE, _RLINES) + "SELECT domain, coalesce(array_to_string(allow, ' '), '') AS allow, coalesce(array_to_string(disallow, ' '), '') AS disallow, coalesce(crawl_delay, 1.0::DOUBLE) AS crawl_delay FROM rules")
 def robots_rules(spark, sf):
-    return _rules(spark).select("domain", F.array_join("allow", " ").alias("allow"), F.array_join("disallow", " ").alias("disallow"), F.coalesce("crawl_delay", F.lit(1.0)).alias("crawl_delay"))
+    return _rules(spark, sf).select("domain", F.array_join("allow", " ").alias("allow"), F.array_join("disallow", " ").alias("disallow"), F.coalesce("crawl_delay", F.lit(1.0)).alias("crawl_delay"))
 
 
 _MATCH = "(CASE WHEN r = '' THEN false WHEN contains(r, '*') THEN regexp_matches(p, '^' || replace(r, '*', '.*')) ELSE starts_with(p, r) END)"
 
 
-@query(with_(PAGES, _FILES_CTE, _RLINES) + f""", x AS (SELECT page_id, coalesce(path, '/') AS p, 'd' || (page_id % 3) AS domain FROM crawl_pages)
+@query(with_(PAGES, _FILES_CTE, _RLINES) + f""", x AS (SELECT page_id, coalesce(path, '/') AS p, 'd' || (page_id % 13) AS domain FROM crawl_pages)
     SELECT page_id, p AS path, (NOT coalesce(list_bool_or(list_transform(disallow, lambda r: {_MATCH})), false)) AND (coalesce(len(allow), 0) = 0 OR coalesce(list_bool_or(list_transform(allow, lambda r: {_MATCH})), false)) AS allowed
     FROM x LEFT JOIN rules USING (domain)""")
 def robots_allowed(spark, sf):
-    pages = v.crawl_pages(spark, sf).select("page_id", F.coalesce("path", F.lit("/")).alias("path"), F.concat(F.lit("d"), (F.col("page_id") % 3).cast("string")).alias("domain"))
-    joined = pages.join(_rules(spark), "domain", "left")
+    pages = v.crawl_pages(spark, sf).select("page_id", F.coalesce("path", F.lit("/")).alias("path"), F.concat(F.lit("d"), (F.col("page_id") % 13).cast("string")).alias("domain"))
+    joined = pages.join(_rules(spark, sf), "domain", "left")
     return joined.select("page_id", "path", robots.allowed(F.col("path"), F.col("allow"), F.col("disallow")).alias("allowed"))
 
 
-@query(with_(PRODUCTS) + "SELECT product_id, regexp_extract('Brand ' || split_part(name, ' ', 1), '.*') AS x FROM products".replace("regexp_extract('Brand ' || split_part(name, ' ', 1), '.*')", "upper(name[1]) || split_part(name, ' ', 1)[2:]"))
+#: Requests are the log's rows, each for a page's path. Errors stand for reads of the domain's rules, which a version number tells.
+_VISITS = """visits AS (SELECT e.event_id, 'd' || (user_id % 20) AS domain, ts, coalesce(path, '/') AS path FROM events e JOIN crawl_pages p ON p.page_id = e.event_id % (SELECT COUNT(*) FROM crawl_pages) WHERE event_type <> 'error'),
+    versions AS (SELECT 'd' || (user_id % 20) AS domain, ts AS fetched_at, max(event_id) AS version FROM events WHERE event_type = 'error' GROUP BY 1, 2)"""
+
+
+@query(with_(PAGES, _VISITS) + """SELECT event_id, CASE WHEN ts < fetched_at + INTERVAL 1 HOUR THEN version ELSE -1 END AS version,
+    coalesce(NOT (ts < fetched_at + INTERVAL 1 HOUR AND (starts_with(path, ['/en/', '/fr/', '/de/', '/es/'][CAST(version % 4 AS INT) + 1]) OR regexp_matches(path, '^/.*/' || (version % 90)))), true) AS allowed
+    FROM visits ASOF LEFT JOIN versions ON visits.domain = versions.domain AND visits.ts >= versions.fetched_at""")
+def rules_at_fetch(spark, sf):
+    domain = F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain")
+    log = v.scan(spark, sf, "events")
+    pages = v.crawl_pages(spark, sf)
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    visits = log.where("event_type <> 'error'").crossJoin(n).withColumn("page_id", F.col("event_id") % F.col("n")).join(pages, "page_id")  # n: one row
+    visits = visits.select("event_id", domain, "ts", F.coalesce("path", F.lit("/")).alias("path"))
+    reads = log.where("event_type = 'error'").groupBy(domain, F.col("ts").alias("fetched_at")).agg(F.max("event_id").alias("version"))
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("version") % 4 + 1).cast("int"))
+    content = F.concat(F.lit("User-agent: *\nDisallow: /"), lang, F.lit("/\nDisallow: /*/"), (F.col("version") % 90).cast("string"))
+    parsed = robots.parse(reads.select(F.col("version").alias("domain"), content.alias("content"))).withColumnRenamed("domain", "version")
+    versions = reads.join(parsed, "version").select("domain", "fetched_at", F.struct("version", "allow", "disallow").alias("rules"))
+    out = robots.at_fetch(visits, versions)
+    return out.select("event_id", F.coalesce("rules.version", F.lit(-1)).alias("version"), robots.allowed(F.col("path"), F.col("rules.allow"), F.col("rules.disallow")).alias("allowed"))
+
+
+@query(with_(PRODUCTS) + "SELECT product_id, upper(name[1]) || split_part(name, ' ', 1)[2:] AS x FROM products")
 def slug_brand(spark, sf):
     url = F.concat(F.lit("https://shop.example/product/"), F.replace("name", F.lit(" "), F.lit("-")))
     return v.products(spark, sf).select("product_id", scalars.slug_brand(url).alias("x"))
@@ -592,13 +630,13 @@ _STOP = ", ".join(f"'{w}'" for w in features.STOP_WORDS)
     r AS (SELECT product_id, term, n * (ln((1.0 + (SELECT COUNT(*) FROM t)) / (1.0 + df)) + 1) AS x FROM c JOIN k USING (term))
     SELECT product_id, term, {rnd('x / sqrt(SUM(x * x) OVER (PARTITION BY product_id))', 4)} AS weight FROM r""")
 def tfidf(spark, sf):
-    t = features.tfidf(features.product_text(v.review_texts(spark, sf)))
+    t = features.tfidf(v.review_texts(spark, sf))
     return t.select("product_id", "term", srnd(F.col("weight"), 4).alias("weight"))
 
 
 @query()
 def text_pca(spark, sf):
-    return features.text_components(features.tfidf(features.product_text(v.review_texts(spark, sf))))
+    return features.text_components(features.tfidf(v.review_texts(spark, sf)))
 
 
 def _clustered(spark, sf):
@@ -648,7 +686,7 @@ def davies_bouldin(spark, sf):
 def kmeans_sweep(spark, sf):
     m = _matrix(spark, sf)
     names = features.numeric(m)
-    return cluster.sweep(m.select("product_id", features.as_vector(m, names).alias("features"), F.array(*names).alias("x")), restarts=10)
+    return cluster.sweep(m.select("product_id", F.array(*names).alias("x")), restarts=10)
 
 
 @query()
@@ -685,26 +723,11 @@ def error_window(spark, sf):
     return pacing.error_window(v.fetch_log(spark, sf)).select("domain_id", "event_id", "errors", "seen")
 
 
-@query("SELECT CAST(n AS INT) AS attempt, pow(2, n)::DOUBLE AS after_error, 60 * pow(2, n)::DOUBLE AS after_429 FROM range(5) t(n)")
-def retry_backoff(spark, sf):
-    return spark.createDataFrame(pacing.backoff(), "attempt int, after_error double, after_429 double")
-
-
 @query(with_(LOG) + "SELECT domain_id, COUNT(*) AS total_requests, count(*) FILTER (status IN (403, 429, 503)) AS blocked_requests, count(*) FILTER (status = 429) AS rate_limit_violations FROM fetch_log GROUP BY 1")
 def domain_counters(spark, sf):
     return crawl.domain_counters(v.fetch_log(spark, sf))
 
 
-@query("""SELECT n AS product_id, 'Brand_' || (n % 40) AS brand, 50.0::DOUBLE + 15 * (n % 400) AS price_value, n % 10 < 3 AS refillable_flag, ['fragrance', 'skincare', 'makeup'][CAST(n % 3 AS INT) + 1] AS category FROM range(2000) t(n)""")
-def generated_catalog(spark, sf):
-    return crawl.generated_catalog(spark, 2000)
-
-
-@query("SELECT n AS product_id, k, 1 + (n + k) % 5 AS rating FROM range(2000) t(n), range(1, 5) u(k) WHERE k <= n % 5")
-def generated_reviews(spark, sf):
-    return crawl.generated_reviews(spark, 2000)
-
-
 @query(with_(PAGES) + r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
     regexp_extract(url, '^(https?://[^/?#]+)', 1) || nullif(regexp_extract(html, '<nav>.*?href="([^"]*)"', 1), '') AS first_link,
     array_to_string(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a[^>]*>([^<]*)</a>', 1), '|') AS menu FROM crawl_pages""")
@@ -725,12 +748,12 @@ def page_snapshots(spark, sf):
 _PROBES = ("/", "/en/1", "/fr/")
 
 
-@query(with_(_FILES_CTE, _RLINES) + f""", x AS (SELECT domain, p, allow, disallow FROM rules, (SELECT unnest({list(_PROBES)}) AS p))
+@query(with_(PAGES, _FILES_CTE, _RLINES) + f""", x AS (SELECT domain, p, allow, disallow FROM rules, (SELECT unnest({list(_PROBES)}) AS p))
     SELECT domain, bool_or((NOT coalesce(list_bool_or(list_transform(disallow, lambda r: {_MATCH})), false)) AND (coalesce(len(allow), 0) = 0 OR coalesce(list_bool_or(list_transform(allow, lambda r: {_MATCH})), false))) AS allowed
     FROM x GROUP BY 1""")
 def domain_allowed(spark, sf):
     probes = F.array(*map(F.lit, _PROBES))
-    return _rules(spark).select("domain", F.exists(probes, lambda p: robots.allowed(p, F.col("allow"), F.col("disallow"))).alias("allowed"))
+    return _rules(spark, sf).select("domain", F.exists(probes, lambda p: robots.allowed(p, F.col("allow"), F.col("disallow"))).alias("allowed"))
 
 
 _LUXE = ("red", "gold", "new")
@@ -739,8 +762,9 @@ _LUXE = ("red", "gold", "new")
 @query(with_(PRODUCTS) + "SELECT product_id, name FROM products WHERE " + " OR ".join(f"contains(lower(split_part(name, ' ', 1)), '{w}')" for w in _LUXE))
 def luxury_url_filter(spark, sf):
     url = F.concat(F.lit("https://shop.example/product/"), F.replace("name", F.lit(" "), F.lit("-")))
-    some = F.exists(F.array(*map(F.lit, _LUXE)), lambda w: F.contains(F.lower(scalars.slug_brand(url)), w))
-    return v.products(spark, sf).where(some).select("product_id", "name")
+    words = spark.createDataFrame([(w,) for w in _LUXE], "word string")
+    urls = v.products(spark, sf).select("product_id", "name", F.lower(scalars.slug_brand(url)).alias("slug"))
+    return keywords.containing(urls, "product_id", "slug", words, "word").select("product_id", "name")
 
 
 @query(with_(MANIFEST) + """SELECT run_id, 'run_' || strftime(TIMESTAMP '2026-01-01 08:05:03' + to_hours(CAST(total_requests AS INT)), '%Y%m%d_%H%M%S') || '_' || md5(run_id)[1:8] AS run_key FROM manifest""")
@@ -766,7 +790,23 @@ _SYN = (("metal", "round", "ring"), ("metal", "round", "gear"), ("metal", "long"
     SELECT product_id, grp, syn.category FROM products, syn WHERE contains(name, synonym)""")
 def category_synonyms(spark, sf):
     syn = spark.createDataFrame(_SYN, "grp string, category string, synonym string")
-    return v.products(spark, sf).join(syn, F.contains("name", "synonym")).select("product_id", "grp", "category")  # against a fixed dimension of a few rows
+    return keywords.hits(v.products(spark, sf), "product_id", "name", syn, "synonym").select("product_id", "grp", "category")
+
+
+@query("""WITH lines AS (SELECT event_id, event_id % 11 = 3 AS torn, event_id % 7 = 2 AS worded, event_id % 5 = 1 AS more FROM events)
+    SELECT CASE WHEN torn THEN 'rejected' WHEN worded OR more THEN 'rescued' ELSE 'kept' END AS status, COUNT(*) AS n, count(*) FILTER (NOT torn AND NOT worded) AS with_k,
+    count(*) FILTER (NOT torn AND worded) AS misfits, count(*) FILTER (NOT torn AND more) AS unknown, CAST(sum(CASE WHEN NOT torn AND NOT worded THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END) AS BIGINT) AS k
+    FROM lines JOIN events USING (event_id) GROUP BY 1""")
+def ingest_quality(spark, sf):
+    """The log's JSON as a feed with torn lines, words where numbers belong, and fields that the schema lacks."""
+    i, k = F.col("event_id"), F.regexp_extract("props", r"(\d+)", 1)
+    field = F.when(i % 7 == 2, F.concat(F.lit('"k": "some '), k, F.lit('"'))).otherwise(F.concat(F.lit('"k": '), k))
+    line = F.concat(F.lit("{"), field, F.when(i % 5 == 1, ', "extra": {"a": [1, 2]}').otherwise(""), F.when(i % 11 == 3, ', "cut').otherwise("}"))
+    read = schema.parse(v.scan(spark, sf, "events").select("event_id", line.alias("line")), "line", "k bigint, note string")
+    return read.groupBy(schema.status().alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"), F.count_if(F.coalesce(F.map_contains_key("rescued", F.lit("k")), F.lit(False))).alias("misfits"),
+        F.count_if(F.coalesce(F.map_contains_key("rescued", F.lit("extra")), F.lit(False))).alias("unknown"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"),
+    )
 
 
 @query(with_(PRODUCTS) + """, r AS (SELECT product_id, CASE WHEN product_id % 13 = 0 THEN 1 END AS b1, CASE WHEN scrape_ts IS NULL THEN 1 END AS b2, CASE WHEN product_id % 37 = 0 THEN 1 END AS b3,
@@ -872,12 +912,6 @@ def scraped_reviews(spark, sf):
     return found.select("review_id", "product_id", "url", "rating", "helpful_count", "verified_purchase", text("review_date").alias("review_date"))
 
 
-@query("""SELECT 'site_a' AS site, 'https://site_a.example/product/' || n AS url, CASE n % 3 WHEN 0 THEN 'fragrance' WHEN 1 THEN 'skincare' ELSE 'makeup' END AS category,
-    CASE WHEN n < 16 THEN 'Brand#' || (n + 1) ELSE 'Brand_' || (n % 20) END AS brand, n % 3 = 0 AS has_refill_facet, 'refillable' AS discovery_mode FROM range(200) t(n)""")
-def generated_discovery(spark, sf):
-    return crawl.generated_discovery(spark, "site_a", 500, v.TIER_1 + v.TIER_15, "refillable")
-
-
 @query(with_(PRODUCTS) + "SELECT COUNT(*) AS n FROM products WHERE product_id % 53 = 0")
 def fixture_marked(spark, sf):
     return gates.fixture_contamination(v.products(spark, sf).withColumn("is_fixture", F.when(F.col("product_id") % 3 == 0, F.col("product_id") % 53 == 0).otherwise((F.col("product_id") % 53 == 0) | F.lit(None))))

@@ -52,6 +52,36 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*out)
 
 
+#: Columns that parse() adds.
+RESCUED, CORRUPT = "rescued", "corrupt"
+
+
+def parse(df: DataFrame, column: str, ddl: str) -> DataFrame:
+    """df with the JSON of a text column as typed columns in its place: `rescued` holds, by field, the text of values that
+    did not fit their type and of fields that the schema lacks (null if there are none); `corrupt` holds a text that is no
+    JSON object, whole. Nothing of a line is lost. A null text has nulls in all of them. Columns of the same names go."""
+    names = [part.split(" ", 1) for part in _split(ddl)]
+    taken = {column, RESCUED, CORRUPT, *(n for n, _ in names)}
+    raw = F.from_json(column, "map<string, string>", {"mode": "PERMISSIVE"})
+    read = df.withColumn("_raw", raw)
+    kept = {n: read["_raw"][n].try_cast(t) if t in _PLAIN else F.from_json(read["_raw"][n], t) for n, t in names}
+    read = read.withColumn("_typed", F.struct(*[x.alias(n) for n, x in kept.items()]))
+    known = F.create_map(*[y for n, _ in names for y in (F.lit(n), F.col("_typed")[n].isNotNull())])
+    rest = F.map_filter("_raw", lambda k, v: v.isNotNull() & ~F.coalesce(known[k], F.lit(False)))
+    rescued = F.when(F.size(F.map_keys(rest)) > 0, rest)
+    corrupt = F.when(F.col("_raw").isNull() & F.col(column).isNotNull(), F.col(column))
+    return read.select(*[c for c in df.columns if c not in taken], "_typed.*", rescued.alias(RESCUED), corrupt.alias(CORRUPT))
+
+
+#: Types that a text is cast to; others are parsed as JSON.
+_PLAIN = ("string", "int", "bigint", "double", "boolean", "date", "timestamp")
+
+
+def status() -> Column:
+    """What parse() made of a row: rejected (no JSON object), rescued (something fits no column), or kept."""
+    return F.when(F.col(CORRUPT).isNotNull(), "rejected").when(F.col(RESCUED).isNotNull(), "rescued").otherwise("kept")
+
+
 #: Fields that an entity must have, ranges (None: open), fields of http(s) addresses.
 REQUIRED = {
     "product": "product_id site url brand name category_path price_value price_currency first_seen_ts last_seen_ts source_site source_url scrape_ts".split(),

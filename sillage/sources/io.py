@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,81 @@ def category_synonyms(spark: SparkSession, path: str) -> DataFrame:
     return groups.select("group", "category", F.explode("synonyms").alias("synonym"))
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and the file system that it lies in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
-    out = df.write.mode("overwrite")
-    (out.partitionBy(by) if by else out).parquet(path)
+    """df in place of the table at path, or with `by` in place of the partitions that it has rows of; others stay. The
+    rows are written aside first, so a write that fails leaves what was there; df may read the table itself."""
+    spark = df.sparkSession
+    if by:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        return
+    name = uuid.uuid4().hex
+    fs, table = _path(spark, path)
+    _, aside = _path(spark, f"{table.getParent()}/_new-{name}")
+    _, old = _path(spark, f"{table.getParent()}/_old-{name}")
+    try:
+        df.write.parquet(aside.toString())
+        had = fs.exists(table)
+        if had and not fs.rename(table, old):
+            raise OSError(f"{path} cannot be replaced")
+        if not fs.rename(aside, table):
+            if had:
+                fs.rename(old, table)
+            raise OSError(f"{path} cannot be written")
+        fs.delete(old, True)
+    finally:
+        fs.delete(aside, True)
+
+
+def commit(spark: SparkSession, path: str, run_id: str, told: dict) -> None:
+    """Record that a run's write to a table is done: `_commits/<run_id>.json` beside its data, which readers of the table
+    pass over. The file appears whole or not at all; a run commits once, again counts for nothing."""
+    fs, target = _path(spark, f"{path}/_commits/{run_id}.json")
+    if fs.exists(target):
+        return
+    _, draft = _path(spark, f"{path}/_commits/_{run_id}-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({"run_id": run_id, **told}, default=str).encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        fs.delete(draft, False)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, told): the runs that have been committed to a table, with what they told as JSON."""
+    if not exists(spark, f"{path}/_commits/[!_]*.json"):
+        return spark.createDataFrame([], "run_id string, told string")
+    lines = spark.read.text(f"{path}/_commits/[!_]*.json", wholetext=True)
+    return lines.select(F.get_json_object("value", "$.run_id").alias("run_id"), F.col("value").alias("told"))
+
+
+def write_run(df: DataFrame, path: str, by: str, run_id: str) -> bool:
+    """The partitions of df written to a table, and the run committed; False, and nothing written, if the run is there
+    already. A run that failed before its commit is written again, to the same partitions: a rerun never doubles rows."""
+    spark = df.sparkSession
+    if exists(spark, f"{path}/_commits/{run_id}.json"):
+        return False
+    write_parquet(df, path, by)
+    commit(spark, path, run_id, {"by": by, "columns": df.columns})
+    return True
+
+
+def expire_partitions(spark: SparkSession, path: str, by: str, before: str) -> list[str]:
+    """Remove the partitions by=value of a table whose value, as text, comes before a bound (dates as yyyy-mm-dd); their
+    values. A folder at a time, whatever number of files it has; a partition without a value stays."""
+    fs, table = _path(spark, path)
+    gone = []
+    for found in fs.globStatus(_path(spark, f"{path}/{by}=*")[1]) or []:
+        value = found.getPath().getName().split("=", 1)[1]
+        if value != "__HIVE_DEFAULT_PARTITION__" and value < before:
+            fs.delete(found.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -92,13 +165,14 @@ def expired(spark: SparkSession, path: str, as_of: str, days: int) -> DataFrame:
 
 
 def remove_expired(spark: SparkSession, path: str, as_of: str, days: int) -> int:
-    """Removes the files that expired() lists, in whatever store they lie; gives their number. Names alone come to
-    the driver, a partition at a time; files gone by then count as removed."""
+    """Removes the files that expired() lists, in whatever store they lie; gives their number. For folders without
+    partitions; tables lose whole partitions by expire_partitions(). Names alone come to the driver, a partition at a
+    time; files gone by then count as removed."""
     old = expired(spark, path, as_of, days).select("path").cache()
     n = 0
-    for row in old.toLocalIterator():  # names only, a partition at a time
-        p = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    for row in old.toLocalIterator():
+        fs, p = _path(spark, row["path"])
+        fs.delete(p, False)
         n += 1
     old.unpersist()
     return n

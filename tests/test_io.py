@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sillage import cli, schema
@@ -67,3 +68,67 @@ def test_no_duplicates_is_no_violation(spark):
 def test_cli(capsys):
     assert cli.main(["list"]) == 0
     assert "luxury_classification" in capsys.readouterr().out
+
+
+def _broken(df):
+    """df whose rows fail as they are written."""
+    return df.select(*[F.when(F.col(c).isNotNull(), F.raise_error(F.lit("torn")).cast(t)).alias(c) if c != "day" else F.col(c) for c, t in df.dtypes])
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, day string")
+    for by in (None, "day"):
+        path = f"{tmp_path}/{by}/t"
+        io.write_parquet(one, path, by)
+        with pytest.raises(Exception, match="torn"):
+            io.write_parquet(_broken(one), path, by)
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+        io.write_parquet(spark.read.parquet(path).withColumn("id", F.col("id") + 10).where("day = 'b'"), path, by)  # reads what it replaces
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ([12] if by is None else [1, 12])
+        left = [p.name for p in (tmp_path / str(by)).iterdir()]
+        assert left == ["t"]
+
+
+def test_runs_commit_once(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    one = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-02-01"), (4, None)], "id int, day string")
+    assert io.commits(spark, path).count() == 0
+    with pytest.raises(Exception, match="torn"):
+        io.write_run(_broken(one), path, "day", "run_1")
+    assert io.commits(spark, path).count() == 0
+    assert io.write_run(one, path, "day", "run_1") and not io.write_run(one, path, "day", "run_1")
+    assert io.write_run(one.where("id = 2").withColumn("id", F.lit(7)), path, "day", "run_2")
+    assert sorted(r["run_id"] for r in io.commits(spark, path).collect()) == ["run_1", "run_2"]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 3, 4, 7]
+    assert io.expire_partitions(spark, path, "day", "2024-01-31") == ["2024-01-01", "2024-01-02"]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 4]
+    assert io.expire_partitions(spark, f"{tmp_path}/none", "day", "2024") == []
+
+
+def test_parse_keeps_all_of_a_line(spark):
+    lines = ['{"k": 5, "at": "2024-01-31"}', '{"k": "x5", "tags": ["a"], "more": {"b": 1}}', '{"k": null, "tags": "none"}', '{"k": 1', "[1]", "", None, "{}"]
+    df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(lines)], "id int, line string, rescued string")
+    out = {r["id"]: r for r in schema.parse(df, "line", "k bigint, at date, tags array<string>").withColumn("status", schema.status()).collect()}
+    assert [out[i]["status"] for i in range(8)] == ["kept", "rescued", "rescued", "rejected", "rejected", "rejected", "kept", "kept"]
+    assert (out[0]["k"], str(out[0]["at"]), out[0]["rescued"]) == (5, "2024-01-31", None)
+    assert out[1]["rescued"] == {"k": "x5", "more": '{"b":1}'} and list(out[1]["tags"]) == ["a"]
+    assert out[2]["rescued"] == {"tags": "none"} and out[3]["corrupt"] == '{"k": 1'
+
+
+#: What the entities must accept and refuse: a full product, one without a required field, prices and ratings out of range.
+_PRODUCT = {
+    "product_id": "p1", "site": "site_a", "url": "https://shop.example/p/1", "brand": "B", "name": "N", "category_path": ["parfum"], "price_value": 99.5,
+    "price_currency": "EUR", "first_seen_ts": "2024-01-01 00:00:00", "last_seen_ts": "2024-01-02 00:00:00", "source_site": "shop.example",
+    "source_url": "https://shop.example/p/1", "scrape_ts": "2024-01-02 00:00:00", "rating_avg": 4.5, "rating_count": 10,
+}
+
+
+@pytest.mark.parametrize(
+    "change, status, errors",
+    [({}, "kept", []), ({"brand": None}, "kept", ["brand: required"]), ({"rating_avg": 6.0}, "kept", ["rating_avg: out of range"]), ({"price_value": "cheap"}, "rescued", ["price_value: required"]), ({"extra": 1}, "rescued", [])],
+)
+def test_products_from_text(spark, change, status, errors):
+    line = json.dumps({k: v for k, v in {**_PRODUCT, **change}.items() if v is not None})
+    read = schema.parse(spark.createDataFrame([(line,)], "line string"), "line", schema.PRODUCT)
+    assert read.select(schema.status().alias("s")).first()["s"] == status
+    assert schema.validate(read, "product", {"site": ("site_a",)}).first()["errors"] == errors
