@@ -2,8 +2,9 @@
 
 All of it is DataFrame expressions. The trees are trained on a bounded sample of the URLs that rules have labelled:
 features are binned, equal bin vectors are counted once, and these cells, no more than the sample has rows, come to the
-driver, which grows the trees. How often the sample has a host's suffix, and how often blocked, are features too.
-Scoring is a sum of CASE expressions over the same features.
+driver, which grows the trees; their number is where the loss on a held-out fold is least. How often the sample has a
+host's suffix of one, two and three labels, or a path's first part, and how often blocked, are features too; of a URL of
+the sample these come from the other folds, so that no label tells of itself. Scoring is a sum of CASE expressions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillage.llm.common import cut
@@ -21,8 +22,12 @@ from sillage.llm.common import cut
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
-#: The bound of the labelled sample that the trees are fit on; trees, their depth, the shrinkage, bins of a feature.
-SAMPLE, TREES, DEPTH, RATE, BINS, RIDGE = 20_000, 12, 3, 0.4, 16, 1.0
+#: The bound of the labelled sample that the trees are fit on; trees at most, their depth, the shrinkage, bins of a feature.
+SAMPLE, TREES, DEPTH, RATE, BINS, RIDGE = 20_000, 60, 4, 0.2, 16, 1.0
+#: Folds of the sample; URLs that a part's share of blocked ones has beforehand, at the sample's own share.
+FOLDS, BEFORE = 5, 4.0
+#: Steps that a share is told in.
+STEPS = 6
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -78,6 +83,14 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"\.?([^.]*)$", 1)
 
 
+def parts(host: Column, path: Column) -> dict[str, Column]:
+    """The parts of a URL whose share of blocked ones the sample tells: suffixes of the host, the path's first part."""
+    return {
+        "suffix": suffix_of(host), "domain": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1), "site": F.regexp_extract(host, r"([^.]*\.?[^.]*\.?[^.]*)$", 1),
+        "first": F.lower(F.regexp_extract(path, r"^/([^/]*)", 1)),
+    }
+
+
 class Model(NamedTuple):
     """base: the log odds before any tree; trees: nested (feature, threshold, below, above) or a leaf's value."""
 
@@ -99,9 +112,9 @@ def _case(tree, row: dict[str, Column]) -> Column:
     return F.when(row[feature] <= threshold, _case(below, row)).otherwise(_case(above, row))
 
 
-def fit(few: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH) -> Model:
+def fit(few: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH, fold: str | None = None) -> Model:
     """few, a bounded table: `names` as doubles and y (1 to block, 0 to allow). One class only, or none: a constant
-    model."""
+    model. fold: a column that is 0 in rows that are held out first, to find the number of trees up to `trees`."""
     n, blocked, *edges = few.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum("y"), F.lit(0)),
@@ -109,17 +122,16 @@ def fit(few: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH
     ).first()
     if not n or blocked in (0, n):
         return Model(0.0 if not n else (20.0 if blocked else -20.0), [])
-    base = math.log(blocked / (n - blocked))
     cuts = {c: sorted(float(x) for x in e) for c, e in zip(names, edges, strict=True)}
     bins = [sum((F.col(c) > x).cast("int") for x in cuts[c]).cast("int").alias(c) if cuts[c] else F.lit(0).alias(c) for c in names]
-    cells = few.select(*bins, "y").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    held = (F.col(fold) == 0).cast("int") if fold else F.lit(0)
+    cells = few.select(*bins, held.alias("__held"), "y").groupBy(*names, "__held").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     found = np.array(sorted(map(tuple, cells.collect())), np.int64)  # as many rows as few has, at most
-    x, total, pos = found[:, : len(names)], found[:, -2].astype(float), found[:, -1].astype(float)
-    odds, grown = np.full(len(x), base), []
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-odds))
-        tree = _grow(x, pos - total * p, total * p * (1 - p), np.arange(len(x)), depth, odds)
-        grown.append(tree)
+    x, out, total, pos = found[:, : len(names)], found[:, -3] == 1, found[:, -2].astype(float), found[:, -1].astype(float)
+    if out.any() and pos[~out].sum() not in (0, total[~out].sum()):
+        _, _, loss = _boosted(x[~out], total[~out], pos[~out], trees, depth, (x[out], total[out], pos[out]))
+        trees = int(np.argmin(loss))
+    base, grown, _ = _boosted(x, total, pos, trees, depth)
 
     def named(t):
         return t if not isinstance(t, tuple) else (names[t[0]], cuts[names[t[0]]][t[1]], named(t[2]), named(t[3]))
@@ -127,6 +139,32 @@ def fit(few: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH
     return Model(base, [named(t) for t in grown])
 
 
+def _boosted(x: np.ndarray, total: np.ndarray, pos: np.ndarray, trees: int, depth: int, held=None) -> tuple[float, list, list[float]]:
+    """The base, trees over bin vectors x with their counts, and the loss on held-out cells with 0, 1, ... of them."""
+    base = math.log(pos.sum() / (total.sum() - pos.sum()))
+    odds, grown, losses = np.full(len(x), base), [], []
+    told = np.full(len(held[0]), base) if held else None
+
+    def loss() -> float:
+        return float((held[1] * np.logaddexp(0, told) - held[2] * told).sum())
+
+    if held:
+        losses.append(loss())
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-odds))
+        grown.append(_grow(x, pos - total * p, total * p * (1 - p), np.arange(len(x)), depth, odds))
+        if held:
+            told += np.array([_leaf(grown[-1], row) for row in held[0]])
+            losses.append(loss())
+    return base, grown, losses
+
+
+def _leaf(tree, row: np.ndarray) -> float:
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int, odds: np.ndarray):
     """A tree for the cells `at`: split at "bin <= k" where the gain is largest, first by feature and k on ties. Adds
     the leaves' values to odds."""
@@ -146,31 +184,57 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: in
     return (f, k, _grow(x, g, h, at[below], depth - 1, odds), _grow(x, g, h, at[~below], depth - 1, odds))
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """(page_id, url) to page_id, host, path, rule, verdict, score (log odds of "block" by the trees).
-
-    The rule that fits decides; else the trees, fit on the URLs that rules decide, block where score > 0. Null and
-    malformed URLs have empty host and path and are judged by the trees like others; with no URL under any rule all
-    scores are 0 and all such verdicts allow. Repeated rows are judged alike; other columns are ignored.
-    """
+def described(pages: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
+    """(page_id, url) with host, path, rule, said (the rule's verdict), the lexical features and the parts; the names of the
+    features."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = host_path(F.col("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     lexical = features(F.col("url"), F.col("host"), F.col("path"))
-    names = [*lexical, "suffix_seen", "suffix_blocked"]
-    whole = rows.withColumns({"rule": rule, "said": said, "suffix": suffix_of(F.col("host"))} | lexical)
-    labelled = whole.where("rule IS NOT NULL").withColumn("y", (F.col("said") == "block").cast("int"))
-    few = cut(labelled.orderBy(F.xxhash64("url"), "url").limit(sample).select("suffix", "y", *lexical))
+    return rows.withColumns({"rule": rule, "said": said} | parts(F.col("host"), F.col("path")) | lexical), list(lexical)
+
+
+def learn(labelled: DataFrame, lexical: list[str], sample: int = SAMPLE):
+    """From described URLs with `said`, no more than `sample` of them, a function that adds `score` to described URLs."""
+    told = list(parts(F.lit(""), F.lit("")))
+    few = labelled.withColumn("y", (F.col("said") == "block").cast("int")).orderBy(F.xxhash64("url"), "url").limit(sample)
+    few = cut(few.select(*told, "y", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)).alias("fold"), *lexical))
     blocked = few.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
-    seen = few.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))  # `sample` rows at most
 
-    def with_suffixes(df: DataFrame) -> DataFrame:
-        n = F.coalesce("n", F.lit(0))
-        share = (F.coalesce("blocked", F.lit(0)) + 2 * blocked) / (n + 2)
-        return df.join(F.broadcast(seen), "suffix", "left").withColumns({"suffix_seen": F.log1p(n), "suffix_blocked": share})
+    def stats(n: dict[str, Column], bad: dict[str, Column]) -> dict[str, Column]:
+        """In steps: the folds' figures of one part differ a little, and these differences tell of the labels left out."""
+        out = {f"{c}_seen": F.round(F.log1p(n[c])) for c in told}
+        return out | {f"{c}_blocked": F.round(STEPS * (bad[c] + BEFORE * blocked) / (n[c] + BEFORE)) / STEPS for c in told}
+
+    def others(x: Column, c: str) -> Column:  # over the folds that are not a row's own; `sample` rows in all
+        return F.sum(x).over(Window.partitionBy(c)) - F.sum(x).over(Window.partitionBy(c, "fold"))
+
+    one, y = F.lit(1), F.col("y")
+    out_of_fold = few.withColumns(stats({c: others(one, c) for c in told}, {c: others(y, c) for c in told}))
+    names = [*lexical, *(f"{c}_{x}" for x in ("seen", "blocked") for c in told)]
+    model = fit(out_of_fold, names, fold="fold")
+
+    def score(df: DataFrame) -> DataFrame:
+        for c in told:
+            seen = few.groupBy(c).agg(F.count(one).alias(f"{c}_n"), F.sum("y").alias(f"{c}_bad"))  # `sample` rows at most
+            df = df.join(F.broadcast(seen), c, "left")
+        count = lambda x: {c: F.coalesce(f"{c}_{x}", F.lit(0)) for c in told}
+        return df.withColumns(stats(count("n"), count("bad"))).withColumn("score", model.score({k: F.col(k) for k in names}))
 
-    model = fit(with_suffixes(few), names)
-    scored = with_suffixes(whole).withColumn("score", model.score({k: F.col(k) for k in names}))
+    return score
+
+
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
+    """(page_id, url) to page_id, host, path, rule, verdict, score (log odds of "block" by the trees).
+
+    The rule that fits decides, of several the longest; else the trees, fit on the URLs that rules decide, block where
+    score > 0; a score of just 0 allows. Null and malformed URLs have empty host and path and are judged by the trees like
+    others; with no URL under any rule all scores are 0 and all such verdicts allow. URLs are read whole however long, but
+    for the entropy, whose time is their length times their distinct characters, in linear time. Repeated rows are judged
+    alike; other columns are ignored; an empty table gives no rows.
+    """
+    whole, lexical = described(pages, rules)
+    scored = learn(whole.where("rule IS NOT NULL"), lexical, sample)(whole)
     verdict = F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

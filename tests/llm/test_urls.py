@@ -104,3 +104,31 @@ def test_no_python_in_the_plan_and_clashing_columns(spark):
     out = urls.judge(df)
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
     assert [tuple(x)[:5] for x in out.collect()] == [(1, "a.org", "/x", "org/", "allow")] * 2
+
+
+def test_held_out_accuracy(spark):
+    """Trees learnt on half of the URLs that rules decide, tried on the other half: well above the constant."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    whole, lexical = urls.described(pages)
+    ruled = whole.where("rule is not null").withColumn("half", F.pmod(F.xxhash64("url", F.lit(9)), F.lit(2)))
+    out = urls.learn(ruled.where("half = 0"), lexical)(ruled.where("half = 1")).select("said", (F.col("score") > 0).alias("p")).toPandas()
+    bad, told = out["said"] == "block", out["p"]
+    print("right", (bad == told).mean(), "constant", (~bad).mean(), "blocked found", (bad & told).sum() / bad.sum(), "false alarms", (~bad & told).sum(), len(out))
+    assert (bad == told).mean() > 0.9 and (bad & told).sum() > 0.8 * bad.sum()
+
+
+def test_a_label_does_not_tell_of_itself(spark):
+    """Hosts that come once each, labelled at random: nothing can be learnt, and nothing seems to be."""
+    r = random.Random(8)
+    rows = [(i, f"http://h{i}.{'com' if r.random() < 0.9 else 'org'}/{r.choice(['de', 'fr'])}/{r.randrange(99)}") for i in range(600)]
+    whole, lexical = urls.described(spark.createDataFrame(rows, "page_id long, url string"))
+    said = {i: r.choice(["block", "allow"]) for i, _ in rows}
+    labels = spark.createDataFrame(list(said.items()), "page_id long, told string")
+    ruled = whole.join(labels, "page_id").withColumn("said", F.col("told"))
+    scores = [x["score"] for x in urls.learn(ruled, lexical)(ruled).select("score").collect()]
+    assert max(map(abs, scores)) < 1.5
+
+
+def test_very_long_urls(spark):
+    got = judged(spark, ["http://b.org/" + "é/x?" * 100_000, "http://" + "a." * 20_000 + "net", "http://c.com/de/1"])
+    assert got[0]["rule"] == "org/" and got[1]["rule"] is None and len(got) == 3
