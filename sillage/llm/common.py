@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,12 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # for drop_cut()
-    if _SCOPES:
-        _SCOPES[-1].append(out)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(out)
     return out
 
 
-_SCOPES: list[list[DataFrame]] = []
+#: The cuts that the innermost scratch() of this thread, or task of an event loop, has made.
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("cuts", default=None)
 
 
 def scratch(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -59,14 +61,15 @@ def scratch(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(f)
     def run(*args, **named) -> DataFrame:
-        _SCOPES.append([])
+        made: list[DataFrame] = []
+        outer = _SCOPE.set(made)
         try:
             out = cut(f(*args, **named))
         finally:
-            made = _SCOPES.pop()
+            _SCOPE.reset(outer)
         drop_cut(*(x for x in made if x is not out))
-        if _SCOPES:
-            _SCOPES[-1].append(out)
+        if (scope := _SCOPE.get()) is not None:
+            scope.append(out)
         return out
 
     return run

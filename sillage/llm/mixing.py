@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import cut, drop_cut, words
+from sillage.llm.common import cut, drop_cut, few, words
 
 #: Weights of the sources in their order, repeating; share of all sizes to take; the most of a source that can be.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -23,6 +23,8 @@ ITERATIONS, TOLERANCE, SALTS, STARTS = 60, 1e-6, 64, 64
 RANGE = 5
 #: Beyond this tilt the rates no longer change.
 FLAT = 1e6
+#: Rows up to which the table of copies, some 30 bytes each, is broadcast to the texts.
+FEW = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -135,14 +137,11 @@ def mix(
     own = rated.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
     placed = cut(own.join(ranges, ["key", "range"]).withColumn("start", F.col("start") + F.col("before")).drop("range", "before"))
     # Where the count starts is free: of some starts, each source takes the one whose words come nearest its target.
-    shift = F.explode(F.array(*[F.lit((k + 0.5) / STARTS) for k in range(STARTS)])).alias("shift")
-    at = F.col("start") + F.col("shift")
-    best = (
-        placed.where("size > 0").select("*", shift)
-        .groupBy("key", "shift")
-        .agg(F.sum(F.col("size") * (F.floor(at + F.col("n") * F.col("rate")) - F.floor(at))).alias("took"), F.first("target").alias("target"))
-        .groupBy("key").agg(F.min(F.struct(F.abs(F.col("took") - F.col("target")), "shift"))["shift"].alias("shift"))
-    )
+    starts = [(k + 0.5) / STARTS for k in range(STARTS)]
+    took = lambda s: F.sum(F.col("size") * (F.floor(F.col("start") + s + F.col("n") * F.col("rate")) - F.floor(F.col("start") + s)))
+    took = placed.where("size > 0").groupBy("key").agg(F.first("target").alias("target"), *[took(s).alias(f"took_{k}") for k, s in enumerate(starts)])
+    off = F.array(*[F.struct(F.abs(F.col(f"took_{k}") - F.col("target")).alias("off"), F.lit(s).alias("shift")) for k, s in enumerate(starts)])
+    best = took.select("key", F.array_min(off)["shift"].alias("shift"))
     placed = placed.join(best, "key", "left").select(
         F.col("key").alias("__key"), "size", F.col("salt").alias("__salt"), "source_size", "target", F.col("rate").alias("__rate"),
         (F.col("start") + F.coalesce("shift", F.lit(0.5))).alias("__start"),
@@ -165,7 +164,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def repeat_copies(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as mix() takes it; all its columns stay, whatever their names."""
-    whole = docs.select("doc_id", "source", F.struct(docs.columns).alias("__row"))
-    mixed = mix(whole, text="__row.text").where("copies > 0")
-    return mixed.select("__row", F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select("__row.*")
+    """docs with each row as often as mix() takes it; all its columns stay, whatever their names.
+
+    What is ranked and counted are two hashes of each row and its size; texts move once at most, to the number of their
+    copies. Rows that are equal in all columns are one, with the copies of all. Rules for nulls, ties and empty tables as in mix().
+    """
+    told = [F.col(f"`{c}`") for c in docs.columns]
+    told += [c.isNull() for c in told]
+    both = [F.xxhash64(F.lit(k), *told).alias(f"__h{k}") for k in (1, 2)]
+    narrow = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("__words"), *both))
+    keys = ["__h1", "__h2"]
+    totals = mix(narrow, sized="__words").groupBy(*keys).agg(F.sum("copies").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    totals = cut(totals.where("__n > 0"))
+    one, several = totals.where("__rows = 1"), totals.where("__rows > 1")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *both)
+    rows = whole.join(few(one, FEW), keys).select("__row", "__n")
+    if not several.isEmpty():
+        rows = rows.unionByName(whole.join(few(several, FEW), keys).groupBy(*keys).agg(F.first("__row").alias("__row"), F.first("__n").alias("__n")).drop(*keys))
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), "__n")).alias("__copy")).select("__row.*")

@@ -69,3 +69,11 @@ def test_copies_are_rows(spark):
     assert out.count() == mixing.mix(df).selectExpr("sum(copies)").first()[0]
     assert out.where("size <> doc_id or rate <> 'r'").count() == 0
     assert mixing.mix(df).columns == ["doc_id", "source", "text", "rate", "key", "size", "source_size", "target", "copies"]
+
+
+def test_equal_rows_are_one_with_all_copies(spark):
+    rows = [(i % 40, "ab"[i % 2], "w " * (i % 5 + 1), None) for i in range(200)] + [(1000 + i, None, "x y z", "n") for i in range(20)] + [(None, "a", None, "q")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, note string").repartition(3)
+    out = mixing.repeat_copies(df)
+    assert out.count() == mixing.mix(df).selectExpr("sum(copies)").first()[0]
+    assert out.exceptAll(df.unionByName(df)).count() == 0 and out.where("text is null").count() == 0
