@@ -75,11 +75,17 @@ def body(text: Column) -> Column:
 
 
 def date(text: Column) -> Column:
-    """One of five formats (English month names), else a date found inside the text."""
+    """A date of one of five formats (English month names); one in digits may stand inside a text. A format is tried only
+    where the text has its shape, as a failed parse costs many times a match."""
     whole = F.trim(text)
-    tries = [F.try_to_timestamp(whole, F.lit(f)).cast("date") for f in DATES]
-    inside = [(r"(\d{1,2}/\d{1,2}/\d{4})", "d/M/yyyy"), (r"(\d{4}-\d{1,2}-\d{1,2})", "yyyy-M-d"), (r"(\d{1,2}-\d{1,2}-\d{4})", "d-M-yyyy")]
-    return F.coalesce(*tries, *[F.try_to_timestamp(found(text, p), F.lit(f)).cast("date") for p, f in inside])
+    parsed = lambda x, f: F.try_to_timestamp(x, F.lit(f)).cast("date")
+    slashes, year_first, day_first, day_month, month_day = DATES
+    return F.coalesce(
+        F.when(F.contains(text, F.lit("/")), parsed(found(text, r"(\d{1,2}/\d{1,2}/\d{4})"), slashes)),
+        F.when(F.contains(text, F.lit("-")), F.coalesce(parsed(found(text, r"(\d{4}-\d{1,2}-\d{1,2})"), year_first), parsed(found(text, r"(\d{1,2}-\d{1,2}-\d{4})"), day_first))),
+        F.when(whole.rlike(r"^\d+ \p{L}+ \d+$"), parsed(whole, day_month)),
+        F.when(whole.rlike(r"^\p{L}+ \d+, \d+$"), parsed(whole, month_day)),
+    )
 
 
 def brand(text: Column) -> Column:

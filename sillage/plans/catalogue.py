@@ -894,6 +894,18 @@ def scraped_products(spark, sf):
                         srnd(F.col("rating_avg"), 1).alias("rating_avg"), "rating_count", "refillable_flag", F.array_join("refill_evidence", ",").alias("refill_evidence"), "source_site", "image_url")
 
 
+#: Selectors for the given pages: their menus are lists of links, of which the first stands for the next page.
+_GIVEN = {"category": {"container": [".none", "nav li"], "product_links": ["a[href]"], "next": [".none", "nav a"]}}
+
+
+@query(with_(PAGES) + """, n AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM crawl_pages),
+    l AS (SELECT page_id, host, nullif(regexp_extract(nav, 'href="([^"]*)"', 1), '') AS first, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS text,
+    CAST(generate_subscripts(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1), 1) - 1 AS INT) AS pos FROM n)
+    SELECT page_id, pos, host || href AS link, trim(text) AS text, host || first AS next FROM l""")
+def scraped_links(spark, sf):
+    return scrape.scrape_categories(v.crawl_pages(spark, sf), _GIVEN)
+
+
 @query(with_(REVIEWS) + """, k AS (SELECT *, concat_ws('-', review_id, product_id, rating, helpful_count, verified_purchase, review_date) AS id FROM reviews WHERE rating <> 2) SELECT DISTINCT id AS review_id,
     CAST(product_id AS VARCHAR) AS product_id, 'https://shop.example/o/' || split_part(review_id, '-', 1) || '#review-' || id AS url, rating, CAST(helpful_count AS INT) AS helpful_count, verified_purchase,
     CAST(review_date AS VARCHAR) AS review_date FROM k""")

@@ -32,7 +32,8 @@ def test_size(spark, text, want):
 @pytest.mark.parametrize(
     "text,want",
     [("15/01/2024", (2024, 1, 15)), ("2024-1-5", (2024, 1, 5)), ("5-1-2024", (2024, 1, 5)), ("January 15, 2024", (2024, 1, 15)),
-     ("le 3/2/2023 !", (2023, 2, 3)), ("hier", None), ("32/01/2024", None)],
+     ("le 3/2/2023 !", (2023, 2, 3)), ("hier", None), ("32/01/2024", None), (" 7 March 2024 ", (2024, 3, 7)), ("7 Mars 2024", None),
+     ("a/b 2024-02-05", (2024, 2, 5)), ("x-y 05-02-2024.", (2024, 2, 5)), ("2024-13-01", None), ("June 31, 2024", None), (None, None)],
 )
 def test_date(spark, text, want):
     assert value(spark, scalars.date, text) == (want and datetime.date(*want))

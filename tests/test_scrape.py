@@ -79,3 +79,16 @@ def test_expired_files_go(spark, tmp_path):
     assert io.remove_expired(spark, str(tmp_path), "2000-01-01", 3) == 0
     assert io.remove_expired(spark, str(tmp_path), "2999-01-01", 3) == 2
     assert not list(tmp_path.glob("*.txt"))
+
+
+def test_category_pages(spark):
+    page = (
+        '<div class="product-card"><a class="product-link" href="/p/1">One</a></div><div class="product-card">none</div>'
+        '<div class="product-card"><b>x</b><a class="product-link" href="p/2?a=1"> Two  it </a></div><a class="next" href="?page=2">more</a>'
+    )
+    pages = spark.createDataFrame([(1, "https://h.example/c/", page), (2, "https://h.example/d", None), (3, None, page)], "page_id long, url string, html string")
+    rows = sorted(tuple(r) for r in scrape.scrape_categories(pages).collect())
+    assert rows[:2] == [
+        (1, 0, "https://h.example/p/1", "One", "https://h.example/c/?page=2"), (1, 2, "https://h.example/c/p/2?a=1", "Two it", "https://h.example/c/?page=2"),
+    ]
+    assert [r[:3] for r in rows[2:]] == [(3, 0, "/p/1"), (3, 2, "p/2?a=1")]
