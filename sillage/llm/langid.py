@@ -26,8 +26,9 @@ SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
 CELLS, LONG, LANGUAGES = 2_000_000, 400, 1_000
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN, START = "und", "▁"
-#: Log probability of a character that is no piece.
-ODD = -14.0
+#: Log probability of a character that is no piece; log likelihood by letter below which no learned language explains a
+#: text: those of a learned language have -1 to -3, those in a script that the vocabulary lacks come near ODD.
+ODD, FOREIGN = -14.0, -6.0
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -60,13 +61,13 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
     return pieces, n
 
 
-def lattice(words: list[str], pieces: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All edges (word, start, end, piece) of the words, START before each, and the words' lengths. Characters that
-    are no piece are edges of the piece n."""
+def lattice(words: list[str], pieces: dict[str, int], n: int, begins: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All edges (word, start, end, piece) of the words, START before each (or those that begin one), and the words'
+    lengths. Characters that are no piece are edges of the piece n."""
     get = pieces.get
     w_, s_, e_, p_, sizes = [], [], [], [], []
     for k, word in enumerate(words):
-        word = START + word
+        word = START + word if begins is None or begins[k] else word
         size = len(word)
         sizes.append(size)
         for i in range(size):
@@ -137,13 +138,14 @@ def lots(words: list[str], langs: int) -> Iterator[np.ndarray]:
 
 def fit_counts(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities, piece by language, from words and their counts by language. Words of more than LONG letters
-    are summed by parts, so that a table is bounded; all their letters count."""
+    are summed by parts, so that a table is bounded; all their letters count, and only the first part has START, so a long
+    word gives the pieces what a whole one does but for those across its seams."""
     pieces, n = vocabulary(path)
-    parts = [(w[k : k + LONG], i) for i, w in enumerate(words) for k in range(0, max(1, len(w)), LONG)]
-    words, counts = [w for w, _ in parts], counts[[i for _, i in parts]]
+    parts = [(w[k : k + LONG], i, k == 0) for i, w in enumerate(words) for k in range(0, max(1, len(w)), LONG)]
+    words, begins, counts = [w for w, _, _ in parts], [b for _, _, b in parts], counts[[i for _, i, _ in parts]]
     logp = np.full((n + 1, counts.shape[1]), -np.log(n))
     logp[n] = ODD
-    made = [(lattice([words[k] for k in lot], pieces, n), counts[lot]) for lot in lots(words, counts.shape[1])]
+    made = [(lattice([words[k] for k in lot], pieces, n, [begins[k] for k in lot]), counts[lot]) for lot in lots(words, counts.shape[1])]
     for _ in range(rounds):
         use = sum(expected(edges, logp, c, n) for edges, c in made) + PRIOR
         logp = np.log(use) - np.log(use.sum(0))
@@ -201,7 +203,7 @@ class Scorer:
         self.scores = np.zeros((1024, logp.shape[1]))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: log likelihoods, number of words."""
+        """Of each text: log likelihoods, number of letters, one more for each word."""
         split = [words_of(t) for t in texts]
         place = self.place
         new = list({w for ws in split for w in ws if w not in place})
@@ -222,7 +224,7 @@ class Scorer:
                 return more[w] if k is None else k
 
         out = np.array([table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0) for ws in split]).reshape(len(texts), self.logp.shape[1])
-        return out, np.array([len(ws) for ws in split])
+        return out, np.array([sum(map(len, ws)) + len(ws) for ws in split])
 
     def words(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.logp.shape[1]))
@@ -257,10 +259,10 @@ _SCORERS: dict = {}
 def identify(
     docs: DataFrame, langs: list[str], logp: np.ndarray, path: str | None = None, keep: list[str] | None = None
 ) -> DataFrame:
-    """(doc_id, text) to doc_id, held_out, lang_pred, score (the language's share of the likelihoods, 0 to 1); with
-    keep, to those columns, lang_pred and score.
+    """(doc_id, text) to doc_id, held_out, lang_pred, score (the language's share of the likelihoods, 0 to 1), fit (the
+    log likelihood under it by letter); with keep, to those columns, lang_pred, score and fit.
 
-    Null text, a text without letters, or a model without languages: lang_pred `und`, score 0. Ties go to the first
+    Null text, a text without letters, or a model without languages: lang_pred `und`, score and fit 0. Ties go to the first
     language by name. Repeated rows are judged alike; whole texts count, however long; without keep, further columns
     are ignored whatever their names; an empty table gives no rows.
     """
@@ -279,19 +281,20 @@ def identify(
             for k in range(0, b.num_rows, BLOCK):
                 part = b.slice(k, BLOCK)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                pred, score, fit = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if langs:
                     found, n = scorer.texts(texts)
                     top = found.max(1, keepdims=True)
                     share = 1 / np.exp(found - top).sum(1)
                     pred = [langs[i] if m else UNKNOWN for i, m in zip(found.argmax(1), n, strict=True)]
                     score = np.where(n > 0, share, 0.0)
+                    fit = np.where(n > 0, top[:, 0] / np.maximum(n, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in passed), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                    names=[*passed, "lang_pred", "score"],
+                    [*(part.column(c) for c in passed), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())],
+                    names=[*passed, "lang_pred", "score", "fit"],
                 )
 
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, fit double")
 
 
 def detect(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> DataFrame:

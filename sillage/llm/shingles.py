@@ -34,8 +34,8 @@ BAND = 2.5
 SMALL, FEW_SUBS, SUBS, SPARE = 64, 3, 2, 1
 #: Documents of the sample in which an element must occur COMMON times to be left out of the first domain.
 SAMPLE, COMMON = 8_000, 4
-#: Classes of the sample in which a signature must occur to be dealt out by salts.
-HOT = 16
+#: Classes above which a signature is dealt out by salts.
+HOT = 4_096
 #: Domains tried before empty projections count too; salts that a hot set's comparisons are dealt out by.
 LEVELS, SALTS = 8, 16
 #: Bits of the parity vector by which pairs are sifted before their texts are fetched.
@@ -215,17 +215,16 @@ def _infos(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, parity array<bigint>, sigs array<bigint>")
 
 
-def _met(reps: DataFrame, documents: int) -> DataFrame:
-    """(key, id, n, size, lead, lead_n) of the signatures that several classes share, the lead one of these.
+def _met(reps: DataFrame) -> DataFrame:
+    """(key, id, n, size, lead, lead_n) of the signatures that several classes share, the lead the smallest of these.
 
-    Signatures that a bounded sample found in a good share of all classes are dealt out by salts and led by a class of
-    the sample: none of those is alone. The sample affects how rows are dealt, never which are kept."""
-    share = min(1.0, SAMPLE / max(1, documents))
+    Signatures are counted first, narrow and by partial aggregates; one that more than HOT classes share is dealt out by as
+    many salts as its count holds HOT, its count and lead being known, so no task has more than some HOT rows of it."""
     rows = reps.select("id", "n", F.explode("sigs").alias("key"))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("id", "n")).alias("first"))
-    hot = cut(hot.where(F.col("seen") >= HOT))  # at most the sample's signatures / HOT
-    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("id", "n")).alias("first"))
+    hot = cut(counted.where(F.col("seen") > HOT))
+    dealt = rows.join(few(hot, FEW), "key", "left")
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("seen") / HOT)), F.lit(0)))
     bucket = Window.partitionBy("key", "salt")
     lead = F.coalesce("first", F.min(F.struct("id", "n")).over(bucket)).alias("lead")
     size = F.coalesce("seen", F.count(F.lit(1)).over(bucket)).alias("size")
@@ -233,7 +232,7 @@ def _met(reps: DataFrame, documents: int) -> DataFrame:
     return cut(met.select("key", "id", "n", "size", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
 
 
-#: Ids of the documents whose texts are compared, up to which they are broadcast to the texts.
+#: Rows up to which tables of ids, or of hot signatures, are broadcast.
 FEW = 500_000
 
 
@@ -307,7 +306,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = cut(own.where("uid <> id").select("uid"))
     reps = real.join(few(copies, FEW), "uid", "left_anti").withColumnRenamed("uid", "id")
 
-    met = _met(reps, classes.count())
+    met = _met(reps)
     near = lambda a, b: 100 * F.least(a("n"), b("n")) >= SHARE * F.greatest(a("n"), b("n"))
     half = PARITY // 64 // FOLDED
     folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i + k * FOLDED)) for k in range(half)]).alias(f"p{i}") for i in range(FOLDED)]

@@ -92,3 +92,20 @@ def test_clashing_columns_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
     out = langid.detect(df).collect()
     assert len(out) == 42 and {(r["doc_id"] % 2, r["lang_pred"]) for r in out} == {(0, "en"), (1, "fr")}
+
+
+def test_long_words_give_the_pieces_what_short_ones_do():
+    """A word of several parts has one start piece, as the words that it is made of would not."""
+    pieces, n = langid.vocabulary(langid.vocabulary_path())
+    word = "harbour" * 200
+    one = langid.lattice([word[:400], word[400:800]], pieces, n, [True, False])
+    assert one[4].tolist() == [401, 400]
+    both = langid.fit_counts([word, "wind"], np.array([[1.0, 0.0], [0.0, 1.0]]), langid.vocabulary_path())
+    start = pieces[langid.START]
+    assert both.shape == (n + 1, 2) and np.isfinite(both).all() and both[start, 0] < -2
+
+
+def test_fit_tells_foreign_scripts(spark):
+    rows = [(i, "the boats came back at noon and nobody saw the storm", "en") for i in range(40)] + [(1000, "港の船は正午に戻った誰も嵐を見なかった", None), (1002, "boats and storms", None), (1003, None, None)]
+    got = {r["doc_id"]: r["fit"] for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] < langid.FOREIGN and got[1002] > langid.FOREIGN and got[1003] == 0

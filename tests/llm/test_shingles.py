@@ -106,7 +106,7 @@ def test_many_equal_and_empty_texts_emit_once(spark, monkeypatch):
     rows = [(i, None) for i in range(300)] + [(1000 + i, " \n") for i in range(300)] + [(2000 + i, same) for i in range(300)]
     emitted = []
     made = shingles._met
-    monkeypatch.setattr(shingles, "_met", lambda reps, n: (emitted.append(reps.count()), made(reps, n))[1])
+    monkeypatch.setattr(shingles, "_met", lambda *a: (emitted.append(a[0].count()), made(*a))[1])
     got = result(spark, rows)
     assert emitted == [1]
     assert all(got[d] == (36, 2000) for d, t in rows if t == same)
@@ -119,3 +119,13 @@ def test_long_text_and_clashing_columns(spark):
     df = spark.createDataFrame([(5, long, "k", 1, 2), (4, near, "l", 3, 4)], "doc_id long, text string, key string, id int, n int")
     out = sorted((r["doc_id"], r["component_id"]) for r in shingles.jaccard_components(df).collect())
     assert out == [(4, 4), (5, 4)]
+
+
+def test_hot_signatures_are_dealt_by_their_count(spark, monkeypatch):
+    """Near copies of one text share signatures; dealt out by salts they have the same links."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:60], f"x{i}", *base[61:]])) for i in range(300)] + [(1000, " ".join(base)), (1001, "a b c d e f g h")]
+    want = result(spark, rows)
+    assert {c for _, c in want.values()} == {0, 1001}
+    monkeypatch.setattr(shingles, "HOT", 8)
+    assert result(spark, rows) == want
