@@ -608,6 +608,21 @@ def feature_matrix(spark, sf):
     return m.select("product_id", *[srnd(F.col(c), 3).alias(c) for c in _COLS])
 
 
+_MORE = {
+    "verified_ratio": "coalesce(verified_ratio, 0)", "availability_rate": "1.0", "eco_badge_count": "len(refill_evidence)",
+    "brand_refill_share": "avg(CASE WHEN refillable_flag THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY brand)",
+}
+
+
+@query(with_(PRODUCTS, TIERS, CLASSIFIED, REVIEWS) + f""", b AS (SELECT product_id, avg(CAST(verified_purchase AS INT)) AS verified_ratio FROM reviews GROUP BY 1),
+    f AS (SELECT c.product_id, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in _MORE.items())} FROM classified c LEFT JOIN b USING (product_id))
+    SELECT product_id, {', '.join(rnd(f'CASE WHEN stddev_pop({n}) OVER () > 1e-12 THEN ({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER () ELSE 0 END', 3) + f' AS {n}' for n in _MORE)} FROM f""")
+def feature_matrix_rest(spark, sf):
+    """The columns of the numeric blocks that the SQL of feature_matrix leaves out."""
+    m = features.matrix(v.products(spark, sf), classified(spark, sf), v.reviews(spark, sf), AS_OF)
+    return m.select("product_id", *[srnd(F.col(c), 3).alias(c) for c in _MORE])
+
+
 @query()
 def feature_matrix_full(spark, sf):
     """All columns, with those that the SQL of feature_matrix leaves out and the text block."""

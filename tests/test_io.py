@@ -65,9 +65,20 @@ def test_no_duplicates_is_no_violation(spark):
     assert (row["duplicates"], row["percentage"], row["flagged"]) == (0, 0.0, False)
 
 
-def test_cli(capsys):
+def test_cli(spark, sf_dir, tmp_path, capsys):
     assert cli.main(["list"]) == 0
     assert "luxury_classification" in capsys.readouterr().out
+    bronze, silver = f"{tmp_path}/bronze", f"{tmp_path}/silver"
+    spark.sql("SELECT 'p1' AS product_id, 'a' AS site, 5.0D AS price_value").write.parquet(f"{bronze}/a_products.parquet")
+    spark.sql("SELECT 'p2' AS product_id, 'b' AS site").write.parquet(f"{bronze}/b_products.parquet")
+    for _ in range(2):
+        assert cli.main(["normalize", bronze, silver]) == 0
+    out = spark.read.parquet(f"{silver}/products.parquet")
+    assert sorted((r["product_id"], r["price_value"], r["site"]) for r in out.collect()) == [("p1", 5.0, "a"), ("p2", None, "b")]
+    assert cli.main(["validate", sf_dir]) == 1 and "FAIL" in capsys.readouterr().out
+    assert cli.main(["run", "price_gap_uniformity", sf_dir, "--out", f"{tmp_path}/gaps"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/gaps").count() == 1
+    assert cli.main(["status", str(tmp_path)]) == 0 and "| parquet |" in capsys.readouterr().out
 
 
 def _broken(df):
