@@ -135,7 +135,8 @@ def format_turns(events: DataFrame) -> DataFrame:
     for roles other than assistant). Concatenated by position, formatted is the training text of the conversation.
 
     Null ids and turns group as values of their own and sort first; null texts and roles count as empty; rows that
-    repeat are messages of their own; rows of one turn go by (seq, kind, role, text). An empty log gives no rows.
+    repeat are messages of their own; rows of one turn go by (seq, kind, role, text), equal ones in any order. Texts are
+    whole however long: a task holds one message at a time. Further columns are ignored. An empty log gives no rows.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

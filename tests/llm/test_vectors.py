@@ -67,3 +67,19 @@ def test_edges(spark):
     assert got[7] == (2, 7, True) and got[8] == got[9] == (2, 7, False)
     assert got[None] == (0, None, False)
     assert result(spark, []) == {}
+
+
+def test_registered_query_on_a_table_with_links(spark, tmp_path):
+    """The given tables hold no pair at 0.9; here a third of the rows are near copies of one vector."""
+    from sillage.llm.queries import QUERIES
+
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((300, 64))
+    rows = [(i, (centres[r.integers(300)] + 0.25 * r.standard_normal(64)).tolist(), 1) for i in range(2000)]
+    rows += [(2000 + i, (centres[0] + 0.1 * r.standard_normal(64)).tolist(), 2) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in QUERIES["op8_embedding_near_dedup"](spark, str(tmp_path)).collect()}
+    want = brute([(i, v) for i, v, _ in rows])
+    links = sum(n for n, _, _ in want.values())
+    assert links > 900_000 and sum(n for n, _, _ in out.values()) >= 0.99 * links
+    assert sum(out[i][1:] == want[i][1:] for i in want) >= 0.99 * len(rows)
