@@ -3,14 +3,14 @@
 Every language has a probability for each piece of a fixed public vocabulary, fit by expectation maximisation over all
 segmentations of the words of a bounded labelled sample. A text's likelihood under a language is the product over its
 words of the sum over all segmentations, which a forward pass computes for all languages and many words at once.
-Map-only but for the fit: a worker holds a block of texts and the scores of the words it met first.
+The fit's expectations are taken by tasks, whose sums alone come to the driver. Scoring is map-only: a worker holds a block of texts and the scores of the words it met first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.common import cut, drop_cut
+
 #: Documents per language, about, that the pieces are fit on; rounds of expectation maximisation; the counts that
 #: each piece has beforehand; words whose scores a worker keeps; texts of a block.
 SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
@@ -26,6 +28,8 @@ SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
 CELLS, LONG, LANGUAGES = 2_000_000, 400, 1_000
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN, START = "und", "▁"
+#: Parts of a use that are told apart when tasks' sums meet.
+FINE = 1 << 24
 #: Log probability of a character that is no piece; log likelihood by letter below which no learned language explains a
 #: text: those of a learned language have -1 to -3, those in a script that the vocabulary lacks come near ODD.
 ODD, FOREIGN = -14.0, -6.0
@@ -136,23 +140,38 @@ def lots(words: list[str], langs: int) -> Iterator[np.ndarray]:
         at = stop
 
 
-def fit_counts(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities, piece by language, from words and their counts by language. Words of more than LONG letters
-    are summed by parts, so that a table is bounded; all their letters count, and only the first part has START, so a long
-    word gives the pieces what a whole one does but for those across its seams."""
+def uses(words: list[str], counts: np.ndarray, logp: np.ndarray, path: str) -> np.ndarray:
+    """Expected uses of each piece by language, from words and their counts by language. Words of more than LONG letters are
+    summed by parts, so that a table is bounded; all their letters count, and only the first part has START, so a long word
+    gives the pieces what a whole one does but for those across its seams."""
     pieces, n = vocabulary(path)
     parts = [(w[k : k + LONG], i, k == 0) for i, w in enumerate(words) for k in range(0, max(1, len(w)), LONG)]
     words, begins, counts = [w for w, _, _ in parts], [b for _, _, b in parts], counts[[i for _, i, _ in parts]]
-    logp = np.full((n + 1, counts.shape[1]), -np.log(n))
+    out = np.zeros((n + 1, counts.shape[1]))
+    for lot in lots(words, counts.shape[1]):
+        for k in range(0, len(lot), 5000):
+            part = lot[k : k + 5000]
+            out += expected(lattice([words[i] for i in part], pieces, n, [begins[i] for i in part]), logp, counts[part], n)
+    return out
+
+
+def maximise(langs: int, path: str, used: Callable[[np.ndarray], np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities, piece by language, by expectation maximisation; used: from these to the expected uses."""
+    _, n = vocabulary(path)
+    logp = np.full((n + 1, langs), -np.log(n))
     logp[n] = ODD
-    made = [(lattice([words[k] for k in lot], pieces, n, [begins[k] for k in lot]), counts[lot]) for lot in lots(words, counts.shape[1])]
     for _ in range(rounds):
-        use = sum(expected(edges, logp, c, n) for edges, c in made) + PRIOR
+        use = used(logp) + PRIOR
         logp = np.log(use) - np.log(use.sum(0))
         logp[n] = ODD  # a foreign character tells as little under every language
     return logp
 
 
+def fit_counts(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The same from words and their counts by language that are at hand."""
+    return maximise(counts.shape[1], path, lambda logp: uses(words, counts, logp, path), rounds)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -161,7 +180,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple
     """Languages and the model, from documents (doc_id, text, lang) that are not held out, have a language and a
     text. Fit on about `sample` documents of each language, whole, chosen by a hash of doc_id. More than LANGUAGES
     languages are an error."""
-    path = path or vocabulary_path()
+    given, path = path, path or vocabulary_path()
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
@@ -180,18 +199,34 @@ def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.string())], names=["lang", "word"])
 
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", "text")
-    found = few.mapInArrow(count, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    words, number = [], {}
-    at = []
-    for w in found.column("word").to_pylist():
-        if w not in number:
-            number[w] = len(words)
-            words.append(w)
-        at.append(number[w])
-    counts = np.zeros((len(words), len(langs)))
+    each = few.mapInArrow(count, "lang string, word string").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
+    table = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))  # LANGUAGES at most
+    table = cut(table.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word").sortWithinPartitions("word"))
     place = {x: k for k, x in enumerate(langs)}
-    counts[at, [place[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
-    return langs, fit_counts(words, counts, path)
+
+    def used(logp: np.ndarray) -> np.ndarray:
+        """The tasks' sums of uses, as whole numbers of 1 / FINE, which add up alike in any order."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(logp.shape)
+            for b in batches:
+                words, by = b.column(0).to_pylist(), b.column(1)
+                counts = np.zeros((len(words), len(langs)))
+                told = by.flatten()
+                at = np.repeat(np.arange(len(words)), np.diff(by.offsets.to_numpy()))
+                counts[at, [place[x] for x in told.field("lang").to_pylist()]] = told.field("n").to_numpy()
+                out += np.rint(FINE * uses(words, counts, logp, given or vocabulary_path())) if words else 0
+            p, k = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(out[p, k].astype(np.int64))], names=["piece", "lang", "n"])
+
+        found = table.mapInArrow(run, "piece int, lang int, n bigint").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(logp.shape)
+        out[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy() / FINE
+        return out
+
+    logp = maximise(len(langs), path, used)
+    drop_cut(table)
+    return langs, logp
 
 
 class Scorer:
