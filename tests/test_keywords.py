@@ -27,3 +27,20 @@ def test_many_keywords(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     rows = found.collect()
     assert len(rows) == texts.count() and all(q["k"] == q["id"] for q in rows)
+
+
+def test_texts_are_never_broadcast(spark, tmp_path):
+    """Many texts in a small file: their grams must not go to the driver, whether keywords are few or not."""
+    spark.range(200_000).select("id", F.lit("a red ring").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    words = spark.createDataFrame([("red",), ("ring",), ("rod",)], "word string")
+    few, was = keywords.FEW, []
+    try:
+        for keywords.FEW in (few, 2):
+            for found in (keywords.hits(texts, "id", "text", words, "word"), keywords.containing(texts, "id", "text", words, "word")):
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert "BuildLeft" not in plan and ("BuildRight" in plan) == (keywords.FEW == few)
+                was.append(found.count())
+    finally:
+        keywords.FEW = few
+    assert was == [400_000, 200_000] * 2
