@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Every language has a probability for each piece of a fixed public vocabulary, fit by expectation maximisation over all
-segmentations of the words of a bounded labelled sample. A text's likelihood under a language is the product over its
+segmentations of the words of all labelled documents. A text's likelihood under a language is the product over its
 words of the sum over all segmentations, which a forward pass computes for all languages and many words at once.
 The fit's expectations are taken by tasks, whose sums alone come to the driver. Scoring is map-only: a worker holds a block of texts and the scores of the words it met first.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 
 from sillage.llm.common import cut, drop_cut
 
-#: Documents per language, about, that the pieces are fit on; rounds of expectation maximisation; the counts that
-#: each piece has beforehand; words whose scores a worker keeps; texts of a block.
-SAMPLE, ROUNDS, PRIOR, KEPT, BLOCK = 150, 4, 0.1, 250_000, 256
+#: Rounds of expectation maximisation; the counts that each piece has beforehand; words whose scores a worker keeps;
+#: texts of a block.
+ROUNDS, PRIOR, KEPT, BLOCK = 4, 0.1, 250_000, 256
+#: Letters, with START, up to which a word is summed in plain probabilities (each at least some 1e-11 a letter), and the
+#: least sum that is taken from these.
+SHORT, TINY = 25, 1e-280
 #: Sums (word, position, language) that a table of the forward pass holds; letters from which on a word is summed by
 #: itself, in a window (when scoring) or by parts of so many letters (when fitting); languages that a model may have.
 CELLS, LONG, LANGUAGES = 2_000_000, 400, 1_000
@@ -102,6 +106,30 @@ def _passes(w, s, e) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(key)) + 1)
 
 
+def _short(sizes: np.ndarray) -> bool:
+    return bool(len(sizes)) and int(sizes.max()) <= SHORT
+
+
+def _sums(edges, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """forward() in plain probabilities, which words of SHORT letters do not exhaust."""
+    w, s, e, p, sizes = edges
+    alpha = np.zeros((len(sizes), sizes.max() + 1, prob.shape[1]))
+    alpha[:, 0] = 1
+    for lot in _passes(w, s, e):
+        a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
+        alpha[a, c] += alpha[a, b] * prob[p[lot]]
+    return alpha, alpha[np.arange(len(sizes)), sizes]
+
+
+def likelihoods(edges, logp: np.ndarray) -> np.ndarray:
+    """Log likelihoods by word and language, as forward() has them."""
+    if _short(edges[4]):
+        total = _sums(edges, np.exp(logp))[1]
+        if (total > TINY).all():
+            return np.log(total)
+    return forward(edges, logp)[1]
+
+
 def forward(edges, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(scaled sums by word and position, log likelihoods by word and language). logp: piece by language."""
     w, s, e, p, sizes = edges
@@ -118,6 +146,17 @@ def forward(edges, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def expected(edges, logp: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """Expected uses of each piece by language (forward and backward), counts: word by language."""
     w, s, e, p, sizes = edges
+    if _short(sizes):
+        prob = np.exp(logp)
+        alpha, total = _sums(edges, prob)
+        if (total > TINY).all():
+            beta = np.zeros_like(alpha)
+            beta[np.arange(len(sizes)), sizes] = 1
+            for lot in _passes(w, -e, -s):
+                a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
+                beta[a, b] += beta[a, c] * prob[p[lot]]
+            use = alpha[w, s] * prob[p] * beta[w, e] * (counts / total)[w]
+            return np.stack([np.bincount(p, use[:, k], n + 1) for k in range(logp.shape[1])], axis=1)
     alpha, total = forward(edges, logp)
     beta = np.full_like(alpha, -np.inf)
     beta[np.arange(len(sizes)), sizes] = 0
@@ -176,10 +215,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, sample: int | None = None, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and the model, from documents (doc_id, text, lang) that are not held out, have a language and a
-    text. Fit on about `sample` documents of each language, whole, chosen by a hash of doc_id. More than LANGUAGES
-    languages are an error."""
+    text: from all of them, or with `sample` from about so many of each language, whole, chosen by a hash of doc_id. More
+    than LANGUAGES languages are an error."""
     given, path = path, path or vocabulary_path()
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
@@ -189,17 +228,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple
     if not langs:
         return [], np.zeros((1, 0))
     share = F.lit(0)
-    for lang in langs:
+    for lang in langs if sample else ():
         share = F.when(F.col("lang") == lang, int(min(1.0, sample / sizes[lang]) * (1 << 20))).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = words_of(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.string())], names=["lang", "word"])
-
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", "text")
-    each = few.mapInArrow(count, "lang string, word string").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
+            for k in range(0, b.num_rows, BLOCK):
+                by: dict[str, Counter] = {}
+                part = b.slice(k, BLOCK)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    by.setdefault(lang, Counter()).update(words_of(text.as_py()))
+                for lang, found in by.items():
+                    cols = [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "word", "n"])
+
+    learnt = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share) if sample else known
+    each = learnt.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     table = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))  # LANGUAGES at most
     table = cut(table.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word").sortWithinPartitions("word"))
     place = {x: k for k, x in enumerate(langs)}
@@ -208,16 +252,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> tuple
         """The tasks' sums of uses, as whole numbers of 1 / FINE, which add up alike in any order."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(logp.shape)
+            out = np.zeros(logp.shape, np.int64)
             for b in batches:
                 words, by = b.column(0).to_pylist(), b.column(1)
                 counts = np.zeros((len(words), len(langs)))
                 told = by.flatten()
                 at = np.repeat(np.arange(len(words)), np.diff(by.offsets.to_numpy()))
                 counts[at, [place[x] for x in told.field("lang").to_pylist()]] = told.field("n").to_numpy()
-                out += np.rint(FINE * uses(words, counts, logp, given or vocabulary_path())) if words else 0
+                if words:
+                    out += np.rint(FINE * uses(words, counts, logp, given or vocabulary_path())).astype(np.int64)
             p, k = np.nonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(out[p, k].astype(np.int64))], names=["piece", "lang", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(out[p, k])], names=["piece", "lang", "n"])
 
         found = table.mapInArrow(run, "piece int, lang int, n bigint").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(logp.shape)
@@ -267,7 +312,7 @@ class Scorer:
         for lot in lots([words[k] for k in short], self.logp.shape[1]):  # words of like lengths share a table
             at = [short[k] for k in lot]
             for part in (at[k : k + 2000] for k in range(0, len(at), 2000)):
-                out[part] = forward(lattice([words[k] for k in part], self.pieces, self.n), self.logp)[1]
+                out[part] = likelihoods(lattice([words[k] for k in part], self.pieces, self.n), self.logp)
         for k, w in enumerate(words):
             if len(w) > LONG:
                 out[k] = self.long(w)
@@ -332,7 +377,7 @@ def identify(
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, fit double")
 
 
-def detect(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> DataFrame:
+def detect(docs: DataFrame, sample: int | None = None, path: str | None = None) -> DataFrame:
     """fit() on docs (doc_id, text, lang), then identify() all of them."""
     langs, logp = fit(docs, sample, path)
     return identify(docs, langs, logp, path)

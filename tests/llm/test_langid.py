@@ -1,4 +1,6 @@
+import zlib
 import numpy as np
+import zlib
 import pytest
 
 from sillage.llm import langid
@@ -109,3 +111,34 @@ def test_fit_tells_foreign_scripts(spark):
     rows = [(i, "the boats came back at noon and nobody saw the storm", "en") for i in range(40)] + [(1000, "港の船は正午に戻った誰も嵐を見なかった", None), (1002, "boats and storms", None), (1003, None, None)]
     got = {r["doc_id"]: r["fit"] for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[1000] < langid.FOREIGN and got[1002] > langid.FOREIGN and got[1003] == 0
+
+
+def test_fit_learns_from_every_document(spark):
+    """Far more documents than a sample would take, of which each has a word of its own."""
+    docs = [(i, f"gemeinsam wort{chr(97 + i % 26) * (1 + i % 7)}x {'haus' if i % 2 else 'maison'} eigen{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}", "de" if i % 2 else "fr") for i in range(1200)]
+    docs += [(5000, None, "de"), (5001, "text", None), (5002, "gemeinsam " * 3 + "x" * 30, "fr")]
+    langs, logp = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    by = {}
+    for i, text, lang in docs:
+        if text and lang and zlib.crc32(str(i).encode()) % 5:
+            for w in langid.words_of(text):
+                by.setdefault(w, [0, 0])[langs.index(lang)] += 1
+    words = sorted(by)
+    want = langid.fit_counts(words, np.array([by[w] for w in words], float), langid.vocabulary_path())
+    assert np.abs(logp - want).max() < 1e-4
+
+
+def test_plain_sums_are_the_logarithmic_ones():
+    pieces, n = langid.vocabulary(langid.vocabulary_path())
+    r = np.random.default_rng(5)
+    logp = np.log(r.dirichlet(np.full(n + 1, 0.02), 3).T + 1e-11)
+    words = ["a", "maison", "äöü", "жук", "internationalisation", "zq" * 12]
+    counts = r.random((len(words), 3)) * 1e6
+    edges = langid.lattice(words, pieces, n)
+    short, few = langid.expected(edges, logp, counts, n), langid.likelihoods(edges, logp)
+    was, langid.SHORT = langid.SHORT, 0
+    try:
+        whole = langid.expected(edges, logp, counts, n)
+        assert np.allclose(short, whole, rtol=1e-9) and np.allclose(few, langid.likelihoods(edges, logp), rtol=1e-12)
+    finally:
+        langid.SHORT = was
