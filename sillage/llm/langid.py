@@ -12,7 +12,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,16 @@ FINE = 1 << 24
 #: text: those of a learned language have -1 to -3, those in a script that the vocabulary lacks come near ODD.
 ODD, FOREIGN = -14.0, -6.0
 _WORD = re.compile(r"[^\W\d_]+").findall
+#: What stands between words of ASCII letters.
+_APART = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case."""
-    return [w for w in _WORD(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    text = text.lower()
+    if text.isascii():
+        return text.translate(_APART).split()
+    return [w for w in _WORD(text) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -51,13 +56,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """Each piece's number, -1 for strings that only begin pieces."""
+
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps (string << 21 | next character) in order, the string that each leads to, and its number."""
+        place = {"": 0} | {p: k for k, p in enumerate(self, 1)}
+        steps = np.array([place[p[:-1]] << 21 | ord(p[-1]) for p in self], np.int64)
+        order = np.argsort(steps)
+        return steps[order], order + 1, np.fromiter(self.values(), np.int64, len(self))[order]
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Each piece's number, -1 for strings that only begin pieces; the number of pieces."""
+def vocabulary(path: str) -> tuple[Pieces, int]:
+    """The pieces and their number."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces: dict[str, int] = {}
+    pieces = Pieces()
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and any(map(str.isalpha, p)) or p == START:
@@ -69,41 +86,43 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
     return pieces, n
 
 
-def lattice(words: list[str], pieces: dict[str, int], n: int, begins: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All edges (word, start, end, piece) of the words, START before each (or those that begin one), and the words'
-    lengths. Characters that are no piece are edges of the piece n."""
-    get = pieces.get
-    w_, s_, e_, p_, sizes = [], [], [], [], []
-    for k, word in enumerate(words):
-        word = START + word if begins is None or begins[k] else word
-        size = len(word)
-        sizes.append(size)
-        for i in range(size):
-            j = i + 1
-            p = get(word[i:j])
-            if p is None or p < 0:
-                w_.append(k)
-                s_.append(i)
-                e_.append(j)
-                p_.append(n)
-            while p is not None:
-                if p >= 0:
-                    w_.append(k)
-                    s_.append(i)
-                    e_.append(j)
-                    p_.append(p)
-                j += 1
-                if j > size:
-                    break
-                p = get(word[i:j])
-    return tuple(np.array(x, np.int64) for x in (w_, s_, e_, p_, sizes))
-
-
-def _passes(w, s, e) -> Iterator[np.ndarray]:
-    """Edges by end, then length: within one lot no (word, end) comes twice."""
-    order = np.lexsort((s, e))
-    key = e[order] * 4096 + s[order]
-    yield from np.split(order, np.flatnonzero(np.diff(key)) + 1)
+def lattice(words: list[str], pieces: Pieces, n: int, begins: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All edges (word, start, end, piece) of the words by start, then end, START before each (or those that begin one), and
+    the words' lengths. Characters that are no piece are edges of the piece n. All words take a step of the trie at once."""
+    words = [START + w if begins is None or begins[k] else w for k, w in enumerate(words)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    width = int(sizes.max()) if len(sizes) else 0
+    chars = np.array(words, f"<U{max(1, width)}").view(np.uint32).reshape(len(words), max(1, width)).T.astype(np.int64)
+    steps, leads, numbers = pieces.trie
+    found = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for i in range(width):
+        w = np.flatnonzero(sizes > i)
+        key = chars[i][w]
+        for j in range(i + 1, width + 1):
+            at = np.searchsorted(steps, key)
+            at[at == len(steps)] = 0
+            known = steps[at] == key
+            p = np.where(known, numbers[at], -1)
+            if j == i + 1:
+                of, p = w, np.where(p < 0, n, p)
+            else:
+                of, p = w[p >= 0], p[p >= 0]
+            for out, x in zip(found, (of, np.full(len(of), i), np.full(len(of), j), p)):
+                out.append(x)
+            known &= sizes[w] > j
+            w, at = w[known], at[known]
+            if not len(w):
+                break
+            key = leads[at] << 21 | chars[j][w]
+    return (*(np.concatenate(x) for x in found), sizes)
+
+
+def _passes(s: np.ndarray, e: np.ndarray) -> list[slice]:
+    """Edges of one start and end, by start: within one lot no word comes twice, and all that ends where it starts is in
+    lots before it."""
+    cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(e) != 0)) + 1
+    ends = [0, *cuts.tolist(), len(s)]
+    return [slice(a, b) for a, b in zip(ends, ends[1:]) if a < b]
 
 
 def _short(sizes: np.ndarray) -> bool:
@@ -111,14 +130,14 @@ def _short(sizes: np.ndarray) -> bool:
 
 
 def _sums(edges, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """forward() in plain probabilities, which words of SHORT letters do not exhaust."""
+    """forward() in plain probabilities, which words of SHORT letters do not exhaust; sums by position and word."""
     w, s, e, p, sizes = edges
-    alpha = np.zeros((len(sizes), sizes.max() + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for lot in _passes(w, s, e):
-        a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
-        alpha[a, c] += alpha[a, b] * prob[p[lot]]
-    return alpha, alpha[np.arange(len(sizes)), sizes]
+    alpha = np.zeros((sizes.max() + 1, len(sizes), prob.shape[1]))
+    alpha[0] = 1
+    for lot in _passes(s, e):
+        a, b, c = w[lot], int(s[lot.start]), int(e[lot.start])
+        alpha[c][a] += alpha[b].take(a, 0) * prob.take(p[lot], 0)
+    return alpha, alpha[sizes, np.arange(len(sizes))]
 
 
 def likelihoods(edges, logp: np.ndarray) -> np.ndarray:
@@ -136,10 +155,9 @@ def forward(edges, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     langs = logp.shape[1]
     alpha = np.full((len(sizes), sizes.max() + 1 if len(sizes) else 1, langs), -np.inf)
     alpha[:, 0] = 0
-    if len(w):
-        for lot in _passes(w, s, e):
-            a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
-            alpha[a, c] = np.logaddexp(alpha[a, c], alpha[a, b] + logp[p[lot]])
+    for lot in _passes(s, e):
+        a, b, c = w[lot], int(s[lot.start]), int(e[lot.start])
+        alpha[a, c] = np.logaddexp(alpha[a, c], alpha[a, b] + logp[p[lot]])
     return alpha, alpha[np.arange(len(sizes)), sizes]
 
 
@@ -150,18 +168,19 @@ def expected(edges, logp: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         prob = np.exp(logp)
         alpha, total = _sums(edges, prob)
         if (total > TINY).all():
-            beta = np.zeros_like(alpha)
-            beta[np.arange(len(sizes)), sizes] = 1
-            for lot in _passes(w, -e, -s):
-                a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
-                beta[a, b] += beta[a, c] * prob[p[lot]]
-            use = alpha[w, s] * prob[p] * beta[w, e] * (counts / total)[w]
+            beta, use = np.zeros_like(alpha), np.empty((len(w), prob.shape[1]))
+            beta[sizes, np.arange(len(sizes))] = counts / total
+            for lot in reversed(_passes(s, e)):
+                a, b, c = w[lot], int(s[lot.start]), int(e[lot.start])
+                part = beta[c].take(a, 0) * prob.take(p[lot], 0)
+                beta[b][a] += part
+                use[lot] = alpha[b].take(a, 0) * part
             return np.stack([np.bincount(p, use[:, k], n + 1) for k in range(logp.shape[1])], axis=1)
     alpha, total = forward(edges, logp)
     beta = np.full_like(alpha, -np.inf)
     beta[np.arange(len(sizes)), sizes] = 0
-    for lot in _passes(w, -e, -s):
-        a, b, c = w[lot], int(s[lot[0]]), int(e[lot[0]])
+    for lot in reversed(_passes(s, e)):
+        a, b, c = w[lot], int(s[lot.start]), int(e[lot.start])
         beta[a, b] = np.logaddexp(beta[a, b], beta[a, c] + logp[p[lot]])
     use = np.exp(alpha[w, s] + logp[p] + beta[w, e] - total[w]) * counts[w]
     return np.stack([np.bincount(p, use[:, k], n + 1) for k in range(logp.shape[1])], axis=1)

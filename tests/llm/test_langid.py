@@ -142,3 +142,33 @@ def test_plain_sums_are_the_logarithmic_ones():
         assert np.allclose(short, whole, rtol=1e-9) and np.allclose(few, langid.likelihoods(edges, logp), rtol=1e-12)
     finally:
         langid.SHORT = was
+
+
+def test_lattice_takes_the_steps_of_all_words_at_once():
+    """No piece is looked up by itself, and the edges are those of a plain search, by start, then end."""
+    pieces, n = langid.vocabulary(langid.vocabulary_path())
+    words, begins = ["maison", "a", "äöü", "жук", "日本語", "internationalisation", "zq" * 300], [True, False, True, True, True, False, True]
+    want = []
+    for k, word in enumerate(words):
+        word = langid.START * begins[k] + word
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                p = pieces.get(word[i:j])
+                if p is None or p < 0:
+                    want += [(i, j, k, n)] if j == i + 1 else []
+                else:
+                    want.append((i, j, k, p))
+
+    class Whole(langid.Pieces):
+        def get(self, *_):
+            raise AssertionError("one by one")
+
+    w, s, e, p, sizes = langid.lattice(words, Whole(pieces), n, begins)
+    assert list(zip(*(x.tolist() for x in (s, e, w, p)))) == sorted(want)
+    assert sizes.tolist() == [len(x) + b for x, b in zip(words, begins)]
+    assert [len(x) for x in langid.lattice([], pieces, n)] == [0] * 5
+
+
+def test_words_of_plain_and_other_texts():
+    assert langid.words_of("Don't a_b c9d\x00E\u212a") == ["don", "t", "a", "b", "c", "d", "ek"]
+    assert langid.words_of("\u00c9t\u00e9 a_b c9d \u00b2 x\u00b2") == ["\u00e9t\u00e9", "a", "b", "c", "d", "x\u00b2"]
