@@ -46,6 +46,7 @@ def linked(
     with_comp: Callable[[DataFrame], DataFrame],
     near_rest: Near | None = None,
     hot: int = 0,
+    also: DataFrame | None = None,
 ) -> DataFrame:
     """Components (id, comp) of the items that have links.
 
@@ -54,19 +55,24 @@ def linked(
     (a, b) to the pairs among them that are links; with_comp: from (id, comp) to the members (id, key, comp, ...) of
     buckets of more than two, comp the id itself where that has none, with the columns of near_rest, a closer condition
     for pairs without a leader; hot: in buckets of more members than this, those outside the largest component are first
-    held against PICKS members of it too (0: in none).
+    held against PICKS members of it too (0: in none);
+    also: further pairs (a, b) that may be links, which are verified together with the first of these.
     """
     extra = [c for c in members.columns if c not in ("id", "key") and not c.startswith("lead")]
     star = members.where((F.col("id") != F.col("lead")) & near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
-    pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    first = cut(verify(pairs))
-    comps = cut(components(first))
+    pairs = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    pairs = (pairs if also is None else pairs.unionByName(also)).distinct()
+    comps = cut(components(verify(pairs)))
+
+    def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+        """comps with further links, each component a star."""
+        more = cut(more)
+        return comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     if hot:
         more = _picked(members.select("id", "key", *extra), comps, near, verify, hot)
         if more is not None:
-            first = cut(first.unionByName(more))
-            comps = cut(components(first))
+            comps = cut(joined(comps, more))
 
     # Only buckets that hold several components go on; of those, the component with the most members is not compared
     # with itself.
@@ -83,5 +89,4 @@ def linked(
         & (near_rest or near)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
     )
     rest = rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    second = cut(verify(rest))
-    return components(first.unionByName(second))
+    return joined(comps, verify(rest))

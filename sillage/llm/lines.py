@@ -11,27 +11,34 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillage.llm.common import components, cut, few, scratch
-from sillage.llm.dedup_links import linked
+from sillage.llm.dedup_links import Near, linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
 #: their words, 1 - distance / longer length, in %.
 DISTANCE, SIMILARITY = 24, 80
 #: Bits up to which lines meet by blocks of their SimHashes; the others meet by the n-grams that they pick.
 CLOSE = 3
-#: Masks by which the hashes of n-grams are ordered; each picks one, so near lines pick a common one.
-MASKS = tuple((k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63) for k in range(1, 13))
+#: Masks by which the hashes of n-grams are ordered; each picks one, so near lines pick a common one. Their last eight
+#: bits are 0, as those of an n-gram's hash hold its weight.
+MASKS = tuple((k * 0x9E3779B97F4A7C15 & (1 << 64) - 256) - (1 << 63) for k in range(1, 13))
+#: Letters of an n-gram of two or three words from which on, and steps of letters by which, its hash is halved under every
+#: mask, STEPS times at most: n-grams of long words, which fewer lines share by chance, are picked before others.
+LETTERS_OF, STEPS = {2: (6, 2), 3: (9, 3)}, 4
 #: Words from which on a line can differ from another and reach SIMILARITY; below which it has pairs of words as
 #: n-grams, up to which pairs as well, as the shorter of two near lines may have fewer words: else threes.
 LEAST, PAIRS, BOTH = 5, 20, 24
 #: Letters from which on a word counts in the SimHash of a line that has such words: the short, frequent ones would
 #: give unrelated lines like hashes.
 LETTERS = 4
+#: Longs of 64 positions each, on which lines are told apart by their longer words before their texts are fetched.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Blocks that a SimHash is cut into and blocks that must agree, by the number of distinct lines up to which so many
 #: bits keep buckets small. Every choice finds the same pairs.
 BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
@@ -39,8 +46,9 @@ BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
 
 #: Rows up to which a table of keys, ids or line addresses is broadcast, some 30 bytes each.
 FEW = 500_000
-#: Members from which on a bucket, usually of some dozens, is a family of near copies.
-HOT = 256
+#: Members from which on a bucket, usually of some dozens, is a family of near copies; up to which all pairs of a bucket of
+#: an n-gram are compared.
+HOT, ALL = 256, 64
 #: Lines that go up to which their numbers are broadcast: 4 bytes each, and some 40 for each row that has any.
 MARKED = 1_000_000
 
@@ -87,16 +95,33 @@ def _chunk_majority(n: Column) -> Column:
     return out
 
 
+def _gram(weight: str, *words: str | Column) -> Column:
+    """The hash of an n-gram, with its weight at the bits that come last once it is shifted by that."""
+    return F.expr(f"shiftleft({weight}, {weight})").cast("bigint").bitwiseOR(F.xxhash64(*words).bitwiseAND(F.lit(-256)))
+
+
+def _weight(n: int, letters: Column) -> Column:
+    """1 to STEPS + 1, by the letters of an n-gram of n words."""
+    least, step = LETTERS_OF[n]
+    return F.least(F.greatest(F.floor((letters - least) / step).cast("int"), F.lit(0)), F.lit(STEPS)) + 1
+
+
+def _order(gram: str, mask: int) -> Column:
+    """By what a mask orders n-grams."""
+    return F.call_function("shiftrightunsigned", F.col(gram).bitwiseXOR(F.lit(mask)), F.col(f"{gram}_weight"))
+
+
 def _picks() -> Column:
     """The hashes of the n-grams that each of MASKS puts first."""
-    own = F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(MASKS)]))
+    weight = lambda p: F.col(p).bitwiseAND(F.lit(7)).cast("int")
+    own = F.array_distinct(F.array(*[F.call_function("shiftleft", F.col(f"p{i}"), weight(f"p{i}")).bitwiseXOR(F.lit(m)) for i, m in enumerate(MASKS)]))
     return F.when(F.col("p0").isNotNull(), own).alias("picks")
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, doc_id, line, h, sim, words, odd, picks) of the lines that are not blank: hash,
-    SimHash, number of words, on which of 64 positions an odd number of the longer words falls (an edit changes two at
-    most), and the n-grams that it picks of each, as often as rows repeat; picks are null for lines of fewer than LEAST words.
+    """(row, doc_id, text) to (row, doc_id, line, h, sim, words, odd0 to odd3, picks) of the lines that are not blank: hash,
+    SimHash, number of words, on which of 256 positions an odd number of the longer words falls (ODD; an edit changes two
+    at most), and the n-grams that it picks of each, as often as rows repeat; picks are null for lines of fewer than LEAST words.
     The words of a line meet, by chunks, in the task that reads them; packed sums are shuffled, no text."""
     # copy: rows that repeat a doc_id and text must not meet in a counter
     apart = docs.select("row", "doc_id", "text", F.monotonically_increasing_id().alias("copy"))
@@ -111,22 +136,26 @@ def simhashes(docs: DataFrame) -> DataFrame:
     following = [F.get("all", F.col("pos") + i) for i in (1, 2)]
     # n-grams begin with a word that counts; in lines of few words these are too few, and pairs may also end with one
     either = counts | (F.length(following[0]) >= LETTERS)
-    pair = F.when((F.col("words") >= LEAST) & (F.col("words") < BOTH) & either, F.xxhash64("w", following[0]))
-    three = F.when((F.col("words") >= PAIRS) & counts, F.xxhash64("w", *following))
+    letters = F.length("w") + F.length(following[0])
+    weights = [_weight(2, letters).alias("pair_weight"), _weight(3, letters + F.coalesce(F.length(following[1]), F.lit(0))).alias("three_weight")]
     word = word.where(counts | (F.col("words") < PAIRS))
-    hashed = F.when(counts, F.xxhash64("w")).otherwise(F.lit(0).cast("bigint")).alias("w")
-    one_of = F.expr("shiftleft(1L, cast(pmod(xxhash64(w), 64) as int))")
-    odd = F.when(F.length("w") >= LETTERS, one_of).otherwise(F.lit(0).cast("bigint"))
+    word = word.select("row", "copy", "doc_id", "line", "h", "words", "pos", "w", counts.alias("counts"), either.alias("either"), following[0].alias("w1"), following[1].alias("w2"), *weights)
+    pair = F.when((F.col("words") >= LEAST) & (F.col("words") < BOTH) & F.col("either"), _gram("pair_weight", "w", "w1"))
+    three = F.when((F.col("words") >= PAIRS) & F.col("counts"), _gram("three_weight", "w", "w1", "w2"))
+    hashed = F.when(F.col("counts"), F.xxhash64("w")).otherwise(F.lit(0).cast("bigint")).alias("w")
+    long = F.length("w") >= LETTERS
     chunk = F.expr(f"pos div {CHUNK}").cast("int").alias("chunk")
-    word = word.select("row", "copy", "doc_id", "line", "h", "words", chunk, hashed, counts.cast("int").alias("n"), odd.alias("odd"), pair.alias("pair"), three.alias("three"))
-    picks = [F.min(F.least(F.col("pair").bitwiseXOR(F.lit(m)), F.col("three").bitwiseXOR(F.lit(m)))).alias(f"p{i}") for i, m in enumerate(MASKS)]
+    word = word.select("row", "copy", "doc_id", "line", "h", "words", chunk, hashed, F.col("counts").cast("int").alias("n"), long.alias("long"), pair.alias("pair"), three.alias("three"), "pair_weight", "three_weight")
+    picks = [F.min(F.least(_order("pair", m), _order("three", m))).alias(f"p{i}") for i, m in enumerate(MASKS)]
+    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
+    odds = [F.bit_xor(F.when(F.col("long") & (F.shiftright("w", 6).bitwiseAND(3) == i), bit).otherwise(F.lit(0).cast("bigint"))).alias(o) for i, o in enumerate(ODD)]
     # few keys and sums: a generated aggregation stays small enough to be compiled
-    rest = [F.sum("n").alias("n"), F.bit_xor("odd").alias("odd"), *[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")]]
+    rest = [F.sum("n").alias("n"), *odds, *[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")]]
     chunks = word.groupBy("copy", "line", "chunk").agg(*rest, *_packed(F.col("w")), *picks)
-    one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n").cast("int")).alias("sim"), "words", "odd", _picks())
+    one = chunks.where(F.col("words") <= CHUNK).select("row", "doc_id", "line", "h", _chunk_majority(F.col("n").cast("int")).alias("sim"), "words", *ODD, _picks())
     several = chunks.where(F.col("words") > CHUNK).groupBy("copy", "line")
-    several = several.agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")], _majority(F.sum("n")).alias("sim"), F.bit_xor("odd").alias("odd"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(len(MASKS))])
-    several = several.select("row", "doc_id", "line", "h", "sim", "words", "odd", _picks())
+    several = several.agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "h", "words")], _majority(F.sum("n")).alias("sim"), *[F.bit_xor(o).alias(o) for o in ODD], *[F.min(f"p{i}").alias(f"p{i}") for i in range(len(MASKS))])
+    several = several.select("row", "doc_id", "line", "h", "sim", "words", *ODD, _picks())
     return one.unionByName(several)
 
 
@@ -177,43 +206,76 @@ def _exact(pairs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, x, y, v, w) whose symbols are similar, those whose words are: where a pair has as many distinct
-    symbols as words, unlike words have unlike symbols; the few others are compared again."""
+    """Of pairs (a, b, x, y, v, w), those whose symbols x and y are similar and whose words are: where a pair has as many
+    distinct symbols as words, unlike words have unlike symbols; the few others are compared again."""
     distinct = lambda x, y, by: F.size(F.array_distinct(F.concat(F.split(x, by), F.split(y, by))))
-    told = cut(pairs.select("a", "b", (distinct("x", "y", "") == distinct("v", "w", " ")).alias("sure"), "v", "w"))
+    sure = distinct("x", "y", "") == distinct("v", "w", " ")
+    told = similar(pairs).select("a", "b", sure.alias("sure"), "v", "w")
+    text = lambda c: F.when(~F.col("sure"), F.col(c)).alias(c)
+    told = cut(told.select("a", "b", "sure", text("v"), text("w")))
     return told.where("sure").select("a", "b").unionByName(_exact(told.where("not sure")).select("a", "b"))
 
 
-def _close(rows: DataFrame) -> DataFrame:
-    """(key, id, sim, comp) to the pairs (a, b) that share a key, differ in CLOSE bits at most and are not yet in one
-    component. In a bucket of more than HOT rows, those of its largest component are held against the others only."""
+def _blocks(rows: DataFrame, n: int, near: Near) -> tuple[DataFrame, DataFrame]:
+    """(id, sim, ...) of n rows to the pairs (a, b) near each other that share a bucket of HOT rows at most and differ in
+    CLOSE bits at most, and to the rows (key, id, sim, ...) of other buckets. Rows of larger buckets are first put into
+    those of the finest blocks."""
+    columns = rows.columns
+    close = (F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= CLOSE) & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    pairs = None
+    for size in (n, BLOCKS[-1][0]):
+        keyed = rows.select(*columns, _keys(size))
+        hot = few(cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")), FEW)
+        cold = keyed.join(hot, "key", "left_anti")
+        met = cold.alias("x").join(cold.alias("y"), "key").where(close & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+        rest = keyed.join(hot, "key", "left_semi")
+        if hot.isEmpty():
+            break
+        rows = cut(rest.drop("key").distinct())
+    return pairs.distinct(), rest
+
+
+def _close(rows: DataFrame, near: Near) -> DataFrame:
+    """(key, id, sim, comp, ...) of buckets of more than HOT rows to the pairs (a, b) near each other that share a key, differ
+    in CLOSE bits at most and are not yet in one component: those of a bucket's largest component are held against the
+    others only."""
     close = F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= CLOSE
-    other = (F.col("x.comp") != F.col("y.comp")) & close
-    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
-    cold = rows.join(few(hot, FEW), "key", "left_anti")
-    pairs = cold.alias("x").join(cold.alias("y"), "key").where(other & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    if not hot.isEmpty():
-        warm = cut(rows.join(few(hot, FEW), "key", "left_semi"))
-        top = warm.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
-        warm = warm.join(top, "key").withColumn("out", F.col("comp") != F.col("big"))
-        met = warm.where("out").alias("x").join(warm.alias("y"), "key").where(other & (~F.col("y.out") | (F.col("x.id") < F.col("y.id"))))
-        pairs = pairs.unionByName(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-    return pairs.distinct()
+    other = (F.col("x.comp") != F.col("y.comp")) & close & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    top = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
+    rows = cut(rows.join(top, "key").withColumn("out", F.col("comp") != F.col("big")))
+    met = rows.where("out").alias("x").join(rows.alias("y"), "key").where(other & (~F.col("y.out") | (F.col("x.id") < F.col("y.id"))))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _met(able: DataFrame) -> DataFrame:
+    """(id, picks) to (key, n, id) of the n-grams that n lines pick, n > 1. Most are of one line or of two or three, whose
+    ids the counts themselves hold (least, greatest and the exclusive or of all), so only the others are looked up again."""
+    one = able.select("id", F.explode("picks").alias("key"))
+    counted = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"))
+    counted = cut(counted.where("n > 1"))
+    third = F.expr("low ^ high ^ all")
+    ids = F.when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", "high", third))
+    small = counted.where("n <= 3").select("key", "n", F.explode(ids).alias("id"))
+    more = cut(counted.where("n > 3").select("key", "n"))
+    return small.unionByName(one.join(few(more, FEW), "key").select("key", "n", "id"))
 
 
 @scratch
 def mark_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, gone): for each row with lines that go, their numbers, ascending."""
     lines = cut(simhashes(docs))
-    at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), F.col("odd"), F.col("picks"))
+    at = F.struct(F.col("doc_id"), F.col("row"), F.col("line"), F.col("words"), *ODD, F.col("picks"))
     classes = lines.groupBy("h", "sim").agg(F.min(at).alias("at"))  # 128 bits tell lines apart
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "sim"))
-    key = _keys(classes.count())
+    n_classes = classes.count()
 
     def near(a, b) -> Column:
         longer, shorter = F.greatest(a("words"), b("words")), F.least(a("words"), b("words"))
         edits = F.floor((100 - SIMILARITY) * longer / 100)
-        sifted = (longer - shorter <= edits) & (F.bit_count(a("odd").bitwiseXOR(b("odd"))) <= 2 * edits)
+        odd = sum((F.bit_count(a(o).bitwiseXOR(b(o))) for o in ODD), F.lit(0))
+        # of as many edits, those that make lengths differ change one position, others two at most
+        sifted = (longer - shorter <= edits) & (odd <= 2 * edits - (longer - shorter))
         return sifted & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -224,26 +286,29 @@ def mark_lines(docs: DataFrame) -> DataFrame:
         own = cleaned(found.select("id", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["id"]))
         texts = cut(own.select("id", F.trim("clean").alias("v")).select("id", "v", symbols(F.col("v")).alias("x")))
         side = lambda i, **to: texts.select(F.col("id").alias(i), *[F.col(c).alias(k) for k, c in to.items()])
-        like = cut(similar(pairs.join(side("a", x="x"), "a").join(side("b", y="x"), "b")))
-        return _confirmed(like.join(side("a", v="v"), "a").join(side("b", w="v"), "b"))
-
-    able = classes.where("at.picks is not null").select("id", "sim", "at.words", "at.odd", "at.picks")  # others only equal each other
-    # most n-grams are of one line only; those go before anything is joined
-    grams = able.select("id", F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
-    grams = cut(grams.where("n > 1"))
-    met = able.select("id", F.explode("picks").alias("key")).join(grams, "key")
-    sides = able.select("id", "sim", "words", "odd")
-    leads = sides.join(grams.select(F.col("lead").alias("id")).distinct(), "id", "left_semi").select(*[F.col(c).alias("lead" if c == "id" else f"lead_{c}") for c in sides.columns])
-    picked = cut(met.join(sides, "id").join(leads, "lead"))
-
-    def with_comp(comps: DataFrame) -> DataFrame:  # buckets of two have met their leader
-        more = picked.where("n > 2").select("key", *sides.columns)
-        return more.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    comps = cut(linked(picked.drop("n"), near, verify, with_comp, hot=HOT))
-    blocks = able.select("id", "sim").join(comps, "id", "left").select("id", "sim", F.coalesce("comp", "id").alias("comp"), key)
-    more = cut(verify(_close(blocks)))
-    if not more.isEmpty():
+        return _confirmed(pairs.join(side("a", x="x", v="v"), "a").join(side("b", y="x", w="v"), "b"))
+
+    able = classes.where("at.picks is not null").select("id", "sim", "at.words", *[f"at.{o}" for o in ODD], "at.picks")  # others only equal each other
+    sides = able.select("id", "sim", "words", *ODD)
+    met = cut(_met(able.select("id", "picks")).join(sides, "id"))
+    # buckets of up to ALL lines are compared whole, at ALL / 2 comparisons for a line; others by way of leaders
+    x, y = (met.where(F.col("n") <= ALL).select(*[F.col(c).alias(c if c == "key" else f"{to}_{c}") for c in ("key", *sides.columns)]) for to in "xy")
+    pairs = x.join(y, "key").where((F.col("x_id") < F.col("y_id")) & near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+    pairs = pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    close, blocks = _blocks(sides, n_classes, near)
+    large = cut(met.where(F.col("n") > ALL).drop("n"))
+    lead = large.groupBy("key").agg(F.min(F.struct(*sides.columns)).alias("lead"))
+    lead = cut(lead.select("key", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in sides.columns if c != "id"]))
+
+    def with_comp(comps: DataFrame) -> DataFrame:
+        # linked lines are in one or in neighbouring classes of length; each two of these are a bucket
+        length = F.floor(F.log(F.col("words").cast("double")) / math.log(100 / SIMILARITY) + 1e-9)
+        parts = F.explode(F.array(F.xxhash64("key", length), F.xxhash64("key", length + 1))).alias("key")
+        return large.select(parts, *sides.columns).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    comps = cut(linked(large.join(few(lead, FEW), "key"), near, verify, with_comp, hot=HOT, also=pairs.unionByName(close)))
+    hot = cut(blocks.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    if not hot.isEmpty() and not (more := cut(verify(_close(hot, near)))).isEmpty():
         comps = cut(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min(F.struct("at.doc_id", "at.row", "at.line")).alias("at"))
     gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))

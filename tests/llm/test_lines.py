@@ -128,3 +128,32 @@ def test_edited_lines_are_found_by_their_edits_alone(spark):
 def test_no_python_in_the_plan(spark):
     out = lines.simhashes(spark.range(3).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unlike_lines_with_a_common_passage_are_told_apart_before_their_texts(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 9)))
+    passage = [word() for _ in range(70)]
+    base = [passage + [word() for _ in range(30)] for _ in range(80)]
+    rows = [(k, " ".join(line)) for k, line in enumerate(base)]
+    rows += [(100 + k, " ".join(line[:-1] + [word()])) for k, line in enumerate(base[:10])]
+    seen, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs: seen.append(pairs.count()) or similar(pairs))
+    for size in (64, 8):  # buckets compared whole, and by leaders
+        monkeypatch.setattr(lines, "ALL", size, raising=False)
+        seen.clear()
+        got = kept(spark, rows)
+        assert [k for k, x in got.items() if x[2] == 0] == list(range(100, 110))
+        assert sum(seen) <= 1200  # of 4,005 pairs, all of which share the passage
+
+
+def test_sets_of_one_simhash_are_dealt_by_finer_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(k, r.getrandbits(64) - (1 << 63)) for k in range(300)]
+    rows += [(300 + k, v ^ sum(1 << b for b in r.sample(range(63), k % 4))) for k, v in rows]
+    same = lambda a, b: F.lit(True)
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= lines.CLOSE}
+    monkeypatch.setattr(lines, "BLOCKS", ((1 << 10, 64, 1), (1 << 62, 6, 3)))  # one bit: all buckets are large
+    pairs, rest = lines._blocks(spark.createDataFrame(rows, "id long, sim long"), len(rows), same)
+    assert {tuple(x) for x in pairs.collect()} == want
+    assert rest.count() == 0
