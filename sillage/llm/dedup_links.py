@@ -47,6 +47,7 @@ def linked(
     near_rest: Near | None = None,
     hot: int = 0,
     also: DataFrame | None = None,
+    closer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (id, comp) of the items that have links.
 
@@ -56,7 +57,8 @@ def linked(
     buckets of more than two, comp the id itself where that has none, with the columns of near_rest, a closer condition
     for pairs without a leader; hot: in buckets of more members than this, those outside the largest component are first
     held against PICKS members of it too (0: in none);
-    also: further pairs (a, b) that may be links, which are verified together with the first of these.
+    also: further pairs (a, b) that may be links, which are verified together with the first of these; closer: from the
+    ids that go on to pairs without a leader, to (id, ...) with further columns for near_rest.
     """
     extra = [c for c in members.columns if c not in ("id", "key") and not c.startswith("lead")]
     star = members.where((F.col("id") != F.col("lead")) & near(lambda c: F.col(c), lambda c: F.col(f"lead_{c}")))
@@ -79,6 +81,10 @@ def linked(
     own = cut(with_comp(comps))
     mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     own = cut(own.join(cut(mixed), "key", "left_semi"))
+    if closer is not None:
+        if own.isEmpty():
+            return comps
+        own = own.join(cut(closer(cut(own.select("id").distinct()))), "id")
     top = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
     own = cut(own.join(top, "key").withColumn("out", F.col("comp") != F.col("big")).drop("big"))
     left = own.where("out").select(*[F.col(c).alias(f"x_{c}") for c in own.columns if c != "key"], "key")

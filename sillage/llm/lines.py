@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import components, cut, few, scratch
+from sillage.llm.common import cut, few, scratch
 from sillage.llm.dedup_links import Near, linked
 
 #: Bits in which the SimHashes of linked lines may differ; least edit similarity of
@@ -39,6 +39,9 @@ LEAST, PAIRS, BOTH = 5, 20, 24
 LETTERS = 4
 #: Longs of 64 positions each, on which lines are told apart by their longer words before their texts are fetched.
 ODD = ("odd0", "odd1", "odd2", "odd3")
+#: Longs of 64 positions each, on which lines are told apart by all their words where large buckets are left with several
+#: components.
+BAG = tuple(f"bag{i}" for i in range(8))
 #: Blocks that a SimHash is cut into and blocks that must agree, by the number of distinct lines up to which so many
 #: bits keep buckets small. Every choice finds the same pairs.
 BLOCKS = ((1 << 22, 4, 1), (1 << 29, 5, 2), (1 << 62, 6, 3))
@@ -236,16 +239,11 @@ def _blocks(rows: DataFrame, n: int, near: Near) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), rest
 
 
-def _close(rows: DataFrame, near: Near) -> DataFrame:
-    """(key, id, sim, comp, ...) of buckets of more than HOT rows to the pairs (a, b) near each other that share a key, differ
-    in CLOSE bits at most and are not yet in one component: those of a bucket's largest component are held against the
-    others only."""
-    close = F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= CLOSE
-    other = (F.col("x.comp") != F.col("y.comp")) & close & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    top = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("big"))
-    rows = cut(rows.join(top, "key").withColumn("out", F.col("comp") != F.col("big")))
-    met = rows.where("out").alias("x").join(rows.alias("y"), "key").where(other & (~F.col("y.out") | (F.col("x.id") < F.col("y.id"))))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _bags(texts: DataFrame) -> DataFrame:
+    """(id, v) to (id, bag0 to bag7): on which of 512 positions an odd number of the words of v falls (BAG)."""
+    word = texts.select("id", F.explode(F.split("v", " ")).alias("w")).select("id", F.xxhash64("w").alias("w"))
+    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
+    return word.groupBy("id").agg(*[F.bit_xor(F.when(F.shiftright("w", 6).bitwiseAND(len(BAG) - 1) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(o) for i, o in enumerate(BAG)])
 
 
 def _met(able: DataFrame) -> DataFrame:
@@ -270,21 +268,31 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "at", "sim"))
     n_classes = classes.count()
 
-    def near(a, b) -> Column:
+    def sifted(a, b, positions) -> Column:
         longer, shorter = F.greatest(a("words"), b("words")), F.least(a("words"), b("words"))
         edits = F.floor((100 - SIMILARITY) * longer / 100)
-        odd = sum((F.bit_count(a(o).bitwiseXOR(b(o))) for o in ODD), F.lit(0))
+        odd = sum((F.bit_count(a(o).bitwiseXOR(b(o))) for o in positions), F.lit(0))
         # of as many edits, those that make lengths differ change one position, others two at most
-        sifted = (longer - shorter <= edits) & (odd <= 2 * edits - (longer - shorter))
-        return sifted & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE)
+        return (longer - shorter <= edits) & (odd <= 2 * edits - (longer - shorter))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    def near(a, b) -> Column:
+        return sifted(a, b, ODD) & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= DISTANCE)
+
+    def near_by(positions) -> Near:
+        """The same in buckets of n-grams and of blocks, which say in how many bits their lines may differ."""
+        return lambda a, b: sifted(a, b, positions) & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= a("bits"))
+
+    def norms(ids: DataFrame) -> DataFrame:
+        """(id) to (id, v), the normal lines."""
         wanted = cut(classes.select("id", "at.doc_id", "at.row", "at.line").join(few(ids, FEW), "id"))
         found = docs.alias("docs").join(few(wanted, FEW).alias("wanted"), F.expr("docs.doc_id <=> wanted.doc_id")).where("docs.row = wanted.row")
         own = cleaned(found.select("id", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["id"]))
-        texts = cut(own.select("id", F.trim("clean").alias("v")).select("id", "v", symbols(F.col("v")).alias("x")))
+        return own.select("id", F.trim("clean").alias("v"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        texts = cut(norms(ids).select("id", "v", symbols(F.col("v")).alias("x")))
         side = lambda i, **to: texts.select(F.col("id").alias(i), *[F.col(c).alias(k) for k, c in to.items()])
         return _confirmed(pairs.join(side("a", x="x", v="v"), "a").join(side("b", y="x", w="v"), "b"))
 
@@ -296,20 +304,20 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     pairs = x.join(y, "key").where((F.col("x_id") < F.col("y_id")) & near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
     pairs = pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
     close, blocks = _blocks(sides, n_classes, near)
-    large = cut(met.where(F.col("n") > ALL).drop("n"))
-    lead = large.groupBy("key").agg(F.min(F.struct(*sides.columns)).alias("lead"))
-    lead = cut(lead.select("key", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in sides.columns if c != "id"]))
+    grams = met.where(F.col("n") > ALL).drop("n").withColumn("bits", F.lit(DISTANCE))
+    large = cut(grams.unionByName(blocks.withColumn("bits", F.lit(CLOSE))))
+    compared = [c for c in large.columns if c not in ("key", "id")]
+    lead = large.groupBy("key").agg(F.min(F.struct("id", *compared)).alias("lead"))
+    lead = cut(lead.select("key", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in compared]))
 
     def with_comp(comps: DataFrame) -> DataFrame:
         # linked lines are in one or in neighbouring classes of length; each two of these are a bucket
         length = F.floor(F.log(F.col("words").cast("double")) / math.log(100 / SIMILARITY) + 1e-9)
         parts = F.explode(F.array(F.xxhash64("key", length), F.xxhash64("key", length + 1))).alias("key")
-        return large.select(parts, *sides.columns).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        return large.select(parts, "id", "sim", "words", "bits").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    comps = cut(linked(large.join(few(lead, FEW), "key"), near, verify, with_comp, hot=HOT, also=pairs.unionByName(close)))
-    hot = cut(blocks.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    if not hot.isEmpty() and not (more := cut(verify(_close(hot, near)))).isEmpty():
-        comps = cut(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+    closer = lambda ids: _bags(norms(ids))
+    comps = cut(linked(large.join(few(lead, FEW), "key"), near_by(ODD), verify, with_comp, near_by(BAG), hot=HOT, also=pairs.unionByName(close), closer=closer))
     kept = classes.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min(F.struct("at.doc_id", "at.row", "at.line")).alias("at"))
     gone = cut(lines.select("row", "line").join(kept.select("at.row", "at.line"), ["row", "line"], "left_anti"))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))

@@ -157,3 +157,29 @@ def test_sets_of_one_simhash_are_dealt_by_finer_blocks(spark, monkeypatch):
     pairs, rest = lines._blocks(spark.createDataFrame(rows, "id long, sim long"), len(rows), same)
     assert {tuple(x) for x in pairs.collect()} == want
     assert rest.count() == 0
+
+
+def test_lines_of_one_simhash_are_held_against_leaders(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    rows = [(k, " ".join([word() for _ in range(30)] + ["is", "often"] * 300)) for k in range(60)]
+    seen, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs: seen.append(pairs.count()) or similar(pairs))
+    monkeypatch.setattr(lines, "HOT", 8)
+    got = kept(spark, rows)
+    assert [k for k, x in got.items() if x[2]] == [0]
+    assert sum(seen) <= 600  # of 1,770 pairs
+
+
+def test_short_words_tell_lines_of_a_large_bucket_apart(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = [word(9) for _ in range(60)]
+    rows = [(k, " ".join([word(r.choice([3, 3, 6])) for _ in range(24)] + passage)) for k in range(60)]
+    rows += [(100 + k, text + " more") for k, text in rows[:5]]
+    seen, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs: seen.append(pairs.count()) or similar(pairs))
+    monkeypatch.setattr(lines, "ALL", 8)
+    got = kept(spark, rows)
+    assert [k for k, x in got.items() if not x[2]] == list(range(100, 105))
+    assert sum(seen) <= 600  # of 2,080 pairs, all of which share the passage
