@@ -51,3 +51,16 @@ def test_stage_by_stage(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_near_duplicates_are_dropped_without_a_shuffle_of_texts(spark):
+    rows = [(k, " ".join(f"word{k % 5}x{i}" for i in range(40)), "en", "web", 1) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3, 4]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
